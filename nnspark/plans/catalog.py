@@ -12,12 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nnspark import ship
-from nnspark.operators import compare, exact, ivf, quality
+from nnspark.operators import compare, exact, forest, ivf, quality
 
 K_MAIN = 20
 K_SWEEP = [5, 20, 50, 100]
 NPROBES = [1, 10, 50]
 IVF_ITER = 10
+FOREST_TREES = 50
+FOREST_MAX_LEAF = 32
+FOREST_SEARCH_K = 400
 SAMPLE_M = 256
 DEC = 6
 
@@ -148,3 +151,31 @@ def ivf_candidate_cost(spark, sf_dir):
         ).withColumn("nprobe", F.lit(p))
         out = c if out is None else out.unionByName(c)
     return out.select("nprobe", "query_id", "cost")
+
+
+# ---------------------------------------------------------------- forest
+
+_FOREST_CACHE: dict = {}
+
+
+def forest_index(spark, sf_dir) -> forest.Forest:
+    key = (id(spark), sf_dir)
+    if key not in _FOREST_CACHE:
+        _FOREST_CACHE[key] = forest.build(corpus(spark, sf_dir), FOREST_TREES, FOREST_MAX_LEAF)
+    return _FOREST_CACHE[key]
+
+
+def forest_leaf_sizes(spark, sf_dir):
+    f = forest_index(spark, sf_dir)
+    return f.leaf_sizes().select("tree", "leaf", F.col("size").cast("long").alias("size"))
+
+
+def forest_ranked(spark, sf_dir, k=K_MAIN, search_k=FOREST_SEARCH_K, with_vectors=False):
+    emb = corpus(spark, sf_dir)
+    return forest.search(forest_index(spark, sf_dir), exact.self_queries(emb), k, search_k, corpus=emb,
+                         with_vectors=with_vectors)
+
+
+def forest_search_budget(spark, sf_dir):
+    r = forest_ranked(spark, sf_dir)
+    return r.select("query_id", "rank", "id", r6("dist").alias("dist"), "cost")

@@ -206,11 +206,93 @@ def ivf_candidate_cost() -> str:
     FROM pr JOIN sizes USING (list_id) GROUP BY pr.nprobe, pr.query_id"""
 
 
+# ------------------------------------------------------------------ forest
+
+def _depth(node: str) -> str:
+    return f"(length(bin(({node}) + 1)) - 1)"
+
+
+def forest_chain(levels: int | None = None) -> str:
+    """CTEs: fb (vectors), s0..s{L} (membership per level), p0..p{L-1} (splits),
+    inner_nodes, node_sizes."""
+    from nnspark.operators.forest import DEFAULT_MAX_DEPTH
+
+    L = levels or DEFAULT_MAX_DEPTH
+    T, ML = C.FOREST_TREES, C.FOREST_MAX_LEAF
+    ctes = [f"""
+    fb AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL),
+    s0 AS (SELECT fb.id, fb.v, t.tree::INTEGER AS tree, 0::BIGINT AS node FROM fb, range({T}) t(tree))"""]
+    for lv in range(L):
+        h = md5_key("'forest:' || tree::VARCHAR || ':' || node::VARCHAR || ':' || id::VARCHAR")
+        ctes.append(f"""
+    p{lv} AS (SELECT tree, node, arg_min(v, (h, id)) AS a, arg_max(v, (h, id)) AS b
+              FROM (SELECT *, {h} AS h FROM s{lv} WHERE {_depth('node')} = {lv})
+              GROUP BY tree, node
+              HAVING count(*) > {ML} AND arg_min(v, (h, id)) <> arg_max(v, (h, id))),
+    s{lv + 1} AS (SELECT s.id, s.v, s.tree,
+                  CASE WHEN p.node IS NULL THEN s.node
+                       ELSE 2 * s.node + 1 + (CASE WHEN {d2('s.v', 'p.a')} > {d2('s.v', 'p.b')} THEN 1 ELSE 0 END)
+                  END AS node
+                  FROM s{lv} s LEFT JOIN p{lv} p ON s.tree = p.tree AND s.node = p.node)""")
+    splits = " UNION ALL ".join(f"SELECT tree, node, a, b FROM p{lv}" for lv in range(L))
+    sizes = " UNION ALL ".join(
+        f"SELECT tree, node, count(*) AS size FROM s{lv} WHERE {_depth('node')} = {lv} GROUP BY tree, node"
+        for lv in range(L + 1))
+    ctes.append(f"""
+    inner_nodes AS (SELECT tree, node, a, b, sqrt({d2('a', 'b')}) AS wnorm FROM ({splits})),
+    node_sizes AS ({sizes}),
+    fpost AS (SELECT tree, node AS leaf, id FROM s{L})""")
+    return ",".join(ctes)
+
+
+def forest_search_ctes(search_k: int, levels: int | None = None) -> str:
+    from nnspark.operators.forest import DEFAULT_MAX_DEPTH
+
+    L = levels or DEFAULT_MAX_DEPTH
+    T = C.FOREST_TREES
+    ctes = [f"""
+    f0 AS (SELECT q.id AS query_id, q.v AS qv, t.tree::INTEGER AS tree, 0::BIGINT AS node, 'inf'::DOUBLE AS prio
+           FROM fb q, range({T}) t(tree))"""]
+    for lv in range(L):
+        ctes.append(f"""
+    j{lv} AS (SELECT f.*, n.a, n.b, n.wnorm,
+                     ({d2('f.qv', 'n.b')} - {d2('f.qv', 'n.a')}) / (2.0 * n.wnorm) AS m
+              FROM f{lv} f LEFT JOIN inner_nodes n ON f.tree = n.tree AND f.node = n.node),
+    x{lv} AS (SELECT query_id, qv, tree, node, prio FROM j{lv} WHERE a IS NULL
+              UNION ALL SELECT query_id, qv, tree, 2 * node + 1, least(prio, m) FROM j{lv} WHERE a IS NOT NULL
+              UNION ALL SELECT query_id, qv, tree, 2 * node + 2, least(prio, -m) FROM j{lv} WHERE a IS NOT NULL),
+    f{lv + 1} AS (SELECT x.query_id, x.qv, x.tree, x.node, x.prio
+                  FROM x{lv} x JOIN node_sizes z ON x.tree = z.tree AND x.node = z.node
+                  QUALIFY coalesce(sum(z.size) OVER (PARTITION BY x.query_id ORDER BY x.prio DESC, x.tree, x.node
+                                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < {search_k})""")
+    ctes.append(f"""
+    fcand AS (SELECT DISTINCT f.query_id, p.id FROM f{L} f JOIN fpost p ON p.tree = f.tree AND p.leaf = f.node)""")
+    return ",".join(ctes)
+
+
+def forest_leaf_sizes() -> str:
+    return f"""
+    WITH {forest_chain()}
+    SELECT tree, leaf, count(*)::BIGINT AS size FROM fpost GROUP BY tree, leaf"""
+
+
+def forest_search_budget() -> str:
+    return f"""
+    WITH {forest_chain()},{forest_search_ctes(C.FOREST_SEARCH_K)},
+         fd AS (SELECT c.query_id, c.id, {d2('q.v', 'b.v')} AS d2
+                FROM fcand c JOIN fb q ON q.id = c.query_id JOIN fb b ON b.id = c.id),
+         fc AS (SELECT query_id, count(*) AS cost FROM fd GROUP BY query_id)
+    SELECT fd.query_id, rank::INTEGER AS rank, fd.id, round({dist('fd.d2')}, 6) AS dist, fc.cost::BIGINT AS cost
+    FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d2, id) AS rank FROM fd QUALIFY rank <= {C.K_MAIN}) fd
+    JOIN fc USING (query_id)"""
+
+
 def all_sql() -> dict[str, str]:
     names = [
         "knn_exact_top20", "knn_sq_l2_top10", "knn_k_sweep_sums", "knn_with_text", "result_spread",
         "result_proportionality", "ivf_train_sample", "ivf_lloyd_round", "ivf_assign_sizes",
         "ivf_search_nprobe10", "ivf_recall_sweep", "ivf_candidate_cost",
+        "forest_leaf_sizes", "forest_search_budget",
     ]
     g = globals()
     return {n: g[n]() for n in names if n in g}
