@@ -179,3 +179,88 @@ def forest_ranked(spark, sf_dir, k=K_MAIN, search_k=FOREST_SEARCH_K, with_vector
 def forest_search_budget(spark, sf_dir):
     r = forest_ranked(spark, sf_dir)
     return r.select("query_id", "rank", "id", r6("dist").alias("dist"), "cost")
+
+
+# ---------------------------------------------------------------- comparison (J4, A1-A6, PV1, PV2, A9, A11, W2)
+
+ALGOS = ["exact", "ivf", "forest"]
+IVF_NPROBE = 10
+
+
+def _labels(spark, sf_dir) -> DataFrame:
+    return corpus(spark, sf_dir).select(
+        F.col("vec_id").alias("query_id"), F.concat(F.lit("label_"), F.col("label").cast("string")).alias("dataset")
+    )
+
+
+def compare_baseline_frame(spark, sf_dir) -> DataFrame:
+    base = compare.metrics(exact_ranked(spark, sf_dir), "exact")
+    cand = compare.metrics(ivf_ranked(spark, sf_dir, IVF_NPROBE), "ivf")
+    return compare.compare_pair(base, cand)
+
+
+def compare_baseline(spark, sf_dir):
+    c = compare_baseline_frame(spark, sf_dir)
+    return c.select(
+        "query_id", r6("base_sum").alias("base_sum"), r6("cand_sum").alias("cand_sum"),
+        r6("pct_diff").alias("pct_diff"), F.col("base_cost").cast("long").alias("base_cost"),
+        F.col("cand_cost").cast("long").alias("cand_cost"), r6("speedup").alias("speedup"),
+        F.col("cand_n_hits").cast("int").alias("cand_n_hits"),
+    )
+
+
+def compare_totals(spark, sf_dir):
+    t = compare.totals(compare_baseline_frame(spark, sf_dir))
+    return t.select(
+        F.col("n_queries").cast("long").alias("n_queries"), r6("avg_pct_diff").alias("avg_pct_diff"),
+        r6("avg_base_cost").alias("avg_base_cost"), r6("avg_cand_cost").alias("avg_cand_cost"),
+        r6("mean_of_speedups").alias("mean_of_speedups"), r6("speedup_of_means").alias("speedup_of_means"),
+    )
+
+
+def sweep_long(spark, sf_dir, with_spread: bool = True) -> DataFrame:
+    """Metrics of every method for every k from one top-max(k) pass each."""
+    kmax = max(K_SWEEP)
+    ranked = {
+        "exact": exact_ranked(spark, sf_dir, kmax, with_vectors=with_spread),
+        "ivf": ivf_ranked(spark, sf_dir, IVF_NPROBE, kmax, with_vectors=with_spread),
+        "forest": forest_ranked(spark, sf_dir, kmax, FOREST_SEARCH_K, with_vectors=with_spread),
+    }
+    frames = []
+    for algo, r in ranked.items():
+        sw = exact.k_sweep(r, K_SWEEP)
+        sp = quality.spread(sw, ["k", "query_id"]) if with_spread else None
+        frames.append(compare.metrics(sw, algo, ["k"], sp))
+    return compare.union_methods(frames).join(F.broadcast(_labels(spark, sf_dir)), "query_id")
+
+
+def sweep_wide(spark, sf_dir):
+    w = compare.sweep_wide(sweep_long(spark, sf_dir), "exact", ALGOS)
+    cols = []
+    for f in w.schema.fields:
+        if f.name in ("dataset", "k", "query_id"):
+            cols.append(F.col(f.name))
+        elif f.name.endswith("_cost"):
+            cols.append(F.col(f.name).cast("long").alias(f.name))
+        else:
+            cols.append(r6(f.name).alias(f.name))
+    return w.select(*cols)
+
+
+def sweep_summary_stats(spark, sf_dir):
+    w = compare.sweep_wide(sweep_long(spark, sf_dir), "exact", ALGOS)
+    s = compare.summary_stats(w, "k", exclude=["dataset"])
+    return s.select("k", "type", *[r6(c).alias(c) for c in s.columns if c not in ("k", "type")])
+
+
+def cost_quartiles(spark, sf_dir):
+    q = compare.cost_quartiles(sweep_long(spark, sf_dir, with_spread=False))
+    return q.select("algo", "k", F.col("n").cast("long").alias("n"),
+                    *[r6(c).alias(c) for c in ["q1", "median", "q3", "whisker_lo", "whisker_hi", "min", "max"]])
+
+
+def dataset_change_marker(spark, sf_dir):
+    m = sweep_long(spark, sf_dir, with_spread=False).where(F.col("algo") == "exact")
+    m = m.select("k", "query_id", "dataset", F.col("query_id").alias("query_ord"))
+    out = compare.change_marker(m, "dataset", "k", "query_ord")
+    return out.select("k", "query_id", "dataset", "marker")

@@ -287,12 +287,177 @@ def forest_search_budget() -> str:
     JOIN fc USING (query_id)"""
 
 
+# ------------------------------------------------------------------ comparison
+
+def _ivf_cost(nprobe: int) -> str:
+    return f"""SELECT pr.query_id, sum(z.size) AS cost
+               FROM ({ivf_probe(nprobe)}) pr JOIN (SELECT list_id, count(*) AS size FROM post GROUP BY list_id) z
+               USING (list_id) GROUP BY pr.query_id"""
+
+
+def compare_baseline_ctes() -> str:
+    return f"""{ivf_chain()},
+         ex AS ({exact_topk(C.K_MAIN)}),
+         ap AS ({ivf_topk(C.IVF_NPROBE, C.K_MAIN)}),
+         nb AS (SELECT count(*) AS n FROM embeddings WHERE embedding IS NOT NULL),
+         bs AS (SELECT query_id, sum({dist('d2')}) AS s, count(*) AS n FROM ex GROUP BY query_id),
+         cs AS (SELECT query_id, sum({dist('d2')}) AS s, count(*) AS n FROM ap GROUP BY query_id),
+         cc AS ({_ivf_cost(C.IVF_NPROBE)}),
+         cmp AS (SELECT bs.query_id, bs.s AS base_sum, coalesce(cs.s, 0.0) AS cand_sum,
+                        CASE WHEN bs.s > 0 THEN (coalesce(cs.s, 0.0) - bs.s) / bs.s * 100.0 ELSE 0.0 END AS pct_diff,
+                        nb.n AS base_cost, coalesce(cc.cost, 0) AS cand_cost,
+                        CASE WHEN coalesce(cc.cost, 0) > 0 THEN nb.n / cc.cost ELSE 1.0 END AS speedup,
+                        coalesce(cs.n, 0) AS cand_n_hits
+                 FROM bs CROSS JOIN nb LEFT JOIN cs USING (query_id) LEFT JOIN cc USING (query_id))"""
+
+
+def compare_baseline() -> str:
+    return f"""
+    WITH {compare_baseline_ctes()}
+    SELECT query_id, round(base_sum, 6) AS base_sum, round(cand_sum, 6) AS cand_sum, round(pct_diff, 6) AS pct_diff,
+           base_cost::BIGINT AS base_cost, cand_cost::BIGINT AS cand_cost, round(speedup, 6) AS speedup,
+           cand_n_hits::INTEGER AS cand_n_hits
+    FROM cmp"""
+
+
+def compare_totals() -> str:
+    return f"""
+    WITH {compare_baseline_ctes()},
+         t AS (SELECT count(*) AS n, coalesce(avg(pct_diff), 0.0) AS p, coalesce(avg(base_cost), 0.0) AS b,
+                      coalesce(avg(cand_cost), 0.0) AS c, coalesce(avg(speedup), 1.0) AS m FROM cmp)
+    SELECT n::BIGINT AS n_queries, round(p, 6) AS avg_pct_diff, round(b, 6) AS avg_base_cost,
+           round(c, 6) AS avg_cand_cost, round(m, 6) AS mean_of_speedups,
+           round(CASE WHEN c > 0 THEN b / c ELSE 1.0 END, 6) AS speedup_of_means
+    FROM t"""
+
+
+def _topk_from(cands: str, k: int) -> str:
+    return f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d2, id) AS rank FROM ({cands}))
+               WHERE rank <= {k}"""
+
+
+def sweep_long_ctes(with_spread: bool = True) -> str:
+    kmax = max(C.K_SWEEP)
+    ks = ", ".join(str(k) for k in C.K_SWEEP)
+    ivf_c = f"""SELECT pr.query_id, p.id, {d2('pr.qv', 'p.v')} AS d2, p.v
+                FROM ({ivf_probe(C.IVF_NPROBE)}) pr JOIN post p ON p.list_id = pr.list_id"""
+    fo_c = f"""SELECT c.query_id, c.id, {d2('q.v', 'b.v')} AS d2, b.v
+               FROM fcand c JOIN fb q ON q.id = c.query_id JOIN fb b ON b.id = c.id"""
+    ex_c = f"""SELECT q.vec_id AS query_id, c.vec_id AS id, {d2('q.embedding', 'c.embedding')} AS d2,
+                      c.embedding::DOUBLE[] AS v
+               FROM embeddings q, embeddings c WHERE q.embedding IS NOT NULL AND c.embedding IS NOT NULL"""
+    spread_ctes = f""",
+         pairs AS (SELECT a.algo, a.k, a.query_id, {dist(d2('a.v', 'b.v'))} AS d
+                   FROM sw a JOIN sw b ON a.algo = b.algo AND a.k = b.k AND a.query_id = b.query_id AND a.rank < b.rank),
+         sp AS (SELECT algo, k, query_id, sum(d) AS s, max(d) AS mx FROM pairs GROUP BY algo, k, query_id)""" \
+        if with_spread else ""
+    spread_col = ("CASE WHEN m.n < 2 OR coalesce(sp.mx, 0) <= 0 THEN 0.0 ELSE sp.s / (sp.mx * m.n * m.n / 2.0) END"
+                  if with_spread else "NULL::DOUBLE")
+    spread_join = "LEFT JOIN sp USING (algo, k, query_id)" if with_spread else ""
+    return f"""{ivf_chain()},{forest_chain()},{forest_search_ctes(C.FOREST_SEARCH_K)},
+         nb AS (SELECT count(*) AS n FROM embeddings WHERE embedding IS NOT NULL),
+         r AS (SELECT 'exact' AS algo, query_id, id, d2, v, rank FROM ({_topk_from(ex_c, kmax)})
+               UNION ALL SELECT 'ivf', query_id, id, d2, v, rank FROM ({_topk_from(ivf_c, kmax)})
+               UNION ALL SELECT 'forest', query_id, id, d2, v, rank FROM ({_topk_from(fo_c, kmax)})),
+         costs AS (SELECT 'exact' AS algo, e.vec_id AS query_id, nb.n AS cost FROM embeddings e CROSS JOIN nb
+                   WHERE e.embedding IS NOT NULL
+                   UNION ALL SELECT 'ivf', query_id, cost FROM ({_ivf_cost(C.IVF_NPROBE)})
+                   UNION ALL SELECT 'forest', query_id, count(*) FROM fcand GROUP BY query_id),
+         ks AS (SELECT unnest([{ks}])::INTEGER AS k),
+         sw AS (SELECT ks.k, r.* FROM r JOIN ks ON r.rank <= ks.k),
+         m AS (SELECT algo, k, query_id, sum({dist('d2')}) AS sum_dist, count(*) AS n FROM sw
+               GROUP BY algo, k, query_id){spread_ctes},
+         lng AS (SELECT m.algo, m.k, m.query_id, m.sum_dist, m.n AS n_hits, costs.cost,
+                        {spread_col} AS spread, 'label_' || e.label::VARCHAR AS dataset
+                 FROM m JOIN costs USING (algo, query_id) {spread_join}
+                 JOIN embeddings e ON e.vec_id = m.query_id)"""
+
+
+def _wide_select() -> str:
+    cols = []
+    for a in C.ALGOS:
+        cols.append(f"max(CASE WHEN algo = '{a}' THEN cost END) AS {a}_cost")
+        cols.append(f"max(CASE WHEN algo = '{a}' THEN sum_dist END) AS {a}_sum_dist")
+        cols.append(f"max(CASE WHEN algo = '{a}' THEN spread END) AS {a}_spread")
+    return ", ".join(cols)
+
+
+def _wide_cte() -> str:
+    outer = ["dataset", "k", "query_id"]
+    for a in C.ALGOS:
+        outer += [f"{a}_cost", f"{a}_sum_dist", f"{a}_spread"]
+    for a in C.ALGOS:
+        if a == "exact":
+            continue
+        outer.append(f"""CASE WHEN {a}_cost IS NULL THEN NULL WHEN {a}_cost > 0 THEN exact_cost / {a}_cost
+                         ELSE 1.0 END AS {a}_speedup""")
+        outer.append(f"""CASE WHEN {a}_sum_dist IS NULL THEN NULL WHEN exact_sum_dist > 0
+                         THEN ({a}_sum_dist - exact_sum_dist) / exact_sum_dist * 100.0 ELSE 0.0 END AS {a}_pct_diff""")
+    return f"""wide AS (SELECT {", ".join(outer)} FROM (SELECT dataset, k, query_id, {_wide_select()} FROM lng
+                     GROUP BY dataset, k, query_id) WHERE exact_sum_dist IS NOT NULL)"""
+
+
+def _wide_numeric() -> list[str]:
+    cols = []
+    for a in C.ALGOS:
+        cols += [f"{a}_cost", f"{a}_sum_dist", f"{a}_spread"]
+    for a in C.ALGOS:
+        if a != "exact":
+            cols += [f"{a}_speedup", f"{a}_pct_diff"]
+    return cols
+
+
+def sweep_wide() -> str:
+    sel = ["dataset", "k", "query_id"]
+    for c in _wide_numeric():
+        sel.append(f"{c}::BIGINT AS {c}" if c.endswith("_cost") else f"round({c}, 6) AS {c}")
+    return f"""
+    WITH {sweep_long_ctes()}, {_wide_cte()}
+    SELECT {", ".join(sel)} FROM wide"""
+
+
+def sweep_summary_stats() -> str:
+    parts = []
+    for t, fn in (("MEAN", "avg"), ("MAX", "max"), ("MIN", "min"), ("STD", "stddev_samp")):
+        cols = ", ".join(f"round({fn}({c}::DOUBLE), 6) AS {c}" for c in _wide_numeric())
+        parts.append(f"SELECT k, '{t}' AS type, {cols} FROM wide GROUP BY k")
+    return f"""
+    WITH {sweep_long_ctes()}, {_wide_cte()}
+    {" UNION ALL ".join(parts)}"""
+
+
+def cost_quartiles() -> str:
+    return f"""
+    WITH {sweep_long_ctes(with_spread=False)},
+         q AS (SELECT algo, k, count(*) AS n, quantile_cont(cost::DOUBLE, [0.25, 0.5, 0.75]) AS qs
+               FROM lng GROUP BY algo, k),
+         j AS (SELECT lng.algo, lng.k, lng.cost::DOUBLE AS v, q.n, q.qs[1] AS q1, q.qs[2] AS med, q.qs[3] AS q3
+               FROM lng JOIN q USING (algo, k))
+    SELECT algo, k, n::BIGINT AS n, round(q1, 6) AS q1, round(med, 6) AS median, round(q3, 6) AS q3,
+           round(min(CASE WHEN v >= q1 - 1.5 * (q3 - q1) AND v <= q3 + 1.5 * (q3 - q1) THEN v END), 6) AS whisker_lo,
+           round(max(CASE WHEN v >= q1 - 1.5 * (q3 - q1) AND v <= q3 + 1.5 * (q3 - q1) THEN v END), 6) AS whisker_hi,
+           round(min(v), 6) AS min, round(max(v), 6) AS max
+    FROM j GROUP BY algo, k, n, q1, med, q3"""
+
+
+def dataset_change_marker() -> str:
+    return f"""
+    WITH m AS (SELECT ks.k, e.vec_id AS query_id, 'label_' || e.label::VARCHAR AS dataset
+               FROM embeddings e, (SELECT unnest([{", ".join(str(k) for k in C.K_SWEEP)}])::INTEGER AS k) ks
+               WHERE e.embedding IS NOT NULL)
+    SELECT k, query_id, dataset,
+           coalesce(dataset <> lag(dataset) OVER (ORDER BY k, query_id), false) AS marker
+    FROM m"""
+
+
 def all_sql() -> dict[str, str]:
     names = [
         "knn_exact_top20", "knn_sq_l2_top10", "knn_k_sweep_sums", "knn_with_text", "result_spread",
         "result_proportionality", "ivf_train_sample", "ivf_lloyd_round", "ivf_assign_sizes",
         "ivf_search_nprobe10", "ivf_recall_sweep", "ivf_candidate_cost",
         "forest_leaf_sizes", "forest_search_budget",
+        "compare_baseline", "compare_totals", "sweep_wide", "sweep_summary_stats", "cost_quartiles",
+        "dataset_change_marker",
     ]
     g = globals()
     return {n: g[n]() for n in names if n in g}
