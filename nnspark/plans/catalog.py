@@ -264,3 +264,135 @@ def dataset_change_marker(spark, sf_dir):
     m = m.select("k", "query_id", "dataset", F.col("query_id").alias("query_ord"))
     out = compare.change_marker(m, "dataset", "k", "query_ord")
     return out.select("k", "query_id", "dataset", "marker")
+
+
+# ---------------------------------------------------------------- text, queries, datasets
+
+from nnspark.functions import text as T  # noqa: E402
+from nnspark.operators import dataset, embed, graph, querygen  # noqa: E402
+from nnspark.sources import keywords  # noqa: E402
+
+# Vocabulary of the events table, in code order (class encoding P7).
+EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
+GRAPH_M = 16
+GRAPH_EF = 50
+TEXT_K = 5
+
+
+def keyword_lines(spark, sf_dir) -> DataFrame:
+    """Keyword lines derived from whole tables: ``p_partkey p_name`` per part,
+    and every line of every document (mostly not keyword lines)."""
+    part = read(spark, sf_dir, "part").select(
+        F.lit("part").alias("src"), F.col("p_partkey").alias("key"), F.lit(0).alias("pos"),
+        F.concat_ws(" ", F.col("p_partkey").cast("string"), F.col("p_name")).alias("line"),
+    )
+    docs = read(spark, sf_dir, "documents").select(
+        F.lit("documents").alias("src"), F.col("doc_id").alias("key"),
+        F.posexplode(F.split(F.col("text"), "\n", -1)).alias("pos", "line"),
+    )
+    return part.unionByName(docs)
+
+
+def parse_keyword_lines(spark, sf_dir):
+    lines = keyword_lines(spark, sf_dir)
+    tok, txt, kid = T.keyword_id_token("line"), T.keyword_text("line"), T.keyword_id("line")
+    two = (tok != "") & (txt != "")
+    status = F.when(two & kid.isNotNull(), "ok").when(two, "reject").otherwise("skip")
+    ok = two & kid.isNotNull()
+    return lines.select("src", "key", F.col("pos").cast("int").alias("pos"), status.alias("status"),
+                        F.when(ok, kid).alias("id"), F.when(ok, txt).alias("text"))
+
+
+def keep_last_text(spark, sf_dir):
+    part = read(spark, sf_dir, "part").select(
+        F.col("p_size").alias("id"), F.col("p_name").alias("text"), F.col("p_partkey").alias("line_no")
+    )
+    return keywords.keep_last(part)
+
+
+def distinct_first_seen(spark, sf_dir):
+    part = read(spark, sf_dir, "part").select(F.col("p_name").alias("value"), F.col("p_partkey").alias("ord"))
+    return keywords.first_seen(part, "value", "ord").select("value", "ord", F.col("n").cast("long").alias("n"))
+
+
+def expand_entity_queries(spark, sf_dir):
+    nation = read(spark, sf_dir, "nation").select(F.col("n_name").alias("entity"),
+                                                  F.col("n_nationkey").cast("long").alias("ord"))
+    part = read(spark, sf_dir, "part").select(F.col("p_name").alias("entity"),
+                                              (F.lit(1 << 32) + F.col("p_partkey")).cast("long").alias("ord"))
+    ents = keywords.first_seen(nation.unionByName(part).where(F.col("entity").isNotNull()), "entity", "ord")
+    return querygen.expand(ents)
+
+
+def corpus_shape(spark, sf_dir):
+    emb = corpus(spark, sf_dir)
+    dims = emb.where(F.col("embedding").isNotNull()).agg(F.max(F.size("embedding")).alias("d")).first()["d"]
+    return emb.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min(F.size("embedding")).alias("dim_min"),
+        F.max(F.size("embedding")).alias("dim_max"),
+        F.countDistinct("label").alias("n_labels"),
+        F.sum(F.when(F.col("embedding").isNull(), 1).otherwise(0)).cast("long").alias("n_null"),
+        F.sum(F.when(F.size("embedding") == F.lit(dims), 1).otherwise(0)).cast("long").alias("n_width_ok"),
+    ).select(F.col("n").cast("long"), F.col("dim_min").cast("int"), F.col("dim_max").cast("int"),
+             F.col("n_labels").cast("long"), "n_null", "n_width_ok")
+
+
+def _event_split_cols():
+    return [F.col("user_id").cast("string"), F.col("event_type"),
+            F.round(F.col("value") * 100).cast("long").cast("string"), F.col("props")]
+
+
+def hash_split_85(spark, sf_dir):
+    ev = read(spark, sf_dir, "events")
+    flag = dataset.split_flag(*_event_split_cols())
+    return ev.select("event_id", F.when(flag, "train").otherwise("test").alias("split"))
+
+
+def class_codes(spark, sf_dir):
+    ev = read(spark, sf_dir, "events")
+    return ev.groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).select(
+        "event_type", dataset.class_code("event_type", EVENT_TYPES).alias("code"), F.col("n").cast("long")
+    )
+
+
+# ---------------------------------------------------------------- embedding
+
+def embed_texts(spark, sf_dir):
+    part = read(spark, sf_dir, "part")
+    w = part.select(F.col("p_partkey").alias("id"), embed.trigram_weights("p_name").alias("w"))
+    return w.select("id", F.posexplode("w").alias("dim", "weight")).where(F.col("weight") > 0) \
+        .select("id", F.col("dim").cast("int"), r6("weight").alias("weight"))
+
+
+def text_query_search(spark, sf_dir):
+    part = read(spark, sf_dir, "part")
+    corpus_t = embed.embed_texts(part.select(F.col("p_partkey").alias("vec_id"), F.col("p_name").alias("text")))
+    nation = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("query_id"),
+                                                  F.col("n_name").alias("query"))
+    qs = embed.embed_queries(nation)
+    r = exact.exact_knn(corpus_t, qs, TEXT_K)
+    out = exact.with_text(r, part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text")))
+    return out.select("query_id", "rank", "id", r6("dist").alias("dist"), "text")
+
+
+# ---------------------------------------------------------------- graph
+
+_GRAPH_CACHE: dict = {}
+
+
+def graph_index(spark, sf_dir) -> graph.Graph:
+    key = (id(spark), sf_dir)
+    if key not in _GRAPH_CACHE:
+        _GRAPH_CACHE[key] = graph.build(corpus(spark, sf_dir), GRAPH_M)
+    return _GRAPH_CACHE[key]
+
+
+def graph_knn_edges(spark, sf_dir):
+    return graph.knn_edges(corpus(spark, sf_dir), GRAPH_M)
+
+
+def graph_search_ef50(spark, sf_dir):
+    emb = corpus(spark, sf_dir)
+    r = graph.search(graph_index(spark, sf_dir), exact.self_queries(emb), K_MAIN, GRAPH_EF, corpus=emb)
+    return r.select("query_id", "rank", "id", r6("dist").alias("dist"), "cost")

@@ -450,6 +450,163 @@ def dataset_change_marker() -> str:
     FROM m"""
 
 
+# ------------------------------------------------------------------ text, queries, datasets
+
+def _kw_pattern() -> str:
+    from nnspark.functions.text import KEYWORD_LINE
+
+    return KEYWORD_LINE.replace("'", "''")
+
+
+def parse_keyword_lines() -> str:
+    from nnspark.functions.text import INTEGER_TOKEN
+
+    pat = _kw_pattern()
+    return f"""
+    WITH lines AS (
+        SELECT 'part' AS src, p_partkey AS key, 0 AS pos, concat_ws(' ', p_partkey::VARCHAR, p_name) AS line FROM part
+        UNION ALL
+        SELECT 'documents', doc_id, pos, line FROM (
+            SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+                   unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents)),
+    t AS (SELECT src, key, pos, regexp_extract(line, '{pat}', 1) AS tok, regexp_extract(line, '{pat}', 2) AS txt
+          FROM lines),
+    u AS (SELECT *, tok <> '' AND txt <> '' AS two,
+                 CASE WHEN regexp_matches(tok, '{INTEGER_TOKEN}') THEN TRY_CAST(tok AS BIGINT) END AS kid FROM t)
+    SELECT src, key, pos::INTEGER AS pos,
+           CASE WHEN two AND kid IS NOT NULL THEN 'ok' WHEN two THEN 'reject' ELSE 'skip' END AS status,
+           CASE WHEN two AND kid IS NOT NULL THEN kid END AS id,
+           CASE WHEN two AND kid IS NOT NULL THEN txt END AS text
+    FROM u"""
+
+
+def keep_last_text() -> str:
+    return "SELECT p_size AS id, arg_max(p_name, p_partkey) AS text FROM part GROUP BY p_size"
+
+
+def distinct_first_seen() -> str:
+    return "SELECT p_name AS value, min(p_partkey) AS ord, count(*)::BIGINT AS n FROM part GROUP BY p_name"
+
+
+def expand_entity_queries() -> str:
+    from nnspark.operators.querygen import EXPANSION_RULES, MAX_VARIANTS
+
+    def fill(t: str) -> str:
+        out, rest = [], t
+        while rest:
+            iy, i_f = rest.find("{year}"), rest.find("{frat}")
+            c = [(i, g) for i, g in ((iy, "year"), (i_f, "frat")) if i >= 0]
+            if not c:
+                out.append("'" + rest.replace("'", "''") + "'")
+                break
+            i, g = min(c)
+            if i:
+                out.append("'" + rest[:i].replace("'", "''") + "'")
+            out.append(g)
+            rest = rest[i + 6:]
+        return " || ".join(out)
+
+    branches = " ".join(
+        f"WHEN contains(e, '{p}') THEN [base, {', '.join(fill(t) for t in ts)}]" for p, ts in EXPANSION_RULES
+    )
+    return f"""
+    WITH ents AS (SELECT n_name AS e, n_nationkey::BIGINT AS o FROM nation
+                  UNION ALL SELECT p_name, 4294967296 + p_partkey FROM part),
+         ent AS (SELECT e, min(o) AS o FROM ents WHERE e IS NOT NULL GROUP BY e),
+         b AS (SELECT e, o, replace(replace(e, 'List_of_', ''), '_', ' ') AS base, split_part(e, '_', 1) AS year
+               FROM ent),
+         v AS (SELECT o, CASE {branches} ELSE [base] END AS arr
+               FROM (SELECT *, replace(base, ' chapters', '') AS frat FROM b))
+    SELECT q AS query, min(o * {MAX_VARIANTS} + i)::BIGINT AS ord
+    FROM (SELECT o, unnest(arr) AS q, unnest(range(len(arr))) AS i FROM v)
+    GROUP BY q"""
+
+
+def corpus_shape() -> str:
+    return """
+    WITH d AS (SELECT max(len(embedding)) AS d FROM embeddings WHERE embedding IS NOT NULL)
+    SELECT count(*)::BIGINT AS n, min(len(embedding))::INTEGER AS dim_min, max(len(embedding))::INTEGER AS dim_max,
+           count(DISTINCT label)::BIGINT AS n_labels,
+           sum(CASE WHEN embedding IS NULL THEN 1 ELSE 0 END)::BIGINT AS n_null,
+           sum(CASE WHEN len(embedding) = (SELECT d FROM d) THEN 1 ELSE 0 END)::BIGINT AS n_width_ok
+    FROM embeddings"""
+
+
+def hash_split_85() -> str:
+    key = ("concat_ws('|', coalesce(user_id::VARCHAR, ''), coalesce(event_type, ''), "
+           "coalesce(round(value * 100)::BIGINT::VARCHAR, ''), coalesce(props, ''))")
+    return f"""
+    SELECT event_id,
+           CASE WHEN {md5_key("'split:' || " + key)} / 4294967296.0 < 0.85 THEN 'train' ELSE 'test' END AS split
+    FROM events"""
+
+
+def class_codes() -> str:
+    names = ", ".join(f"'{n}'" for n in C.EVENT_TYPES)
+    return f"""
+    SELECT event_type, (coalesce(list_position([{names}], event_type), 0) - 1)::INTEGER AS code,
+           count(*)::BIGINT AS n
+    FROM events GROUP BY event_type"""
+
+
+# ------------------------------------------------------------------ embedding
+
+def _trigram_counts(table: str, id_col: str, text_col: str) -> str:
+    from nnspark.operators.embed import DEFAULT_DIM
+
+    return f"""
+    SELECT id, j, count(*) AS cnt FROM (
+        SELECT id, ({md5_key("'tri:' || gram")} % {DEFAULT_DIM})::INTEGER AS j FROM (
+            SELECT {id_col} AS id,
+                   unnest(list_transform(range(1, greatest(length(lower({text_col})) - 2, 1) + 1),
+                                         lambda i: substr(lower({text_col}), i, 3))) AS gram
+            FROM {table}))
+    GROUP BY id, j"""
+
+
+def embed_texts() -> str:
+    return f"""
+    WITH c AS ({_trigram_counts('part', 'p_partkey', 'p_name')}),
+         nrm AS (SELECT id, sqrt(sum(cnt * cnt)) AS nrm FROM c GROUP BY id)
+    SELECT id, j AS dim, round(cnt / nrm, 6) AS weight FROM c JOIN nrm USING (id)"""
+
+
+def _embedded(table: str, id_col: str, text_col: str) -> str:
+    from nnspark.operators.embed import DEFAULT_DIM
+
+    return f"""
+    SELECT g.id, list((coalesce(c.cnt, 0) / nrm.nrm)::FLOAT ORDER BY g.j) AS v
+    FROM (SELECT {id_col} AS id, unnest(range({DEFAULT_DIM}))::INTEGER AS j FROM {table}) g
+    LEFT JOIN ({_trigram_counts(table, id_col, text_col)}) c ON c.id = g.id AND c.j = g.j
+    JOIN (SELECT id, sqrt(sum(cnt * cnt)) AS nrm FROM ({_trigram_counts(table, id_col, text_col)}) GROUP BY id) nrm
+      ON nrm.id = g.id
+    GROUP BY g.id"""
+
+
+def text_query_search() -> str:
+    return f"""
+    WITH cv AS ({_embedded('part', 'p_partkey', 'p_name')}),
+         qv AS ({_embedded('nation', 'n_nationkey::BIGINT', 'n_name')}),
+         r AS (SELECT q.id AS query_id, c.id, {d2('q.v', 'c.v')} AS d2,
+                      row_number() OVER (PARTITION BY q.id ORDER BY {d2('q.v', 'c.v')}, c.id) AS rank
+               FROM qv q, cv c QUALIFY rank <= {C.TEXT_K})
+    SELECT r.query_id, r.rank::INTEGER AS rank, r.id, round({dist('r.d2')}, 6) AS dist,
+           coalesce(p.p_name, 'ID ' || r.id::VARCHAR) AS text
+    FROM r LEFT JOIN part p ON p.p_partkey = r.id"""
+
+
+# ------------------------------------------------------------------ graph
+
+def graph_knn_edges() -> str:
+    return f"""
+    SELECT q.vec_id AS src, c.vec_id AS dst,
+           (row_number() OVER (PARTITION BY q.vec_id ORDER BY {d2('q.embedding', 'c.embedding')}, c.vec_id))::INTEGER
+             AS rank
+    FROM embeddings q, embeddings c
+    WHERE q.embedding IS NOT NULL AND c.embedding IS NOT NULL AND q.vec_id <> c.vec_id
+    QUALIFY rank <= {C.GRAPH_M}"""
+
+
 def all_sql() -> dict[str, str]:
     names = [
         "knn_exact_top20", "knn_sq_l2_top10", "knn_k_sweep_sums", "knn_with_text", "result_spread",
@@ -457,7 +614,9 @@ def all_sql() -> dict[str, str]:
         "ivf_search_nprobe10", "ivf_recall_sweep", "ivf_candidate_cost",
         "forest_leaf_sizes", "forest_search_budget",
         "compare_baseline", "compare_totals", "sweep_wide", "sweep_summary_stats", "cost_quartiles",
-        "dataset_change_marker",
+        "dataset_change_marker", "parse_keyword_lines", "keep_last_text", "distinct_first_seen",
+        "expand_entity_queries", "corpus_shape", "hash_split_85", "class_codes", "embed_texts",
+        "text_query_search", "graph_knn_edges",
     ]
     g = globals()
     return {n: g[n]() for n in names if n in g}
