@@ -149,6 +149,27 @@ def finish_topk_with_cost(cand: DataFrame, k: int, cost: DataFrame, small_cost:
     )
 
 
+def query_blocks(qf: DataFrame, nq: int, dq: int, budget: int, salt: int = 0):
+    """Yield (ids, matrix) blocks of the query table, each within ``budget``.
+
+    Blocks are hash ranges of query_id sized with headroom; a block that still
+    comes out too large (uneven hashing) is split again with another salt.
+    Only block indices loop on the driver; each block is one bounded gather.
+    """
+    need = nq * max(dq, 1) * 8
+    if need <= budget:
+        yield gather_vectors(qf, "query_id", "qv", budget, (nq, dq))
+        return
+    nblocks = max(2, math.ceil(1.5 * need / budget))
+    bucket = F.pmod(F.xxhash64(F.col("query_id"), F.lit(salt)), F.lit(nblocks))
+    for b in range(nblocks):
+        block = qf.where(bucket == b)
+        bn, bd = measure(block, "qv")
+        if bn == 0:
+            continue
+        yield from query_blocks(block, bn, bd or dq, budget, salt + 1)
+
+
 def exact_knn(
     corpus: DataFrame,
     queries: DataFrame,
@@ -180,13 +201,11 @@ def exact_knn(
     if nq == 0:
         schema = PARTIAL_SCHEMA + (", vec array<float>" if with_vectors else "")
         return finish_topk(spark.createDataFrame([], schema), k, exclude_self)
-    nblocks = max(1, math.ceil(nq * max(dq, 1) * 8 / budget))
-    parts = []
-    for b in range(nblocks):
-        block = qf if nblocks == 1 else qf.where(F.pmod(F.xxhash64("query_id"), F.lit(nblocks)) == b)
-        qids, Q = gather_vectors(block, "query_id", "qv", budget, (nq, dq) if nblocks == 1 else None)
-        if len(qids):
-            parts.append(_partition_topk(cf, qids, Q, k_scan, with_vectors))
+    parts = [
+        _partition_topk(cf, qids, Q, k_scan, with_vectors)
+        for qids, Q in query_blocks(qf, nq, dq, budget)
+        if len(qids)
+    ]
     partial = reduce(DataFrame.unionByName, parts)
     return finish_topk(partial, k, exclude_self)
 
