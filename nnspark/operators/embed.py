@@ -14,6 +14,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,9 +59,42 @@ def trigram_weights(text, dim: int = DEFAULT_DIM) -> Column:
     return _let(_let(trigram_buckets(text, dim), count), scale)
 
 
-def embed_texts(df: DataFrame, text_col: str = "text", out_col: str = "embedding", dim: int = DEFAULT_DIM) -> DataFrame:
-    """X1 with the built-in encoder: adds ``out_col array<float>``."""
-    return df.withColumn(out_col, trigram_weights(text_col, dim).cast("array<float>"))
+def _trigram_batch(texts, dim: int):
+    import hashlib
+
+    import numpy as np
+
+    out = []
+    for t in texts:
+        if t is None:
+            out.append(np.zeros(dim))
+            continue
+        s = t.lower()
+        grams = [s[i:i + 3] for i in range(max(len(s) - 2, 1))]
+        b = [int(hashlib.md5(("tri:" + g).encode("utf-8")).hexdigest()[:8], 16) % dim for g in grams]
+        c = np.bincount(b, minlength=dim).astype(np.float64)
+        n = np.sqrt((c * c).sum())
+        out.append(c / n if n > 0 else c)
+    return out
+
+
+def trigram_udf(dim: int = DEFAULT_DIM):
+    """The same encoder as ``trigram_weights`` as an Arrow-batched pandas UDF
+    (array<double>): one hash per trigram and a bincount per text."""
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def encode(texts: pd.Series) -> pd.Series:
+        return pd.Series(_trigram_batch(texts, dim))
+
+    return encode
+
+
+def embed_texts(df: DataFrame, text_col: str = "text", out_col: str = "embedding", dim: int = DEFAULT_DIM,
+                jvm: bool = False) -> DataFrame:
+    """X1 with the built-in encoder: adds ``out_col array<float>``.
+
+    ``jvm=True`` uses the pure-expression form (no Python workers)."""
+    w = trigram_weights(text_col, dim) if jvm else trigram_udf(dim)(F.col(text_col))
+    return df.withColumn(out_col, w.cast("array<float>"))
 
 
 def embed_with_model(df: DataFrame, make_predict_fn: Callable, dim: int, text_col: str = "text",

@@ -226,17 +226,18 @@ def k_sweep(ranked_max: DataFrame, ks: list[int]) -> DataFrame:
 
 
 def with_text(ranked: DataFrame, texts: DataFrame, id_col: str = "id", text_col: str = "text",
-              default_prefix: str = "ID ", max_hit_ids: int = 5_000_000) -> DataFrame:
+              default_prefix: str = "ID ", hits_bound: int | None = None,
+              max_broadcast_ids: int = 5_000_000) -> DataFrame:
     """Attach the text of each hit, with a default when the id has none.
 
-    The text table can be as large as the corpus, the hits are queries x k:
-    the distinct hit ids are broadcast (after a count against ``max_hit_ids``)
-    to semi-join the text table, so the text table is never shuffled whole.
+    The text table can be as large as the corpus; the hits are at most
+    queries x k.  When that bound (``hits_bound``) is known and small, the
+    distinct hit ids are broadcast to semi-join the text table, so the text
+    table is never shuffled; otherwise Spark (AQE) picks the join.
     """
     hit_ids = ranked.select(F.col("id").alias("_tid")).distinct()
-    n_ids = hit_ids.count()
     t = texts.select(F.col(id_col).cast("long").alias("_tid"), F.col(text_col).alias("_text"))
-    if n_ids <= max_hit_ids:
+    if hits_bound is not None and hits_bound <= max_broadcast_ids:
         t = t.join(F.broadcast(hit_ids), "_tid", "left_semi")
     else:
         t = t.join(hit_ids, "_tid", "left_semi")

@@ -38,6 +38,7 @@ from nnspark.operators.kernels import list_matrix, nearest_rows
 CENTROID_DECIMALS = 9
 DEFAULT_TRAIN_SIZE = 100_000
 MAX_BROADCAST_PROBE_ROWS = 20_000_000
+DEFAULT_LIST_BUCKETS = 256
 
 
 def default_nlist(n: int) -> int:
@@ -119,18 +120,29 @@ def _partial_sums(sample: DataFrame, C: np.ndarray) -> DataFrame:
 
 
 def lloyd_round(sample: DataFrame, C: np.ndarray) -> np.ndarray:
-    """One k-means round; an empty list keeps its centroid."""
+    """One k-means round; an empty list keeps its centroid.
+
+    One aggregation: per (list, dim) the partial sums, with the member count
+    riding along as dim = -1; nlist x (dim + 1) rows come back (bounded).
+    """
     part = _partial_sums(sample, C)
-    counts = part.groupBy("list_id").agg(F.sum("cnt").alias("cnt"))
-    dims = part.select("list_id", F.posexplode("sums").alias("dim", "s")).groupBy("list_id", "dim").agg(
-        F.sum("s").alias("s")
-    )
-    tot = dims.join(counts, "list_id").select("list_id", "dim", (F.col("s") / F.col("cnt")).alias("x"))
-    tbl = tot.toArrow()
-    newc = C.copy()
+    cells = part.select(
+        "list_id",
+        F.explode(F.concat(F.array(F.struct(F.lit(-1).alias("dim"), F.col("cnt").cast("double").alias("s"))),
+                           F.transform("sums", lambda x, i: F.struct(i.alias("dim"), x.alias("s"))))).alias("c"),
+    ).select("list_id", "c.dim", "c.s")
+    tbl = cells.groupBy("list_id", "dim").agg(F.sum("s").alias("s")).toArrow()
     lid = tbl.column("list_id").to_numpy()
     dim = tbl.column("dim").to_numpy()
-    newc[lid, dim] = tbl.column("x").to_numpy()
+    val = tbl.column("s").to_numpy()
+    cnt = np.zeros(C.shape[0])
+    is_cnt = dim < 0
+    cnt[lid[is_cnt]] = val[is_cnt]
+    sums = np.zeros_like(C)
+    sums[lid[~is_cnt], dim[~is_cnt]] = val[~is_cnt]
+    newc = C.copy()
+    filled = cnt > 0
+    newc[filled] = sums[filled] / cnt[filled][:, None]
     return _round_centroids(newc)
 
 
@@ -148,10 +160,11 @@ def train(corpus: DataFrame, nlist: int | None = None, n_iter: int = 10, train_s
     from nnspark.session import scratch_path
     path = scratch_path(spark, "ivf-sample")
     sample.write.parquet(path)
-    sample = spark.read.parquet(path)
+    sample = spark.read.parquet(path).cache()
     C = seed_centroids(sample, min(nlist, m), budget)
     for _ in range(n_iter):
         C = lloyd_round(sample, C)
+    sample.unpersist()
     return C
 
 
@@ -195,12 +208,17 @@ def probe_lists(queries: DataFrame, C: np.ndarray, nprobe: int) -> DataFrame:
                    "list_id int, query_id long, probe_rank int", ["query_id"], with_rank=True)
 
 
+def _bucket_count(postings: DataFrame) -> int:
+    return int(postings.agg(F.max("list_bucket")).first()[0] or 0) + 1
+
+
 @dataclass
 class IvfIndex:
     """Trained centroids (driver-side, bounded) plus the postings table."""
 
     centroids: np.ndarray
     postings: DataFrame
+    buckets: int = 0
 
     @property
     def nlist(self) -> int:
@@ -213,29 +231,42 @@ class IvfIndex:
         rows = [(i, [float(x) for x in c]) for i, c in enumerate(self.centroids)]
         return spark.createDataFrame(rows, "list_id int, centroid array<double>")
 
-    def save(self, path: str, buckets: int = 0) -> None:
-        """Persist as Parquet; postings partitioned by list (or by a list bucket)."""
+    def save(self, path: str, buckets: int | None = None) -> None:
+        """Persist as Parquet; postings partitioned by list bucket."""
         spark = self.postings.sparkSession
         self.centroid_frame(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
-        p = self.postings
-        if buckets:
-            p = p.withColumn("list_bucket", F.pmod(F.col("list_id"), F.lit(buckets)))
-            p.repartition("list_bucket").write.mode("overwrite").partitionBy("list_bucket").parquet(f"{path}/postings")
-        else:
-            p.repartition("list_id").write.mode("overwrite").partitionBy("list_id").parquet(f"{path}/postings")
+        write_postings(self.postings, f"{path}/postings", buckets or self.buckets or DEFAULT_LIST_BUCKETS)
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> "IvfIndex":
         cent = spark.read.parquet(f"{path}/centroids").orderBy("list_id").toArrow()
         C = list_matrix(cent.column("centroid"))
-        postings = spark.read.parquet(f"{path}/postings").select("list_id", "id", "vec")
-        return cls(C, postings)
+        postings = spark.read.parquet(f"{path}/postings").select("list_id", "id", "vec", "list_bucket")
+        return cls(C, postings, _bucket_count(postings))
+
+
+def write_postings(postings: DataFrame, path: str, buckets: int = DEFAULT_LIST_BUCKETS) -> None:
+    """Postings on disk: directory per list bucket (pmod(list_id, B)), rows
+    clustered by list inside, so a probe touches few files and a hot list is
+    spread over the bucket's files rather than one task."""
+    p = postings.select("list_id", "id", "vec").withColumn("list_bucket", F.pmod(F.col("list_id"), F.lit(buckets)))
+    p.repartition(buckets, "list_bucket").sortWithinPartitions("list_id").write.mode("overwrite") \
+        .partitionBy("list_bucket").parquet(path)
 
 
 def build(corpus: DataFrame, nlist: int | None = None, n_iter: int = 10, train_size: int = DEFAULT_TRAIN_SIZE,
-          seed: str = "ivf", id_col: str = "vec_id", vec_col: str = "embedding") -> IvfIndex:
+          seed: str = "ivf", id_col: str = "vec_id", vec_col: str = "embedding",
+          buckets: int = DEFAULT_LIST_BUCKETS) -> IvfIndex:
+    """Train, assign every vector, and write the postings as a table in the
+    checkpoint folder (searches read it; they never re-assign the corpus)."""
+    from nnspark.session import scratch_path
+
+    spark = corpus.sparkSession
     C = train(corpus, nlist, n_iter, train_size, seed, id_col, vec_col)
-    return IvfIndex(C, assign(corpus, C, id_col, vec_col))
+    path = scratch_path(spark, "ivf-postings")
+    nb = max(1, min(buckets, C.shape[0]))
+    write_postings(assign(corpus, C, id_col, vec_col), path, nb)
+    return IvfIndex(C, spark.read.parquet(path), nb)
 
 
 def search(index: IvfIndex, queries: DataFrame, k: int, nprobe: int, *, query_id_col: str = "query_id",
@@ -255,7 +286,14 @@ def search(index: IvfIndex, queries: DataFrame, k: int, nprobe: int, *, query_id
     small_queries = nq * max(dq, 1) * 8 <= budget
     pj = F.broadcast(probes) if small_probes else probes
     qj = F.broadcast(qf) if small_queries else qf
-    cand = index.postings.join(pj, "list_id").join(qj, "query_id")
+    post = index.postings
+    if "list_bucket" in post.columns:
+        # the bucket of every probed list: lets the scan skip unprobed bucket directories
+        nb = index.buckets or _bucket_count(post)
+        pj = pj.withColumn("list_bucket", F.pmod(F.col("list_id"), F.lit(nb)))
+        cand = post.join(pj, ["list_bucket", "list_id"]).join(qj, "query_id")
+    else:
+        cand = post.join(pj, "list_id").join(qj, "query_id")
     cols = ["query_id", "id", sq_l2("vec", "qv").alias("d2")] + (["vec"] if with_vectors else [])
     cand = cand.select(*cols)
     sizes = index.list_sizes()

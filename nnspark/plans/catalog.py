@@ -65,7 +65,8 @@ def knn_k_sweep_sums(spark, sf_dir):
 def knn_with_text(spark, sf_dir):
     r = exact_ranked(spark, sf_dir, 10)
     part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text"))
-    out = exact.with_text(r, part)
+    n_queries = corpus(spark, sf_dir).count()
+    out = exact.with_text(r, part, hits_bound=n_queries * 10)
     return out.select("query_id", "rank", "id", "text")
 
 
@@ -360,7 +361,7 @@ def class_codes(spark, sf_dir):
 
 def embed_texts(spark, sf_dir):
     part = read(spark, sf_dir, "part")
-    w = part.select(F.col("p_partkey").alias("id"), embed.trigram_weights("p_name").alias("w"))
+    w = part.select(F.col("p_partkey").alias("id"), embed.trigram_udf()(F.col("p_name")).alias("w"))
     return w.select("id", F.posexplode("w").alias("dim", "weight")).where(F.col("weight") > 0) \
         .select("id", F.col("dim").cast("int"), r6("weight").alias("weight"))
 
@@ -372,7 +373,8 @@ def text_query_search(spark, sf_dir):
                                                   F.col("n_name").alias("query"))
     qs = embed.embed_queries(nation)
     r = exact.exact_knn(corpus_t, qs, TEXT_K)
-    out = exact.with_text(r, part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text")))
+    out = exact.with_text(r, part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text")),
+                          hits_bound=nation.count() * TEXT_K)
     return out.select("query_id", "rank", "id", r6("dist").alias("dist"), "text")
 
 
