@@ -5,14 +5,19 @@ self-join), made symmetric.  Search: batched beam search as DataFrame rounds.
 Every query starts from a few md5-chosen entry vectors; each round the
 neighbours of the query's current best ``ef`` vectors that it has not yet
 visited are scored, visited grows, and the best ``ef`` are re-selected by
-(distance, id).  Rounds stop when no query's best set changes (or after
-``max_rounds``).  Each round's state is written to the checkpoint folder, so
-the lineage stays one round deep and a lost executor recomputes one round.
+(distance, id).  Rounds stop when a round scores nothing new, i.e. one round
+after no query's best set changed (or after ``max_rounds``).  Edges and
+vectors are tables bucketed on the join keys (src, id), so each round
+shuffles only the small frontier side.  Each round's state is written to the
+checkpoint folder, so the lineage stays one round deep and a lost executor
+recomputes one round.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,9 +36,22 @@ DEFAULT_MAX_ROUNDS = 32
 
 @dataclass
 class Graph:
-    edges: DataFrame      # src, dst (symmetric)
+    edges: DataFrame      # src, dst (symmetric), bucketed by src
     entries: list[int]
     m: int
+    vectors: DataFrame | None = None   # id, vec, bucketed by id (same bucket count)
+
+
+DEFAULT_BUCKETS = 64
+
+
+def _bucketed_table(df: DataFrame, key: str, buckets: int, prefix: str) -> DataFrame:
+    """Write ``df`` as a table bucketed and sorted by ``key`` in the checkpoint
+    folder, so later joins on ``key`` shuffle only the other side."""
+    spark = df.sparkSession
+    name = f"nn_{prefix}_{uuid.uuid4().hex[:12]}"
+    df.write.bucketBy(buckets, key).sortBy(key).option("path", scratch_path(spark, prefix)).saveAsTable(name)
+    return spark.table(name)
 
 
 def knn_edges(corpus: DataFrame, m: int = DEFAULT_M, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -44,31 +62,35 @@ def knn_edges(corpus: DataFrame, m: int = DEFAULT_M, id_col: str = "vec_id", vec
 
 
 def build(corpus: DataFrame, m: int = DEFAULT_M, n_entries: int = DEFAULT_ENTRIES, seed: str = "graph",
-          id_col: str = "vec_id", vec_col: str = "embedding") -> Graph:
-    spark = corpus.sparkSession
+          id_col: str = "vec_id", vec_col: str = "embedding", buckets: int = DEFAULT_BUCKETS) -> Graph:
     d = knn_edges(corpus, m, id_col, vec_col).select("src", "dst")
     sym = d.unionByName(d.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    path = scratch_path(spark, "graph-edges")
-    sym.repartition("src").write.parquet(path)
-    edges = spark.read.parquet(path)
+    edges = _bucketed_table(sym, "src", buckets, "graph_edges")
+    vectors = _bucketed_table(corpus_frame(corpus, id_col, vec_col), "id", buckets, "graph_vectors")
     entries = [int(r["id"]) for r in sample_ids(corpus, n_entries, seed, id_col).collect()]
-    return Graph(edges, entries, m)
+    return Graph(edges, entries, m, vectors)
 
 
 def search(graph: Graph, queries: DataFrame, k: int, ef: int = DEFAULT_EF, *, corpus: DataFrame,
            id_col: str = "vec_id", vec_col: str = "embedding", query_id_col: str = "query_id",
            query_vec_col: str = "qv", max_rounds: int = DEFAULT_MAX_ROUNDS) -> DataFrame:
     """Beam search with beam width ``ef``; returns the ranked-result contract
-    with cost = number of distinct vectors scored for the query."""
+    with cost = number of distinct vectors scored for the query.
+
+    Per round two tables are written (the newly scored pairs and the new best
+    set); ``visited`` is the union of the scored tables.  The search stops
+    when a round scores nothing new, i.e. one round after the best sets stop
+    changing.
+    """
     spark = corpus.sparkSession
     ef = max(ef, k)
-    cf = corpus_frame(corpus, id_col, vec_col)
+    vecs = graph.vectors if graph.vectors is not None else corpus_frame(corpus, id_col, vec_col)
     qf = queries.select(F.col(query_id_col).cast("long").alias("query_id"), F.col(query_vec_col).alias("qv")) \
         .where(F.col("qv").isNotNull())
     best_w = Window.partitionBy("query_id").orderBy("d2", "id")
 
     def score(pairs: DataFrame) -> DataFrame:
-        return pairs.join(cf, "id").join(F.broadcast(qf), "query_id") \
+        return pairs.join(vecs, "id").join(F.broadcast(qf), "query_id") \
             .select("query_id", "id", sq_l2("vec", "qv").alias("d2"))
 
     def persist(df: DataFrame, name: str) -> DataFrame:
@@ -76,25 +98,22 @@ def search(graph: Graph, queries: DataFrame, k: int, ef: int = DEFAULT_EF, *, co
         df.write.parquet(p)
         return spark.read.parquet(p)
 
+    def top_ef(df: DataFrame) -> DataFrame:
+        return df.withColumn("_r", F.row_number().over(best_w)).where(F.col("_r") <= ef).drop("_r")
+
     start = qf.select("query_id", F.explode(F.array(*[F.lit(e).cast("long") for e in graph.entries])).alias("id"))
-    visited = persist(score(start.distinct()), "graph-visited")
-    best = persist(visited.withColumn("_r", F.row_number().over(best_w)).where(F.col("_r") <= ef).drop("_r"),
-                   "graph-best")
+    scored_parts = [persist(score(start.distinct()), "graph-scored")]
+    best = persist(top_ef(scored_parts[0]), "graph-best")
     for _ in range(max_rounds):
+        visited = reduce(DataFrame.unionByName, [p.select("query_id", "id") for p in scored_parts])
         nbr = best.select("query_id", F.col("id").alias("src")).join(graph.edges, "src") \
             .select("query_id", F.col("dst").alias("id")).distinct()
-        new = nbr.join(visited.select("query_id", "id"), ["query_id", "id"], "left_anti")
-        scored = persist(score(new), "graph-new")
+        new = nbr.join(visited, ["query_id", "id"], "left_anti")
+        scored = persist(score(new), "graph-scored")
         if scored.isEmpty():
             break
-        visited = persist(visited.unionByName(scored), "graph-visited")
-        merged = best.unionByName(scored)
-        nb = persist(merged.withColumn("_r", F.row_number().over(best_w)).where(F.col("_r") <= ef).drop("_r"),
-                     "graph-best")
-        changed = not nb.select("query_id", "id").join(best.select("query_id", "id"), ["query_id", "id"],
-                                                        "left_anti").isEmpty()
-        best = nb
-        if not changed:
-            break
+        scored_parts.append(scored)
+        best = persist(top_ef(best.unionByName(scored)), "graph-best")
+    visited = reduce(DataFrame.unionByName, scored_parts)
     cost = visited.groupBy("query_id").agg(F.count(F.lit(1)).alias("cost"))
     return finish_topk_with_cost(best, k, cost, small_cost=False)
