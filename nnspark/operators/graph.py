@@ -22,10 +22,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nnspark.functions.distance import sq_l2
 from nnspark.operators import exact
 from nnspark.operators.exact import corpus_frame, finish_topk_with_cost
 from nnspark.operators.ivf import sample_ids
+from nnspark.operators.kernels import with_sq_l2
 from nnspark.session import scratch_path
 
 DEFAULT_M = 16
@@ -90,8 +90,8 @@ def search(graph: Graph, queries: DataFrame, k: int, ef: int = DEFAULT_EF, *, co
     best_w = Window.partitionBy("query_id").orderBy("d2", "id")
 
     def score(pairs: DataFrame) -> DataFrame:
-        return pairs.join(vecs, "id").join(F.broadcast(qf), "query_id") \
-            .select("query_id", "id", sq_l2("vec", "qv").alias("d2"))
+        j = pairs.join(vecs, "id").join(F.broadcast(qf), "query_id").select("query_id", "id", "vec", "qv")
+        return with_sq_l2(j, [("vec", "qv", "d2")], ["query_id", "id"])
 
     def persist(df: DataFrame, name: str) -> DataFrame:
         p = scratch_path(spark, name)

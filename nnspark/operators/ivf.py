@@ -29,11 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from nnspark.functions.distance import sq_l2
 from nnspark.functions.hashing import md5_key32
 from nnspark.operators.exact import corpus_frame, finish_topk_with_cost
 from nnspark.operators.gather import DEFAULT_BROADCAST_BYTES, gather_vectors, measure
-from nnspark.operators.kernels import list_matrix, nearest_rows
+from nnspark.operators.kernels import list_matrix, nearest_rows, with_sq_l2
 
 CENTROID_DECIMALS = 9
 DEFAULT_TRAIN_SIZE = 100_000
@@ -294,8 +293,8 @@ def search(index: IvfIndex, queries: DataFrame, k: int, nprobe: int, *, query_id
         cand = post.join(pj, ["list_bucket", "list_id"]).join(qj, "query_id")
     else:
         cand = post.join(pj, "list_id").join(qj, "query_id")
-    cols = ["query_id", "id", sq_l2("vec", "qv").alias("d2")] + (["vec"] if with_vectors else [])
-    cand = cand.select(*cols)
+    keep = ["query_id", "id"] + (["vec"] if with_vectors else [])
+    cand = with_sq_l2(cand.select(*keep, "qv", *([] if with_vectors else ["vec"])), [("vec", "qv", "d2")], keep)
     sizes = index.list_sizes()
     cost = probes.join(F.broadcast(sizes) if index.nlist <= MAX_BROADCAST_PROBE_ROWS else sizes, "list_id") \
         .groupBy("query_id").agg(F.sum("size").alias("cost"))

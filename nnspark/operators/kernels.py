@@ -150,3 +150,40 @@ def nearest_rows(X: np.ndarray, C: np.ndarray, n: int = 1):
         pos_parts.append(pos)
         d_parts.append(dd)
     return np.concatenate(pos_parts), np.concatenate(d_parts)
+
+
+def with_sq_l2(df, pairs, keep=None):
+    """Add squared L2 columns for row-wise vector pairs with a numpy kernel.
+
+    ``pairs`` is a list of (left vector column, right vector column, output
+    column).  Output is NULL where either vector is NULL.  Same left-to-right
+    summation as ``functions.distance.sq_l2``, so values are identical; the
+    kernel avoids interpreted higher-order functions on the per-pair hot path.
+    """
+    from pyspark.sql import types as T
+
+    vec_cols = {c for a, b, _ in pairs for c in (a, b)}
+    keep = list(keep) if keep is not None else [c for c in df.columns if c not in vec_cols]
+    in_cols = keep + [c for c in dict.fromkeys(c for a, b, _ in pairs for c in (a, b)) if c not in keep]
+    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(o, T.DoubleType()) for _, _, o in pairs])
+    names = keep + [o for _, _, o in pairs]
+
+    def run(batches):
+        for rb in batches:
+            n = rb.num_rows
+            if n == 0:
+                continue
+            outs = []
+            for a, b, _ in pairs:
+                ca, cb = rb.column(a), rb.column(b)
+                valid = ~(np.asarray(ca.is_null()) | np.asarray(cb.is_null()))
+                d = np.full(n, np.nan)
+                if valid.all():
+                    d = ltr_sq_dist(list_matrix(ca), list_matrix(cb))
+                elif valid.any():
+                    idx = pa.array(np.nonzero(valid)[0])
+                    d[valid] = ltr_sq_dist(list_matrix(ca.take(idx)), list_matrix(cb.take(idx)))
+                outs.append(pa.array(d, mask=~valid))
+            yield pa.RecordBatch.from_arrays([rb.column(c) for c in keep] + outs, names=names)
+
+    return df.select(*in_cols).mapInArrow(run, schema)
