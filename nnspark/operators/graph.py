@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from nnspark.operators import exact
 from nnspark.operators.exact import corpus_frame, finish_topk_with_cost
 from nnspark.operators.ivf import sample_ids
-from nnspark.operators.kernels import with_sq_l2
+from nnspark.operators.gather import BroadcastTooLarge, gather_vectors
+from nnspark.operators.kernels import with_query_sq_l2, with_sq_l2
 from nnspark.session import scratch_path
 
 DEFAULT_M = 16
@@ -42,7 +43,7 @@ class Graph:
     vectors: DataFrame | None = None   # id, vec, bucketed by id (same bucket count)
 
 
-DEFAULT_BUCKETS = 64
+DEFAULT_BUCKETS = 0   # 0: as many buckets as spark.sql.shuffle.partitions
 
 
 def _bucketed_table(df: DataFrame, key: str, buckets: int, prefix: str) -> DataFrame:
@@ -63,6 +64,8 @@ def knn_edges(corpus: DataFrame, m: int = DEFAULT_M, id_col: str = "vec_id", vec
 
 def build(corpus: DataFrame, m: int = DEFAULT_M, n_entries: int = DEFAULT_ENTRIES, seed: str = "graph",
           id_col: str = "vec_id", vec_col: str = "embedding", buckets: int = DEFAULT_BUCKETS) -> Graph:
+    if not buckets:
+        buckets = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     d = knn_edges(corpus, m, id_col, vec_col).select("src", "dst")
     sym = d.unionByName(d.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     edges = _bucketed_table(sym, "src", buckets, "graph_edges")
@@ -89,8 +92,15 @@ def search(graph: Graph, queries: DataFrame, k: int, ef: int = DEFAULT_EF, *, co
         .where(F.col("qv").isNotNull())
     best_w = Window.partitionBy("query_id").orderBy("d2", "id")
 
+    try:
+        qids, Q = gather_vectors(qf, "query_id", "qv")
+    except BroadcastTooLarge:
+        qids = Q = None
+
     def score(pairs: DataFrame) -> DataFrame:
-        j = pairs.join(vecs, "id").join(F.broadcast(qf), "query_id").select("query_id", "id", "vec", "qv")
+        if Q is not None:
+            return with_query_sq_l2(pairs.join(vecs, "id"), qids, Q, [("vec", "d2")], ["query_id", "id"])
+        j = pairs.join(vecs, "id").join(qf, "query_id").select("query_id", "id", "vec", "qv")
         return with_sq_l2(j, [("vec", "qv", "d2")], ["query_id", "id"])
 
     def persist(df: DataFrame, name: str) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from nnspark.functions.hashing import md5_key32
 from nnspark.operators.exact import corpus_frame, finish_topk_with_cost
 from nnspark.operators.gather import DEFAULT_BROADCAST_BYTES, gather_vectors, measure
-from nnspark.operators.kernels import list_matrix, nearest_rows, with_sq_l2
+from nnspark.operators.kernels import list_matrix, nearest_rows, with_query_sq_l2, with_sq_l2
 
 CENTROID_DECIMALS = 9
 DEFAULT_TRAIN_SIZE = 100_000
@@ -284,17 +284,21 @@ def search(index: IvfIndex, queries: DataFrame, k: int, nprobe: int, *, query_id
     small_probes = nq * nprobe <= MAX_BROADCAST_PROBE_ROWS
     small_queries = nq * max(dq, 1) * 8 <= budget
     pj = F.broadcast(probes) if small_probes else probes
-    qj = F.broadcast(qf) if small_queries else qf
     post = index.postings
     if "list_bucket" in post.columns:
         # the bucket of every probed list: lets the scan skip unprobed bucket directories
         nb = index.buckets or _bucket_count(post)
         pj = pj.withColumn("list_bucket", F.pmod(F.col("list_id"), F.lit(nb)))
-        cand = post.join(pj, ["list_bucket", "list_id"]).join(qj, "query_id")
+        cand = post.join(pj, ["list_bucket", "list_id"])
     else:
-        cand = post.join(pj, "list_id").join(qj, "query_id")
+        cand = post.join(pj, "list_id")
     keep = ["query_id", "id"] + (["vec"] if with_vectors else [])
-    cand = with_sq_l2(cand.select(*keep, "qv", *([] if with_vectors else ["vec"])), [("vec", "qv", "d2")], keep)
+    if small_queries:
+        # query vectors come from a broadcast matrix inside the kernel, not as a column
+        qids, Q = gather_vectors(qf, "query_id", "qv", budget, (nq, dq))
+        cand = with_query_sq_l2(cand, qids, Q, [("vec", "d2")], keep)
+    else:
+        cand = with_sq_l2(cand.join(qf, "query_id"), [("vec", "qv", "d2")], keep)
     sizes = index.list_sizes()
     cost = probes.join(F.broadcast(sizes) if index.nlist <= MAX_BROADCAST_PROBE_ROWS else sizes, "list_id") \
         .groupBy("query_id").agg(F.sum("size").alias("cost"))

@@ -187,3 +187,39 @@ def with_sq_l2(df, pairs, keep=None):
             yield pa.RecordBatch.from_arrays([rb.column(c) for c in keep] + outs, names=names)
 
     return df.select(*in_cols).mapInArrow(run, schema)
+
+
+def with_query_sq_l2(df, qids: np.ndarray, Q: np.ndarray, pairs, keep, query_col: str = "query_id"):
+    """Like ``with_sq_l2`` but the left vector is the query's, looked up by
+    ``query_col`` in a broadcast (ids sorted, matrix) pair, so candidate rows
+    never carry a copy of the query vector.  ``pairs`` is a list of
+    (vector column, output column)."""
+    from pyspark.sql import types as T
+
+    sc = df.sparkSession.sparkContext
+    bq = sc.broadcast((qids, Q))
+    in_cols = list(dict.fromkeys(list(keep) + [query_col] + [c for c, _ in pairs]))
+    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(o, T.DoubleType()) for _, o in pairs])
+    names = list(keep) + [o for _, o in pairs]
+
+    def run(batches):
+        ids, qm = bq.value
+        for rb in batches:
+            n = rb.num_rows
+            if n == 0:
+                continue
+            qpos = np.searchsorted(ids, rb.column(query_col).to_numpy(zero_copy_only=False))
+            outs = []
+            for c, _ in pairs:
+                col = rb.column(c)
+                valid = ~np.asarray(col.is_null())
+                d = np.full(n, np.nan)
+                if valid.all():
+                    d = ltr_sq_dist(qm[qpos], list_matrix(col))
+                elif valid.any():
+                    idx = np.nonzero(valid)[0]
+                    d[valid] = ltr_sq_dist(qm[qpos[idx]], list_matrix(col.take(pa.array(idx))))
+                outs.append(pa.array(d, mask=~valid))
+            yield pa.RecordBatch.from_arrays([rb.column(c) for c in keep] + outs, names=names)
+
+    return df.select(*in_cols).mapInArrow(run, schema)
