@@ -170,6 +170,19 @@ def query_blocks(qf: DataFrame, nq: int, dq: int, budget: int, salt: int = 0):
         yield from query_blocks(block, bn, bd or dq, budget, salt + 1)
 
 
+def in_query_blocks(qf: DataFrame, budget: int, run_block, salt: int = 0) -> DataFrame:
+    """Run ``run_block(block_df)`` on hash blocks of the query table small
+    enough to broadcast, and union the results (one block when it all fits)."""
+    nq, dq = measure(qf, "qv")
+    need = nq * max(dq, 1) * 8
+    if need <= budget or nq <= 1:
+        return run_block(qf)
+    nblocks = max(2, math.ceil(1.5 * need / budget))
+    bucket = F.pmod(F.xxhash64(F.col("query_id"), F.lit(salt)), F.lit(nblocks))
+    parts = [in_query_blocks(qf.where(bucket == b), budget, run_block, salt + 1) for b in range(nblocks)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def exact_knn(
     corpus: DataFrame,
     queries: DataFrame,

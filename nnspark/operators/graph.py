@@ -23,10 +23,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nnspark.operators import exact
-from nnspark.operators.exact import corpus_frame, finish_topk_with_cost
+from nnspark.operators.exact import corpus_frame, finish_topk_with_cost, in_query_blocks
 from nnspark.operators.ivf import sample_ids
-from nnspark.operators.gather import BroadcastTooLarge, gather_vectors
-from nnspark.operators.kernels import with_query_sq_l2, with_sq_l2
+from nnspark.operators.gather import DEFAULT_BROADCAST_BYTES, gather_vectors, measure
+from nnspark.operators.kernels import with_query_sq_l2
 from nnspark.session import scratch_path
 
 DEFAULT_M = 16
@@ -76,7 +76,8 @@ def build(corpus: DataFrame, m: int = DEFAULT_M, n_entries: int = DEFAULT_ENTRIE
 
 def search(graph: Graph, queries: DataFrame, k: int, ef: int = DEFAULT_EF, *, corpus: DataFrame,
            id_col: str = "vec_id", vec_col: str = "embedding", query_id_col: str = "query_id",
-           query_vec_col: str = "qv", max_rounds: int = DEFAULT_MAX_ROUNDS) -> DataFrame:
+           query_vec_col: str = "qv", max_rounds: int = DEFAULT_MAX_ROUNDS,
+           budget: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
     """Beam search with beam width ``ef``; returns the ranked-result contract
     with cost = number of distinct vectors scored for the query.
 
@@ -92,16 +93,15 @@ def search(graph: Graph, queries: DataFrame, k: int, ef: int = DEFAULT_EF, *, co
         .where(F.col("qv").isNotNull())
     best_w = Window.partitionBy("query_id").orderBy("d2", "id")
 
-    try:
-        qids, Q = gather_vectors(qf, "query_id", "qv")
-    except BroadcastTooLarge:
-        qids = Q = None
+    nq, dq = measure(qf, "qv")
+    if nq * max(dq, 1) * 8 > budget:
+        # too many queries for one broadcast: search hash blocks of queries and union
+        return in_query_blocks(qf, budget, lambda b: search(
+            graph, b, k, ef, corpus=corpus, id_col=id_col, vec_col=vec_col, max_rounds=max_rounds, budget=budget))
+    qids, Q = gather_vectors(qf, "query_id", "qv", budget, (nq, dq))
 
     def score(pairs: DataFrame) -> DataFrame:
-        if Q is not None:
-            return with_query_sq_l2(pairs.join(vecs, "id"), qids, Q, [("vec", "d2")], ["query_id", "id"])
-        j = pairs.join(vecs, "id").join(qf, "query_id").select("query_id", "id", "vec", "qv")
-        return with_sq_l2(j, [("vec", "qv", "d2")], ["query_id", "id"])
+        return with_query_sq_l2(pairs.join(vecs, "id"), qids, Q, [("vec", "d2")], ["query_id", "id"])
 
     def persist(df: DataFrame, name: str) -> DataFrame:
         p = scratch_path(spark, name)

@@ -16,3 +16,13 @@ def test_edges_are_symmetric(emb):
     g = graph.build(emb, m=4, n_entries=2)
     e = g.edges
     assert e.join(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"], "left_anti").count() == 0
+
+
+def test_graph_query_blocks_equal_single_pass(emb):
+    from helpers import assert_same_ranking, ranked_dict
+
+    g = graph.build(emb, m=8, n_entries=4)
+    qs = exact.self_queries(emb)
+    a = graph.search(g, qs, 5, ef=20, corpus=emb, budget=80_000)
+    b = graph.search(g, qs, 5, ef=20, corpus=emb)
+    assert_same_ranking(ranked_dict(a), ranked_dict(b), tol=0.0)
