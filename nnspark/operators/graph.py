@@ -33,6 +33,7 @@ DEFAULT_M = 16
 DEFAULT_EF = 50
 DEFAULT_ENTRIES = 8
 DEFAULT_MAX_ROUNDS = 32
+DEFAULT_BUCKETS = 0   # 0: as many buckets as spark.sql.shuffle.partitions
 
 
 @dataclass
@@ -42,8 +43,25 @@ class Graph:
     m: int
     vectors: DataFrame | None = None   # id, vec, bucketed by id (same bucket count)
 
+    def save(self, path: str) -> None:
+        """Edges (partitioned by a src bucket) and entry points as Parquet."""
+        spark = self.edges.sparkSession
+        self.edges.write.mode("overwrite").parquet(f"{path}/edges")
+        spark.createDataFrame([(int(e), self.m) for e in self.entries], "id long, m int") \
+            .write.mode("overwrite").parquet(f"{path}/entries")
+
+    @classmethod
+    def open(cls, spark, path: str, corpus: DataFrame | None = None, id_col: str = "vec_id",
+             vec_col: str = "embedding", buckets: int = DEFAULT_BUCKETS) -> "Graph":
+        rows = spark.read.parquet(f"{path}/entries").orderBy("id").collect()
+        if not buckets:
+            buckets = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+        edges = _bucketed_table(spark.read.parquet(f"{path}/edges"), "src", buckets, "graph_edges")
+        vectors = _bucketed_table(corpus_frame(corpus, id_col, vec_col), "id", buckets, "graph_vectors") \
+            if corpus is not None else None
+        return cls(edges, [int(r["id"]) for r in rows], int(rows[0]["m"]) if rows else DEFAULT_M, vectors)
+
 
-DEFAULT_BUCKETS = 0   # 0: as many buckets as spark.sql.shuffle.partitions
 
 
 def _bucketed_table(df: DataFrame, key: str, buckets: int, prefix: str) -> DataFrame:

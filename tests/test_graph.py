@@ -26,3 +26,16 @@ def test_graph_query_blocks_equal_single_pass(emb):
     a = graph.search(g, qs, 5, ef=20, corpus=emb, budget=80_000)
     b = graph.search(g, qs, 5, ef=20, corpus=emb)
     assert_same_ranking(ranked_dict(a), ranked_dict(b), tol=0.0)
+
+
+def test_graph_save_open(spark, emb):
+    from helpers import assert_same_ranking, ranked_dict
+    from nnspark.session import scratch_path
+
+    g = graph.build(emb, m=4, n_entries=2)
+    path = scratch_path(spark, "graph")
+    g.save(path)
+    g2 = graph.Graph.open(spark, path, corpus=emb)
+    qs = exact.self_queries(emb)
+    assert_same_ranking(ranked_dict(graph.search(g2, qs, 5, ef=10, corpus=emb)),
+                        ranked_dict(graph.search(g, qs, 5, ef=10, corpus=emb)), tol=0.0)
