@@ -69,7 +69,9 @@ def _bucketed_table(df: DataFrame, key: str, buckets: int, prefix: str) -> DataF
     folder, so later joins on ``key`` shuffle only the other side."""
     spark = df.sparkSession
     name = f"nn_{prefix}_{uuid.uuid4().hex[:12]}"
-    df.write.bucketBy(buckets, key).sortBy(key).option("path", scratch_path(spark, prefix)).saveAsTable(name)
+    # hash-partition on the key first (same hash as bucketing): one file per bucket
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key) \
+        .option("path", scratch_path(spark, prefix)).saveAsTable(name)
     return spark.table(name)
 
 
