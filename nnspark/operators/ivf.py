@@ -118,18 +118,26 @@ def _partial_sums(sample: DataFrame, C: np.ndarray) -> DataFrame:
     return sample.select("vec").mapInArrow(run, "list_id int, cnt long, sums array<double>")
 
 
-def lloyd_round(sample: DataFrame, C: np.ndarray) -> np.ndarray:
+def lloyd_round(sample: DataFrame, C: np.ndarray, budget: int = DEFAULT_BROADCAST_BYTES) -> np.ndarray:
     """One k-means round; an empty list keeps its centroid.
 
     One aggregation: per (list, dim) the partial sums, with the member count
     riding along as dim = -1; nlist x (dim + 1) rows come back (bounded).
+    When the centroids exceed the broadcast budget, the assignment is the
+    blocked nearest-list join and the sums are a plain groupBy over it.
     """
-    part = _partial_sums(sample, C)
-    cells = part.select(
-        "list_id",
-        F.explode(F.concat(F.array(F.struct(F.lit(-1).alias("dim"), F.col("cnt").cast("double").alias("s"))),
-                           F.transform("sums", lambda x, i: F.struct(i.alias("dim"), x.alias("s"))))).alias("c"),
-    ).select("list_id", "c.dim", "c.s")
+    if C.shape[0] * C.shape[1] * 8 > budget:
+        lab = _nearest_lists(sample.select("id", "vec"), C, "vec", 1, "id", ["vec"], budget)
+        cells = lab.select("list_id", F.lit(-1).alias("dim"), F.lit(1.0).alias("s")).unionByName(
+            lab.select("list_id", F.posexplode("vec").alias("dim", "s")).select(
+                "list_id", "dim", F.col("s").cast("double").alias("s")))
+    else:
+        part = _partial_sums(sample, C)
+        cells = part.select(
+            "list_id",
+            F.explode(F.concat(F.array(F.struct(F.lit(-1).alias("dim"), F.col("cnt").cast("double").alias("s"))),
+                               F.transform("sums", lambda x, i: F.struct(i.alias("dim"), x.alias("s"))))).alias("c"),
+        ).select("list_id", "c.dim", "c.s")
     tbl = cells.groupBy("list_id", "dim").agg(F.sum("s").alias("s")).toArrow()
     lid = tbl.column("list_id").to_numpy()
     dim = tbl.column("dim").to_numpy()
@@ -151,8 +159,6 @@ def train(corpus: DataFrame, nlist: int | None = None, n_iter: int = 10, train_s
     """Train centroids on the md5 sample of min(train_size, N) vectors."""
     n, d = measure(corpus.where(F.col(vec_col).isNotNull()), vec_col)
     nlist = nlist or default_nlist(n)
-    if nlist * d * 8 > budget:
-        raise ValueError(f"{nlist} x {d} centroids exceed the broadcast budget {budget}")
     m = min(train_size, n)
     sample = sample_vectors(corpus, m, seed, id_col, vec_col)
     spark = corpus.sparkSession
@@ -160,15 +166,15 @@ def train(corpus: DataFrame, nlist: int | None = None, n_iter: int = 10, train_s
     path = scratch_path(spark, "ivf-sample")
     sample.write.parquet(path)
     sample = spark.read.parquet(path).cache()
-    C = seed_centroids(sample, min(nlist, m), budget)
+    C = seed_centroids(sample, min(nlist, m), max(budget, min(nlist, m) * d * 8))
     for _ in range(n_iter):
-        C = lloyd_round(sample, C)
+        C = lloyd_round(sample, C, budget)
     sample.unpersist()
     return C
 
 
 def _assign(df: DataFrame, C: np.ndarray, vec: str, n: int, out_schema: str, key_cols: list[str],
-            with_rank: bool = False) -> DataFrame:
+            with_rank: bool = False, offset: int = 0, with_d2: bool = False) -> DataFrame:
     sc = df.sparkSession.sparkContext
     bc = sc.broadcast(C)
 
@@ -179,10 +185,13 @@ def _assign(df: DataFrame, C: np.ndarray, vec: str, n: int, out_schema: str, key
             if rb.num_rows == 0:
                 continue
             X = list_matrix(rb.column(vec), dim)
-            pos, _ = nearest_rows(X, cm, n)
+            pos, dd = nearest_rows(X, cm, n)
             nn = pos.shape[1]
-            cols = [pa.array(pos.reshape(-1).astype(np.int32))]
+            cols = [pa.array((pos.reshape(-1) + offset).astype(np.int32))]
             names = ["list_id"]
+            if with_d2:
+                cols.append(pa.array(dd.reshape(-1)))
+                names.append("_cd2")
             take = pa.array(np.repeat(np.arange(rb.num_rows), nn))
             for c in key_cols:
                 cols.append(rb.column(c).take(take))
@@ -195,16 +204,46 @@ def _assign(df: DataFrame, C: np.ndarray, vec: str, n: int, out_schema: str, key
     return df.mapInArrow(run, out_schema)
 
 
-def assign(corpus: DataFrame, C: np.ndarray, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def _nearest_lists(df: DataFrame, C: np.ndarray, vec: str, n: int, key: str, carry: list[str],
+                   budget: int) -> DataFrame:
+    """(list_id, key, *carry, probe_rank) of the n nearest centroids per row.
+
+    One broadcast of C when it fits ``budget``; otherwise C is cut into blocks
+    that fit, each block gives its n nearest with distances, and an exact
+    window (distance, list_id) keeps the global n per row.
+    """
+    carry_schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in carry)
+    key_type = df.schema[key].dataType.simpleString()
+    base = f"list_id int, {key} {key_type}" + (f", {carry_schema}" if carry else "")
+    per_block = max(1, budget // (8 * max(C.shape[1], 1)))
+    if C.shape[0] <= per_block:
+        return _assign(df, C, vec, n, base + ", probe_rank int", [key, *carry], with_rank=True)
+    parts = []
+    for start in range(0, C.shape[0], per_block):
+        blk = C[start:start + per_block]
+        parts.append(_assign(df.select(key, vec), blk, vec, n, f"list_id int, _cd2 double, {key} {key_type}",
+                             [key], offset=start, with_d2=True))
+    allc = parts[0]
+    for p in parts[1:]:
+        allc = allc.unionByName(p)
+    w = Window.partitionBy(key).orderBy("_cd2", "list_id")
+    top = allc.withColumn("probe_rank", F.row_number().over(w).cast("int")).where(F.col("probe_rank") <= n) \
+        .drop("_cd2")
+    if carry:
+        top = top.join(df.select(key, *carry), key)
+    return top.select("list_id", key, *carry, "probe_rank")
+
+
+def assign(corpus: DataFrame, C: np.ndarray, id_col: str = "vec_id", vec_col: str = "embedding",
+           budget: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
     """Postings (list_id, id, vec): every vector in its nearest list."""
     cf = corpus_frame(corpus, id_col, vec_col)
-    return _assign(cf, C, "vec", 1, "list_id int, id long, vec array<float>", ["id", "vec"])
+    return _nearest_lists(cf, C, "vec", 1, "id", ["vec"], budget).drop("probe_rank")
 
 
-def probe_lists(queries: DataFrame, C: np.ndarray, nprobe: int) -> DataFrame:
+def probe_lists(queries: DataFrame, C: np.ndarray, nprobe: int, budget: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
     """Each query's nprobe nearest lists: (list_id, query_id, probe_rank)."""
-    return _assign(queries.select("query_id", "qv"), C, "qv", nprobe,
-                   "list_id int, query_id long, probe_rank int", ["query_id"], with_rank=True)
+    return _nearest_lists(queries.select("query_id", "qv"), C, "qv", nprobe, "query_id", [], budget)
 
 
 def _bucket_count(postings: DataFrame) -> int:
@@ -255,16 +294,16 @@ def write_postings(postings: DataFrame, path: str, buckets: int = DEFAULT_LIST_B
 
 def build(corpus: DataFrame, nlist: int | None = None, n_iter: int = 10, train_size: int = DEFAULT_TRAIN_SIZE,
           seed: str = "ivf", id_col: str = "vec_id", vec_col: str = "embedding",
-          buckets: int = DEFAULT_LIST_BUCKETS) -> IvfIndex:
+          buckets: int = DEFAULT_LIST_BUCKETS, budget: int = DEFAULT_BROADCAST_BYTES) -> IvfIndex:
     """Train, assign every vector, and write the postings as a table in the
     checkpoint folder (searches read it; they never re-assign the corpus)."""
     from nnspark.session import scratch_path
 
     spark = corpus.sparkSession
-    C = train(corpus, nlist, n_iter, train_size, seed, id_col, vec_col)
+    C = train(corpus, nlist, n_iter, train_size, seed, id_col, vec_col, budget)
     path = scratch_path(spark, "ivf-postings")
     nb = max(1, min(buckets, C.shape[0]))
-    write_postings(assign(corpus, C, id_col, vec_col), path, nb)
+    write_postings(assign(corpus, C, id_col, vec_col, budget), path, nb)
     return IvfIndex(C, spark.read.parquet(path), nb)
 
 
@@ -280,7 +319,7 @@ def search(index: IvfIndex, queries: DataFrame, k: int, nprobe: int, *, query_id
                         F.col(query_vec_col).alias("qv")).where(F.col("qv").isNotNull())
     nq, dq = measure(qf, "qv")
     nprobe = max(1, min(nprobe, index.nlist))
-    probes = probe_lists(qf, index.centroids, nprobe)
+    probes = probe_lists(qf, index.centroids, nprobe, budget)
     small_probes = nq * nprobe <= MAX_BROADCAST_PROBE_ROWS
     small_queries = nq * max(dq, 1) * 8 <= budget
     pj = F.broadcast(probes) if small_probes else probes

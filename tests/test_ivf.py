@@ -65,3 +65,14 @@ def test_training_is_deterministic(emb):
     a = ivf.train(emb, nlist=16, n_iter=2)
     b = ivf.train(emb.repartition(5), nlist=16, n_iter=2)
     assert (a == b).all()
+
+
+def test_centroid_blocks_equal_single_broadcast(emb):
+    # a budget below 16 x 64 doubles forces the blocked nearest-list path everywhere
+    small = ivf.build(emb, nlist=16, n_iter=2, budget=3_000)
+    big = ivf.build(emb, nlist=16, n_iter=2)
+    assert (small.centroids == big.centroids).all()
+    qs = exact.self_queries(emb)
+    a = ranked_dict(ivf.search(small, qs, 5, 4, budget=3_000))
+    b = ranked_dict(ivf.search(big, qs, 5, 4))
+    assert_same_ranking(a, b, tol=0.0)
