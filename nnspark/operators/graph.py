@@ -146,4 +146,4 @@ def search(graph: Graph, queries: DataFrame, k: int, ef: int = DEFAULT_EF, *, co
         best = persist(top_ef(best.unionByName(scored)), "graph-best")
     visited = reduce(DataFrame.unionByName, scored_parts)
     cost = visited.groupBy("query_id").agg(F.count(F.lit(1)).alias("cost"))
-    return finish_topk_with_cost(best, k, cost, small_cost=False)
+    return finish_topk_with_cost(best, k, cost, small_cost=nq <= 20_000_000)

@@ -319,7 +319,7 @@ def search(index: IvfIndex, queries: DataFrame, k: int, nprobe: int, *, query_id
                         F.col(query_vec_col).alias("qv")).where(F.col("qv").isNotNull())
     nq, dq = measure(qf, "qv")
     nprobe = max(1, min(nprobe, index.nlist))
-    probes = probe_lists(qf, index.centroids, nprobe, budget)
+    probes = probe_lists(qf, index.centroids, nprobe, budget).cache()
     small_probes = nq * nprobe <= MAX_BROADCAST_PROBE_ROWS
     small_queries = nq * max(dq, 1) * 8 <= budget
     pj = F.broadcast(probes) if small_probes else probes
@@ -328,6 +328,11 @@ def search(index: IvfIndex, queries: DataFrame, k: int, nprobe: int, *, query_id
         # the bucket of every probed list: lets the scan skip unprobed bucket directories
         nb = index.buckets or _bucket_count(post)
         pj = pj.withColumn("list_bucket", F.pmod(F.col("list_id"), F.lit(nb)))
+        # static partition pruning: the probed buckets (at most nb values) become a
+        # PartitionFilter, so unprobed bucket directories are never listed or read
+        probed = [r[0] for r in probes.select(F.pmod(F.col("list_id"), F.lit(nb))).distinct().collect()]
+        if len(probed) < nb:
+            post = post.where(F.col("list_bucket").isin(probed))
         cand = post.join(pj, ["list_bucket", "list_id"])
     else:
         cand = post.join(pj, "list_id")
