@@ -137,8 +137,9 @@ def search(graph: Graph, queries: DataFrame, k: int, ef: int = DEFAULT_EF, *, co
     for _ in range(max_rounds):
         visited = reduce(DataFrame.unionByName, [p.select("query_id", "id") for p in scored_parts])
         nbr = best.select("query_id", F.col("id").alias("src")).join(graph.edges, "src") \
-            .select("query_id", F.col("dst").alias("id")).distinct()
-        new = nbr.join(visited, ["query_id", "id"], "left_anti")
+            .select("query_id", F.col("dst").alias("id"))
+        # anti-join first, then distinct on the same keys: one shuffle serves both
+        new = nbr.join(visited, ["query_id", "id"], "left_anti").distinct()
         scored = persist(score(new), "graph-scored")
         if scored.isEmpty():
             break
