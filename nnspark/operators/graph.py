@@ -75,18 +75,30 @@ def _bucketed_table(df: DataFrame, key: str, buckets: int, prefix: str) -> DataF
     return spark.table(name)
 
 
-def knn_edges(corpus: DataFrame, m: int = DEFAULT_M, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """Directed kNN edges (src, dst, rank): the m nearest other vectors."""
-    r = exact.exact_knn(corpus, exact.self_queries(corpus, id_col, vec_col), m, id_col=id_col, vec_col=vec_col,
-                        exclude_self=True)
+def knn_edges(corpus: DataFrame, m: int = DEFAULT_M, id_col: str = "vec_id", vec_col: str = "embedding",
+              ivf_index=None, nprobe: int = 10) -> DataFrame:
+    """Directed kNN edges (src, dst, rank): the m nearest other vectors.
+
+    Exact by default (quadratic: fine for bounded corpora, and what the oracle
+    checks).  For large corpora pass an IVF index: every vector then probes
+    only its ``nprobe`` nearest lists (the IVF-blocked kNN graph).
+    """
+    qs = exact.self_queries(corpus, id_col, vec_col)
+    if ivf_index is not None:
+        from nnspark.operators import ivf
+
+        r = ivf.search(ivf_index, qs, m, nprobe, exclude_self=True)
+    else:
+        r = exact.exact_knn(corpus, qs, m, id_col=id_col, vec_col=vec_col, exclude_self=True)
     return r.select(F.col("query_id").alias("src"), F.col("id").alias("dst"), "rank")
 
 
 def build(corpus: DataFrame, m: int = DEFAULT_M, n_entries: int = DEFAULT_ENTRIES, seed: str = "graph",
-          id_col: str = "vec_id", vec_col: str = "embedding", buckets: int = DEFAULT_BUCKETS) -> Graph:
+          id_col: str = "vec_id", vec_col: str = "embedding", buckets: int = DEFAULT_BUCKETS,
+          ivf_index=None, nprobe: int = 10) -> Graph:
     if not buckets:
         buckets = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    d = knn_edges(corpus, m, id_col, vec_col).select("src", "dst")
+    d = knn_edges(corpus, m, id_col, vec_col, ivf_index, nprobe).select("src", "dst")
     sym = d.unionByName(d.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     edges = _bucketed_table(sym, "src", buckets, "graph_edges")
     vectors = _bucketed_table(corpus_frame(corpus, id_col, vec_col), "id", buckets, "graph_vectors")

@@ -39,3 +39,12 @@ def test_graph_save_open(spark, emb):
     qs = exact.self_queries(emb)
     assert_same_ranking(ranked_dict(graph.search(g2, qs, 5, ef=10, corpus=emb)),
                         ranked_dict(graph.search(g, qs, 5, ef=10, corpus=emb)), tol=0.0)
+
+
+def test_ivf_blocked_edges_with_full_probe_equal_exact(emb):
+    from nnspark.operators import ivf
+
+    idx = ivf.build(emb, nlist=8, n_iter=2)
+    a = {(r["src"], r["dst"], r["rank"]) for r in graph.knn_edges(emb, 4, ivf_index=idx, nprobe=8).collect()}
+    b = {(r["src"], r["dst"], r["rank"]) for r in graph.knn_edges(emb, 4).collect()}
+    assert a == b
