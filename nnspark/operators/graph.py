@@ -26,7 +26,7 @@ from nnspark.operators import exact
 from nnspark.operators.exact import corpus_frame, finish_topk_with_cost, in_query_blocks
 from nnspark.operators.ivf import sample_ids
 from nnspark.operators.gather import DEFAULT_BROADCAST_BYTES, gather_vectors, measure
-from nnspark.operators.kernels import with_query_sq_l2
+from nnspark.operators.kernels import pairs_sq_l2, with_query_sq_l2
 from nnspark.session import scratch_path
 
 DEFAULT_M = 16
@@ -42,6 +42,9 @@ class Graph:
     entries: list[int]
     m: int
     vectors: DataFrame | None = None   # id, vec, bucketed by id (same bucket count)
+    n_edges: int = -1                  # measured at build; -1 = unknown
+    n_vectors: int = -1
+    dim: int = 0
 
     def save(self, path: str) -> None:
         """Edges (partitioned by a src bucket) and entry points as Parquet."""
@@ -103,7 +106,8 @@ def build(corpus: DataFrame, m: int = DEFAULT_M, n_entries: int = DEFAULT_ENTRIE
     edges = _bucketed_table(sym, "src", buckets, "graph_edges")
     vectors = _bucketed_table(corpus_frame(corpus, id_col, vec_col), "id", buckets, "graph_vectors")
     entries = [int(r["id"]) for r in sample_ids(corpus, n_entries, seed, id_col).collect()]
-    return Graph(edges, entries, m, vectors)
+    n_vec, dim = measure(vectors, "vec")
+    return Graph(edges, entries, m, vectors, edges.count(), n_vec, dim)
 
 
 def search(graph: Graph, queries: DataFrame, k: int, ef: int = DEFAULT_EF, *, corpus: DataFrame,
@@ -132,7 +136,19 @@ def search(graph: Graph, queries: DataFrame, k: int, ef: int = DEFAULT_EF, *, co
             graph, b, k, ef, corpus=corpus, id_col=id_col, vec_col=vec_col, max_rounds=max_rounds, budget=budget))
     qids, Q = gather_vectors(qf, "query_id", "qv", budget, (nq, dq))
 
+    # small graphs (sizes measured at build) are broadcast: the frontier then keeps
+    # its query_id partitioning; large ones use the bucketed tables
+    edges = graph.edges
+    if 0 <= graph.n_edges and graph.n_edges * 16 <= budget:
+        edges = F.broadcast(edges)
+    small_corpus = 0 <= graph.n_vectors and graph.n_vectors * (graph.dim * 8 + 8) <= budget
+    if small_corpus:
+        vids, V = gather_vectors(vecs, "id", "vec", budget, (graph.n_vectors, graph.dim))
+
     def score(pairs: DataFrame) -> DataFrame:
+        if small_corpus:
+            # both vectors from broadcast matrices: only (query_id, id) cross into Python
+            return pairs_sq_l2(pairs, qids, Q, vids, V)   # ids always come from the corpus
         return with_query_sq_l2(pairs.join(vecs, "id"), qids, Q, [("vec", "d2")], ["query_id", "id"])
 
     def persist(df: DataFrame, name: str) -> DataFrame:
@@ -148,7 +164,7 @@ def search(graph: Graph, queries: DataFrame, k: int, ef: int = DEFAULT_EF, *, co
     best = persist(top_ef(scored_parts[0]), "graph-best")
     for _ in range(max_rounds):
         visited = reduce(DataFrame.unionByName, [p.select("query_id", "id") for p in scored_parts])
-        nbr = best.select("query_id", F.col("id").alias("src")).join(graph.edges, "src") \
+        nbr = best.select("query_id", F.col("id").alias("src")).join(edges, "src") \
             .select("query_id", F.col("dst").alias("id"))
         # anti-join first, then distinct on the same keys: one shuffle serves both
         new = nbr.join(visited, ["query_id", "id"], "left_anti").distinct()
