@@ -40,3 +40,22 @@ def test_trigram_udf_equals_expression(spark):
     a = df.select(embed.trigram_udf()(F.col("text")).alias("w")).collect()
     b = df.select(embed.trigram_weights("text").alias("w")).collect()
     assert [r["w"] for r in a] == [r["w"] for r in b]
+
+
+def test_registry_runs_every_method_with_one_contract(emb):
+    qs = exact.self_queries(emb)
+    cols = ["query_id", "rank", "id", "dist", "d2", "cost", "n_hits", "algo"]
+    for name, params in (("forest", {"n_trees": 2, "max_leaf": 40, "search_k": 80}), ("graph", {"m": 4, "ef": 10})):
+        r = registry.search(name, emb, qs, 5, **params)
+        assert r.columns[:8] == cols
+        row = r.agg(F.max("rank"), F.min("n_hits"), F.countDistinct("query_id")).first()
+        assert row[0] <= 5 and row[1] >= 1 and row[2] == emb.count()
+
+
+def test_with_text_broadcast_bound_same_result(spark, emb):
+    qs = exact.self_queries(emb)
+    r = exact.exact_knn(emb, qs, 3)
+    texts = spark.read.parquet("/root/testdata/sf0.001/part.parquet").selectExpr("p_partkey AS id", "p_name AS text")
+    a = {tuple(x) for x in exact.with_text(r, texts, hits_bound=emb.count() * 3).select("query_id", "rank", "text").collect()}
+    b = {tuple(x) for x in exact.with_text(r, texts).select("query_id", "rank", "text").collect()}
+    assert a == b and len(a) == emb.count() * 3
