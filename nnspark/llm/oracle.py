@@ -23,6 +23,33 @@ SELECT v.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, comp.c AS component_id, co
 FROM v LEFT JOIN n ON n.a = v.vec_id JOIN comp ON comp.a = v.vec_id
 """
 
+OP6 = r"""
+WITH cap AS (
+  SELECT page_id, url, TIMESTAMP '2024-01-01 00:00:00'
+         + to_minutes(('0x' || substr(md5('fetch:' || page_id || ':' || url), 1, 7))::BIGINT % 525600) AS fetched,
+         nullif(rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '.'), '') AS host
+  FROM pages),
+suf AS (
+  SELECT DISTINCT host, array_to_string(l[i:], '.') AS pattern, len(l) - i + 1 AS n
+  FROM (SELECT host, string_split(host, '.') AS l, unnest(generate_series(1, len(string_split(host, '.')))) AS i
+        FROM (SELECT DISTINCT host FROM cap WHERE host IS NOT NULL))),
+names AS (
+  SELECT pattern, ('0x' || substr(md5('list:' || pattern), 1, 4))::BIGINT AS u
+  FROM (SELECT DISTINCT pattern FROM suf WHERE n >= 3)),
+ent AS (
+  SELECT pattern, CASE WHEN u % 5 = 0 THEN 'allow' ELSE 'block' END AS kind, a AS action, DATE '2024-01-01' + (u % 120 + d)::INT AS dated
+  FROM names, (VALUES ('add', 0, 3), ('remove', 60, 6), ('add', 150, 12)) AS t(a, d, m) WHERE u % m = 0),
+act AS (
+  SELECT cap.page_id, cap.url, suf.pattern, e.kind, e.action
+  FROM cap JOIN suf USING (host) JOIN ent e ON e.pattern = suf.pattern AND e.dated <= cap.fetched
+  QUALIFY row_number() OVER (PARTITION BY cap.page_id, cap.url, suf.pattern ORDER BY e.dated DESC) = 1),
+best AS (
+  SELECT page_id, url, count(*) AS n, arg_max(pattern, length(pattern)) AS matched, arg_max(kind, length(pattern)) AS kind
+  FROM act WHERE action = 'add' GROUP BY page_id, url)
+SELECT cap.page_id, host, coalesce(n, 0)::BIGINT AS n_active, matched, coalesce(kind = 'block', false) AS blocked
+FROM cap LEFT JOIN best USING (page_id, url)
+"""
+
 _WORDS = r"regexp_extract_all(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 OP8 = f"""
@@ -74,4 +101,4 @@ SELECT doc_id, size, ss::BIGINT AS source_size, target,
 FROM p
 """
 
-SQL = {"op2_embedding_near_dedup": OP2, "op8_decontamination": OP8, "op10_source_mix": OP10}
+SQL = {"op2_embedding_near_dedup": OP2, "op6_url_filter": OP6, "op8_decontamination": OP8, "op10_source_mix": OP10}
