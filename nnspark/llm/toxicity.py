@@ -77,12 +77,14 @@ def _tokens(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     Signs inside a token are dropped, and tokens of one character run together.
     """
     codes, space = _CODES[raw], _SPACE[raw]
-    breaks = space
-    if len(raw) > 4:
-        padded = np.concatenate(([True, True], space, [True, True]))
-        breaks = space & ~(padded[:-4] & padded[4:] & ~padded[1:-3] & ~padded[3:-1])
-    places = np.flatnonzero((codes > 0) | breaks)
-    return np.where(breaks, np.uint16(0), codes)[places], places
+    places = np.flatnonzero((codes > 0) | space)
+    codes = codes[places]
+    codes[space[places]] = 0
+    if len(codes) > 4:
+        gap = np.concatenate(([True, True], codes == 0, [True, True]))
+        lone = gap[2:-2] & gap[:-4] & gap[4:] & ~gap[1:-3] & ~gap[3:-1]
+        codes, places = codes[~lone], places[~lone]
+    return codes, places
 
 
 def _gapped(codes: np.ndarray):
@@ -253,7 +255,9 @@ def training_sentences(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id
 
 
 def _words(sentence: str) -> set[str]:
-    return {w for w in (w.strip(".,;:!?\"'()[]|") for w in sentence.lower().split()) if 3 < len(w) < 40}
+    """Lower-case words of 4 to 39 letters, signs left out."""
+    found = ("".join(c for c in w if c.isalpha() or c in _LOOKALIKE) for w in sentence.lower().split())
+    return {w for w in found if 3 < len(w) < 40}
 
 
 def _association(n1, n0, total1: int, total0: int):
@@ -276,6 +280,7 @@ def choose_landmarks(sample: list[tuple[int, list[str]]]) -> list[str]:
              and _association(n1, seen[0][w], total[1], total[0]) > 1.2
              and n1 / total[1] >= 5 * seen[0][w] / total[0]]
     pieces = {w[i:i + k] for w in marks for k in range(4, 9) for i in range(len(w) - k + 1)}
+    pieces = {s for s in pieces if features_of(s)}
     holds = {}
     for w in set(seen[1]) | set(seen[0]):
         found = {w[i:i + k] for k in range(4, 9) for i in range(len(w) - k + 1)} & pieces
@@ -383,7 +388,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 # ------------------------------------------------------------------- scoring
 
 def _pieces(texts: list[bytes]):
-    """(first text, texts or part of one) chunks of about PIECE bytes; a long text is cut between tokens."""
+    """(first text, texts or part of one) chunks of about PIECE bytes; a long text is cut between sentences or tokens."""
     held, size, first = [], 0, 0
     for i, raw in enumerate(texts):
         if held and size + len(raw) > PIECE:
@@ -397,7 +402,9 @@ def _pieces(texts: list[bytes]):
                 yield first, held
                 held, size = [], 0
             first = i
-            to = max(raw.rfind(b" ", at, at + PIECE), raw.rfind(b"\n", at, at + PIECE))
+            # at a sentence's end if there is one, else between tokens: a sentence of more than PIECE bytes is judged in parts
+            to = max(raw.rfind(end, at + 1, at + PIECE) + 1 for end in (b". ", b"! ", b"? ", b"\n"))
+            to = to or max(raw.rfind(b" ", at + 1, at + PIECE), 0)
             if to <= at:
                 ends = [e for e in (raw.find(b" ", at + PIECE), raw.find(b"\n", at + PIECE)) if e >= 0]
                 to = min(ends, default=len(raw))
