@@ -41,24 +41,28 @@ def read_labelled_tree(spark: SparkSession, root: str, n_features: int | None =
     """S4 + U1 + D5 + P7 + P8: all ``<root>/<device>/**/*.csv`` files in one scan.
 
     Returns features array<float>, attack, attack_code, device, device_code,
-    n_values (width before the check) and ``width_ok``.
+    n_values (fields of the row) and ``width_ok``.  Every line is split on its
+    own, so files may differ in width and no value is dropped: a row with
+    other than ``n_features`` values, or a value that is no number (null in
+    ``features``), has ``width_ok`` false.  Headers, lines without any number, are left out.
     """
     attack_names = attack_names or ATTACK_NAMES
     device_names = device_names or DEVICE_NAMES
-    df = spark.read.option("header", True).option("recursiveFileLookup", True).csv(root)
-    value_cols = [c for c in df.columns]
+    df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(root)
+    fields = F.split(F.regexp_replace("value", r"[\r\"]", ""), ",", -1)
     path = F.col("_metadata.file_path")
     rel = F.regexp_extract(path, r"([^/]+/(?:[^/]+/)?[^/]+\.csv)$", 1)
     device = F.regexp_extract(path, r"([^/]+)/(?:" + MIRAI_DIR + r"/|gafgyt_attacks/)?[^/]+\.csv$", 1)
     is_mirai = path.contains(f"/{MIRAI_DIR}/")
     attack = F.when(is_mirai, label_from_file(path, MIRAI_PREFIX)).otherwise(label_from_file(path))
-    feats = F.array(*[F.col(f"`{c}`").cast("float") for c in value_cols])
+    feats = F.transform(fields, lambda x: F.trim(x).try_cast("float"))
     out = df.select(feats.alias("features"), attack.alias("attack"), device.alias("device"), rel.alias("source"))
+    out = out.where(F.exists("features", lambda x: x.isNotNull()))
     out = out.withColumn("attack_code", class_code("attack", attack_names)) \
         .withColumn("device_code", class_code("device", device_names)) \
         .withColumn("n_values", F.size("features"))
     width_ok = F.lit(True) if n_features is None else (F.col("n_values") == n_features)
-    return out.withColumn("width_ok", width_ok)
+    return out.withColumn("width_ok", width_ok & ~F.exists("features", lambda x: x.isNull()))
 
 
 def content_key(*cols) -> Column:

@@ -133,7 +133,7 @@ def ivf_recall_sweep(spark, sf_dir):
     approx = parts[0]
     for p in parts[1:]:
         approx = approx.unionByName(p)
-    rec = quality.recall(ex, approx.select("nprobe", "query_id", "rank", "id"))
+    rec = quality.recall(ex, approx.select("nprobe", "query_id", "rank", "id"), params=[{"nprobe": p} for p in NPROBES])
     return quality.mean_recall(rec, ["nprobe"]).select(
         "nprobe", r6("recall").alias("recall"), F.col("n_queries").cast("long").alias("n_queries")
     )

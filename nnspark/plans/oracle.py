@@ -185,7 +185,7 @@ def ivf_recall_sweep() -> str:
          ex AS ({exact_topk(C.K_MAIN)}),
          ap AS ({parts}),
          ne AS (SELECT query_id, count(*) AS n FROM ex GROUP BY query_id),
-         sets AS (SELECT DISTINCT nprobe, query_id FROM ap),
+         sets AS (SELECT p.nprobe, ne.query_id FROM (VALUES (1), (10), (50)) AS p(nprobe), ne),
          hit AS (SELECT ap.nprobe, ap.query_id, count(*) AS c FROM ap JOIN ex USING (query_id, id)
                  GROUP BY ap.nprobe, ap.query_id),
          rec AS (SELECT s.nprobe, s.query_id, coalesce(hit.c, 0) / ne.n AS recall

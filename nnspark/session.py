@@ -41,8 +41,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts and index tables.
 
     On a cluster this is whatever the deployment names in
-    ``spark.checkpoint.dir`` (a shared file system).  Only when it is unset, as
-    in tests on one machine, a fresh folder under the system temp dir is set.
+    ``spark.checkpoint.dir`` (a shared file system).  Only when it is unset on a
+    ``local`` master, as in tests, a fresh folder under the system temp dir is
+    set; elsewhere a machine-local folder would lose data, so it is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -52,6 +53,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir() or conf_dir
+    if sc.master != "local" and not sc.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="nnspark-ckpt-")
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local

@@ -44,3 +44,14 @@ def test_labels_codes_and_split(spark):
     assert 0.6 < tr / n < 0.98
     train2, _ = dataset.train_test(df.repartition(7), *cols)
     assert sorted(r["features"][0] for r in train.collect()) == sorted(r["features"][0] for r in train2.collect())
+
+
+def test_rows_are_checked_one_by_one(spark, tmp_path):
+    """Files of different widths in one tree: every value is kept, and wrong rows are marked."""
+    files = {"a.csv": "x,y,z\n1,2,3\n4,5\n", "b.csv": "w,x,y,z\n1,2,3,4\n5,6,seven,8\n", "c.csv": "x,y,z\n7,8,9\n"}
+    for name, text in files.items():
+        (tmp_path / "Danmini_Doorbell").mkdir(exist_ok=True)
+        (tmp_path / "Danmini_Doorbell" / name).write_text(text)
+    got = {tuple(r["features"]): (r["n_values"], r["width_ok"])
+           for r in dataset.read_labelled_tree(spark, str(tmp_path), n_features=3).collect()}
+    assert got == {(1, 2, 3): (3, True), (4, 5): (2, False), (1, 2, 3, 4): (4, False), (5, 6, None, 8): (4, False), (7, 8, 9): (3, True)}
