@@ -24,6 +24,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nnspark.llm.common import cut
+
 MIN_SENTENCES = 2
 MIN_WORDS = 25
 _CUT = re.compile(r"(?<=[.!?])\s+|\s*\n\s*|\s+(?=[^\W\d_a-z])")
@@ -98,8 +100,9 @@ def all_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text_hash, spans): per document the positions of its spans that are not the first of their kind."""
     place = F.struct("id", "text_hash", "at")
-    first = (all_spans(docs, id_col, text_col).groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-             .filter("first != last").select("h", "first"))
+    # a written table, so that both sides of the join come from shuffles that AQE can split
+    first, _ = cut(all_spans(docs, id_col, text_col).groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+                   .filter("first != last").select("h", "first"), "spans-first")
     later = all_spans(docs, id_col, text_col).join(first, "h").filter(F.struct("id", "text_hash", "at") != F.col("first"))
     return later.groupBy("id", "text_hash").agg(F.collect_set("at").alias("spans"))
 
