@@ -7,8 +7,10 @@ to ``CENTROID_DECIMALS`` decimals after every round, so the trained index is
 identical under any partitioning (and in the SQL oracle).
 
 Scale notes
-* Training sample (T4): the first m ids in md5 order are found with a hash
-  threshold pre-filter, so only ~m rows are ever sorted.
+* Training sample (T4): the first m ids in md5 order are found from the counts
+  of 65,536 hash ranges: all ranges below the one holding the m-th id are a plain
+  filter, and only that range is sorted.  The sample grows with the lists
+  (``train_rows``).
 * Lloyd round (A12): each task assigns its vectors and emits one partial sum
   per (list, dimension) it touched; ``groupBy(list_id, dim)`` merges them with
   map-side partial aggregation.  The centroid matrix is broadcast after a size
@@ -36,44 +38,73 @@ from nnspark.operators.kernels import list_matrix, nearest_rows, with_query_sq_l
 
 CENTROID_DECIMALS = 9
 DEFAULT_TRAIN_SIZE = 100_000
-MAX_BROADCAST_PROBE_ROWS = 20_000_000
+TRAIN_ROWS_PER_LIST = 64
+# The driver keeps the centroid matrix between rounds; beyond this training raises.
+MAX_DRIVER_CENTROID_BYTES = 4 * 1024 ** 3
+PROBE_ROW_BYTES = 32
+HASH_RANGE_BITS = 16
 DEFAULT_LIST_BUCKETS = 256
 
 
 def default_nlist(n: int) -> int:
-    """nlist = int(4 * sqrt(N)), at least 1."""
-    return max(1, int(4 * math.sqrt(max(n, 0))))
+    """nlist = int(4 * sqrt(N)), at least 1 and at most N."""
+    return max(1, min(n, int(4 * math.sqrt(max(n, 0)))))
 
 
-def sample_ids(corpus: DataFrame, m: int, seed: str = "ivf", id_col: str = "vec_id") -> DataFrame:
-    """T4: the first m ids in (md5(seed:id), id) order, as (id, h).
+def train_rows(n: int, nlist: int, train_size: int | None = None) -> int:
+    """Rows that train ``nlist`` lists: ``train_size`` if given, else 100,000 or 64 a list,
+    whichever is more, and never more than the ``n`` there are.  Raises when lists outnumber them."""
+    want = max(DEFAULT_TRAIN_SIZE, TRAIN_ROWS_PER_LIST * nlist) if train_size is None else train_size
+    m = min(want, n)
+    if n and nlist > m:
+        raise ValueError(f"{nlist} lists cannot be trained on {m} vectors")
+    return m
 
-    A hash threshold keeps ~m rows before the ordered limit, so the sort never
-    sees the whole table; the threshold is widened until at least m rows pass.
-    """
+
+def _hash_range() -> F.Column:
+    return F.shiftright("h", 32 - HASH_RANGE_BITS)
+
+
+def _range_of_mth(keyed: DataFrame, m: int) -> tuple[int, int] | None:
+    """The hash range that holds the m-th row in h order, and how many of its rows are among
+    the first m; None when there are no more than m rows.  65,536 counts reach the driver."""
+    t = keyed.groupBy(_hash_range().alias("b")).agg(F.count(F.lit(1)).alias("c")).orderBy("b").toArrow()
+    counts = t.column("c").to_numpy()
+    upto = np.cumsum(counts)
+    if not len(upto) or upto[-1] <= m:
+        return None
+    i = int(np.searchsorted(upto, m))
+    return int(t.column("b")[i].as_py()), int(m - (upto[i] - counts[i]))
+
+
+def sample_ids(corpus: DataFrame, m: int, seed: str = "ivf", id_col: str = "vec_id") -> DataFrame:
+    """T4: the first m ids in (md5(seed:id), id) order, as (id, h); only one hash range is sorted."""
     ids = corpus.select(F.col(id_col).cast("long").alias("id")).where(F.col("id").isNotNull())
     keyed = ids.withColumn("h", md5_key32(F.lit(seed), F.col("id")))
-    n = keyed.count()
-    if m <= 0 or n == 0:
+    if m <= 0:
         return keyed.limit(0)
-    if m >= n:
+    edge = _range_of_mth(keyed, m)
+    if edge is None:
         return keyed
-    frac = min(1.0, (m * 1.2 + 64) / n)
-    while True:
-        threshold = int(frac * 4294967296)
-        cand = keyed.where(F.col("h") < F.lit(threshold))
-        if frac >= 1.0 or cand.count() >= m:
-            break
-        frac = min(1.0, frac * 2)
-    return cand.orderBy("h", "id").limit(m)
+    b, rest = edge
+    return keyed.where(_hash_range() < b).unionByName(
+        keyed.where(_hash_range() == b).orderBy("h", "id").limit(rest))
 
 
 def sample_vectors(corpus: DataFrame, m: int, seed: str = "ivf", id_col: str = "vec_id",
                    vec_col: str = "embedding") -> DataFrame:
-    """Vectors of the md5 sample: the sampled ids (m rows, bounded) semi-join the corpus."""
-    ids = sample_ids(corpus, m, seed, id_col)
-    cf = corpus_frame(corpus, id_col, vec_col)
-    return cf.join(F.broadcast(ids), "id", "inner")
+    """The first m vectors in md5 order, as (id, vec, h): a filter on the hash, and a join for
+    the one hash range that is taken in part."""
+    keyed = corpus_frame(corpus, id_col, vec_col).withColumn("h", md5_key32(F.lit(seed), F.col("id")))
+    if m <= 0:
+        return keyed.limit(0)
+    edge = _range_of_mth(keyed.select("id", "h"), m)
+    if edge is None:
+        return keyed
+    b, rest = edge
+    part = keyed.where(_hash_range() == b)
+    ids = part.select("h", "id").orderBy("h", "id").limit(rest).select("id")
+    return keyed.where(_hash_range() < b).unionByName(part.join(ids, "id", "left_semi"))
 
 
 def _round_centroids(c: np.ndarray) -> np.ndarray:
@@ -153,20 +184,20 @@ def lloyd_round(sample: DataFrame, C: np.ndarray, budget: int = DEFAULT_BROADCAS
     return _round_centroids(newc)
 
 
-def train(corpus: DataFrame, nlist: int | None = None, n_iter: int = 10, train_size: int = DEFAULT_TRAIN_SIZE,
+def train(corpus: DataFrame, nlist: int | None = None, n_iter: int = 10, train_size: int | None = None,
           seed: str = "ivf", id_col: str = "vec_id", vec_col: str = "embedding",
           budget: int = DEFAULT_BROADCAST_BYTES) -> np.ndarray:
-    """Train centroids on the md5 sample of min(train_size, N) vectors."""
-    n, d = measure(corpus.where(F.col(vec_col).isNotNull()), vec_col)
+    """Train exactly ``nlist`` centroids on the md5 sample of ``train_rows`` vectors."""
+    n, _ = measure(corpus.where(F.col(vec_col).isNotNull()), vec_col)
     nlist = nlist or default_nlist(n)
-    m = min(train_size, n)
+    m = train_rows(n, nlist, train_size)
     sample = sample_vectors(corpus, m, seed, id_col, vec_col)
     spark = corpus.sparkSession
     from nnspark.session import scratch_path
     path = scratch_path(spark, "ivf-sample")
     sample.write.parquet(path)
     sample = spark.read.parquet(path).cache()
-    C = seed_centroids(sample, min(nlist, m), max(budget, min(nlist, m) * d * 8))
+    C = seed_centroids(sample, nlist, MAX_DRIVER_CENTROID_BYTES)
     for _ in range(n_iter):
         C = lloyd_round(sample, C, budget)
     sample.unpersist()
@@ -285,14 +316,15 @@ class IvfIndex:
 
 def write_postings(postings: DataFrame, path: str, buckets: int = DEFAULT_LIST_BUCKETS) -> None:
     """Postings on disk: directory per list bucket (pmod(list_id, B)), rows
-    clustered by list inside, so a probe touches few files and a hot list is
-    spread over the bucket's files rather than one task."""
+    clustered by list inside, so a probe touches few files.  The rows are
+    rebalanced by bucket: adaptive execution splits the bucket of a hot list
+    over several tasks and files, and merges small buckets into one task."""
     p = postings.select("list_id", "id", "vec").withColumn("list_bucket", F.pmod(F.col("list_id"), F.lit(buckets)))
-    p.repartition(buckets, "list_bucket").sortWithinPartitions("list_id").write.mode("overwrite") \
+    p.hint("rebalance", F.col("list_bucket")).sortWithinPartitions("list_bucket", "list_id").write.mode("overwrite") \
         .partitionBy("list_bucket").parquet(path)
 
 
-def build(corpus: DataFrame, nlist: int | None = None, n_iter: int = 10, train_size: int = DEFAULT_TRAIN_SIZE,
+def build(corpus: DataFrame, nlist: int | None = None, n_iter: int = 10, train_size: int | None = None,
           seed: str = "ivf", id_col: str = "vec_id", vec_col: str = "embedding",
           buckets: int = DEFAULT_LIST_BUCKETS, budget: int = DEFAULT_BROADCAST_BYTES) -> IvfIndex:
     """Train, assign every vector, and write the postings as a table in the
@@ -320,7 +352,7 @@ def search(index: IvfIndex, queries: DataFrame, k: int, nprobe: int, *, query_id
     nq, dq = measure(qf, "qv")
     nprobe = max(1, min(nprobe, index.nlist))
     probes = probe_lists(qf, index.centroids, nprobe, budget).cache()
-    small_probes = nq * nprobe <= MAX_BROADCAST_PROBE_ROWS
+    small_probes = nq * nprobe * PROBE_ROW_BYTES <= budget
     small_queries = nq * max(dq, 1) * 8 <= budget
     pj = F.broadcast(probes) if small_probes else probes
     post = index.postings
@@ -344,7 +376,7 @@ def search(index: IvfIndex, queries: DataFrame, k: int, nprobe: int, *, query_id
     else:
         cand = with_sq_l2(cand.join(qf, "query_id"), [("vec", "qv", "d2")], keep)
     sizes = index.list_sizes()
-    cost = probes.join(F.broadcast(sizes) if index.nlist <= MAX_BROADCAST_PROBE_ROWS else sizes, "list_id") \
+    cost = probes.join(F.broadcast(sizes) if index.nlist * PROBE_ROW_BYTES <= budget else sizes, "list_id") \
         .groupBy("query_id").agg(F.sum("size").alias("cost"))
     if exclude_self:
         cand = cand.where(F.col("id") != F.col("query_id"))

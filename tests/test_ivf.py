@@ -76,3 +76,34 @@ def test_centroid_blocks_equal_single_broadcast(emb):
     a = ranked_dict(ivf.search(small, qs, 5, 4, budget=3_000))
     b = ranked_dict(ivf.search(big, qs, 5, 4))
     assert_same_ranking(a, b, tol=0.0)
+
+
+def test_training_rows_grow_with_the_lists_and_never_cut_them():
+    assert ivf.train_rows(10**9, 10_000) == 640_000
+    assert ivf.train_rows(10**9, 100) == 100_000
+    assert ivf.train_rows(500, 89) == 500
+    assert ivf.default_nlist(3) == 3
+    with pytest.raises(ValueError):
+        ivf.train_rows(10**6, 200, train_size=100)
+
+
+def test_sample_vectors_are_the_first_in_md5_order(emb):
+    want = {r["id"] for r in ivf.sample_ids(emb, 10**9).orderBy("h", "id").limit(123).collect()}
+    got = [r["id"] for r in ivf.sample_vectors(emb, 123).collect()]
+    assert len(got) == 123 and set(got) == want
+
+
+def test_postings_of_a_hot_list_are_split(spark, tmp_path):
+    rows = spark.range(60_000).select(
+        F.when(F.col("id") % 20 == 0, 1).otherwise(0).cast("int").alias("list_id"), "id",
+        F.array(*[F.rand(i).cast("float") for i in range(8)]).alias("vec"))
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    old = spark.conf.get(size)
+    spark.conf.set(size, "200k")
+    try:
+        ivf.write_postings(rows, str(tmp_path / "p"), 2)
+    finally:
+        spark.conf.set(size, old)
+    files = list((tmp_path / "p" / "list_bucket=0").glob("*.parquet"))
+    assert len(files) > 2
+    assert spark.read.parquet(str(tmp_path / "p")).agg(F.sum("id")).first()[0] == 60_000 * 59_999 // 2
