@@ -6,7 +6,7 @@ Every query starts from a few md5-chosen entry vectors; each round the
 neighbours of the query's current best ``ef`` vectors that it has not yet
 visited are scored, visited grows, and the best ``ef`` are re-selected by
 (distance, id).  Rounds stop when a round scores nothing new, i.e. one round
-after no query's best set changed (or after ``max_rounds``).  Edges and
+after no query's best set changed; there is no limit on rounds.  Edges and
 vectors are tables bucketed on the join keys (src, id), so each round
 shuffles only the small frontier side.  Each round's state is written to the
 checkpoint folder, so the lineage stays one round deep and a lost executor
@@ -32,7 +32,7 @@ from nnspark.session import scratch_path
 DEFAULT_M = 16
 DEFAULT_EF = 50
 DEFAULT_ENTRIES = 8
-DEFAULT_MAX_ROUNDS = 32
+COST_ROW_BYTES = 32
 DEFAULT_BUCKETS = 0   # 0: as many buckets as spark.sql.shuffle.partitions
 
 
@@ -112,7 +112,7 @@ def build(corpus: DataFrame, m: int = DEFAULT_M, n_entries: int = DEFAULT_ENTRIE
 
 def search(graph: Graph, queries: DataFrame, k: int, ef: int = DEFAULT_EF, *, corpus: DataFrame,
            id_col: str = "vec_id", vec_col: str = "embedding", query_id_col: str = "query_id",
-           query_vec_col: str = "qv", max_rounds: int = DEFAULT_MAX_ROUNDS,
+           query_vec_col: str = "qv", with_vectors: bool = False,
            budget: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
     """Beam search with beam width ``ef``; returns the ranked-result contract
     with cost = number of distinct vectors scored for the query.
@@ -120,7 +120,8 @@ def search(graph: Graph, queries: DataFrame, k: int, ef: int = DEFAULT_EF, *, co
     Per round two tables are written (the newly scored pairs and the new best
     set); ``visited`` is the union of the scored tables.  The search stops
     when a round scores nothing new, i.e. one round after the best sets stop
-    changing.
+    changing; as a pair is scored once, that comes for every graph.
+    ``with_vectors`` joins the vectors of the ranked hits alone.
     """
     spark = corpus.sparkSession
     ef = max(ef, k)
@@ -133,7 +134,7 @@ def search(graph: Graph, queries: DataFrame, k: int, ef: int = DEFAULT_EF, *, co
     if nq * max(dq, 1) * 8 > budget:
         # too many queries for one broadcast: search hash blocks of queries and union
         return in_query_blocks(qf, budget, lambda b: search(
-            graph, b, k, ef, corpus=corpus, id_col=id_col, vec_col=vec_col, max_rounds=max_rounds, budget=budget))
+            graph, b, k, ef, corpus=corpus, id_col=id_col, vec_col=vec_col, with_vectors=with_vectors, budget=budget))
     qids, Q = gather_vectors(qf, "query_id", "qv", budget, (nq, dq))
 
     # small graphs (sizes measured at build) are broadcast: the frontier then keeps
@@ -162,7 +163,7 @@ def search(graph: Graph, queries: DataFrame, k: int, ef: int = DEFAULT_EF, *, co
     start = qf.select("query_id", F.explode(F.array(*[F.lit(e).cast("long") for e in graph.entries])).alias("id"))
     scored_parts = [persist(score(start.distinct()), "graph-scored")]
     best = persist(top_ef(scored_parts[0]), "graph-best")
-    for _ in range(max_rounds):
+    while True:
         visited = reduce(DataFrame.unionByName, [p.select("query_id", "id") for p in scored_parts])
         nbr = best.select("query_id", F.col("id").alias("src")).join(edges, "src") \
             .select("query_id", F.col("dst").alias("id"))
@@ -175,4 +176,5 @@ def search(graph: Graph, queries: DataFrame, k: int, ef: int = DEFAULT_EF, *, co
         best = persist(top_ef(best.unionByName(scored)), "graph-best")
     visited = reduce(DataFrame.unionByName, scored_parts)
     cost = visited.groupBy("query_id").agg(F.count(F.lit(1)).alias("cost"))
-    return finish_topk_with_cost(best, k, cost, small_cost=nq <= 20_000_000)
+    ranked = finish_topk_with_cost(best, k, cost, small_cost=nq * COST_ROW_BYTES <= budget)
+    return ranked.join(vecs, "id") if with_vectors else ranked

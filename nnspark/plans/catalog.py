@@ -92,8 +92,9 @@ def ivf_train_sample(spark, sf_dir):
 def ivf_lloyd_round(spark, sf_dir):
     emb = corpus(spark, sf_dir)
     n, _ = ivf.measure(emb, "embedding")
-    sample = ivf.sample_vectors(emb, min(ivf.DEFAULT_TRAIN_SIZE, n))
-    C0 = ivf.seed_centroids(sample, ivf.default_nlist(n))
+    nlist = ivf.default_nlist(n)
+    sample = ivf.sample_vectors(emb, ivf.train_rows(n, nlist))
+    C0 = ivf.seed_centroids(sample, nlist)
     C1 = ivf.lloyd_round(sample, C0)
     rows = [(int(i), int(j), float(C1[i, j])) for i in range(C1.shape[0]) for j in range(C1.shape[1])]
     return spark.createDataFrame(rows, "list_id int, dim int, x double").select(
@@ -105,7 +106,7 @@ _IVF_CACHE: dict = {}
 
 
 def ivf_index(spark, sf_dir) -> ivf.IvfIndex:
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _IVF_CACHE:
         emb = corpus(spark, sf_dir)
         _IVF_CACHE[key] = ivf.build(emb, n_iter=IVF_ITER)
@@ -160,7 +161,7 @@ _FOREST_CACHE: dict = {}
 
 
 def forest_index(spark, sf_dir) -> forest.Forest:
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _FOREST_CACHE:
         _FOREST_CACHE[key] = forest.build(corpus(spark, sf_dir), FOREST_TREES, FOREST_MAX_LEAF)
     return _FOREST_CACHE[key]
@@ -232,7 +233,7 @@ def sweep_long(spark, sf_dir, with_spread: bool = True) -> DataFrame:
         sw = exact.k_sweep(r, K_SWEEP)
         sp = quality.spread(sw, ["k", "query_id"]) if with_spread else None
         frames.append(compare.metrics(sw, algo, ["k"], sp))
-    return compare.union_methods(frames).join(F.broadcast(_labels(spark, sf_dir)), "query_id")
+    return compare.union_methods(frames).join(_labels(spark, sf_dir), "query_id")
 
 
 def sweep_wide(spark, sf_dir):
@@ -384,7 +385,7 @@ _GRAPH_CACHE: dict = {}
 
 
 def graph_index(spark, sf_dir) -> graph.Graph:
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _GRAPH_CACHE:
         _GRAPH_CACHE[key] = graph.build(corpus(spark, sf_dir), GRAPH_M)
     return _GRAPH_CACHE[key]

@@ -59,3 +59,15 @@ def test_with_text_broadcast_bound_same_result(spark, emb):
     a = {tuple(x) for x in exact.with_text(r, texts, hits_bound=emb.count() * 3).select("query_id", "rank", "text").collect()}
     b = {tuple(x) for x in exact.with_text(r, texts).select("query_id", "rank", "text").collect()}
     assert a == b and len(a) == emb.count() * 3
+
+
+def test_sweep_of_a_smaller_k_is_its_own_search(emb):
+    small = emb.where("vec_id < 120")
+    qs = exact.self_queries(small)
+    plan = {"forest": {"n_trees": 2, "max_leaf": 8}, "graph": {"m": 4, "ef": 4}}
+    both = registry.sweep(small, qs, [3, 6], plan).where("k = 3")
+    alone = registry.sweep(small, qs, [3], plan)
+    cols = ["algo", "query_id", "n_hits", "cost", F.round("sum_dist", 9).alias("s"), F.round("spread", 9).alias("sp")]
+    a = sorted(tuple(r) for r in both.select(*cols).collect())
+    assert a == sorted(tuple(r) for r in alone.select(*cols).collect())
+    assert len(a) == 240 and all(r[-1] is not None for r in a)
