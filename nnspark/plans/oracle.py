@@ -98,13 +98,7 @@ def _ivf_base(seed: str = "ivf") -> str:
              FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL),
     nn AS (SELECT count(*) AS n, floor(4 * sqrt(count(*)))::INTEGER AS nlist FROM base),
     sample AS (SELECT * FROM base
-               QUALIFY row_number() OVER (ORDER BY h, vec_id) <= (SELECT least({_train_size()}, n) FROM nn))"""
-
-
-def _train_size() -> int:
-    from nnspark.operators.ivf import DEFAULT_TRAIN_SIZE
-
-    return DEFAULT_TRAIN_SIZE
+               QUALIFY row_number() OVER (ORDER BY h, vec_id) <= (SELECT least(greatest(100000, 64 * nlist), n) FROM nn))"""
 
 
 def _round_list(expr: str) -> str:
