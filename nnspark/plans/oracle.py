@@ -601,6 +601,79 @@ def graph_knn_edges() -> str:
     QUALIFY rank <= {C.GRAPH_M}"""
 
 
+# ------------------------------------------------------------------ file sources and sinks
+
+def _fixed(expr: str, places: int) -> str:
+    """A double as a fixed-point number rounds: half away from zero on its shortest decimal form."""
+    return f"round(({expr})::DOUBLE::VARCHAR::DECIMAL(38, 18), {places})::DOUBLE"
+
+
+def keyword_file_scan() -> str:
+    # Python's whitespace, written out: the definition, not the parser's own pattern.
+    ws = (r"\t\n\x{0B}\x{0C}\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}"
+          r"\x{205F}\x{3000}")
+    return f"""
+    WITH lines AS (
+        SELECT 'part' AS src, p_partkey AS key, 0 AS pos, concat_ws(' ', p_partkey::VARCHAR, p_name) AS line FROM part
+        UNION ALL
+        SELECT 'documents', doc_id, pos, line FROM (
+            SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+                   unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents)),
+    numbered AS (SELECT row_number() OVER (ORDER BY src, key, pos) - 1 AS line_no, replace(line, chr(13), ' ') AS line
+                 FROM lines),
+    stripped AS (SELECT *, regexp_replace(line, '^[{ws}]+|[{ws}]+$', '', 'g') AS s FROM numbered),
+    cutted AS (SELECT line_no, line, regexp_extract(s, '^[^{ws}]+') AS tok,
+                      regexp_replace(s, '^[^{ws}]+[{ws}]*', '') AS txt FROM stripped)
+    SELECT line_no::BIGINT AS line_no, CASE WHEN is_id THEN 'ok' ELSE 'reject' END AS status,
+           CASE WHEN is_id THEN tok::BIGINT END AS id, CASE WHEN is_id THEN txt ELSE line END AS text
+    FROM (SELECT *, regexp_full_match(tok, '[+-]?[0-9]+') AND TRY_CAST(tok AS BIGINT) IS NOT NULL AS is_id FROM cutted)
+    WHERE tok <> '' AND txt <> ''"""
+
+
+def entity_list_scan() -> str:
+    return """
+    SELECT entity, min(ord)::BIGINT AS ord, count(*)::BIGINT AS n
+    FROM (SELECT trim(p_name) || chr(10) || '""' AS entity, row_number() OVER (ORDER BY p_partkey) - 1 AS ord FROM part)
+    GROUP BY entity"""
+
+
+def ranked_csv_scan() -> str:
+    return f"""
+    WITH c AS (SELECT count(*) AS n FROM embeddings WHERE embedding IS NOT NULL)
+    SELECT 'q' || query_id AS query, round(sum({_fixed(dist('d2'), 6)}), 6) AS sum_dist, max(c.n)::BIGINT AS cost,
+           count(*)::INTEGER AS n_hits
+    FROM ({exact_topk(5)}), c GROUP BY query_id"""
+
+
+def comparison_csv_scan() -> str:
+    return f"""
+    WITH {compare_baseline_ctes()}
+    SELECT 'q' || query_id AS query, {_fixed('base_sum', 4)} AS base_sum, {_fixed('cand_sum', 4)} AS cand_sum,
+           {_fixed('pct_diff', 2)} AS pct_diff, base_cost::DOUBLE AS base_cost, cand_cost::DOUBLE AS cand_cost,
+           {_fixed('speedup', 2)} AS speedup
+    FROM cmp"""
+
+
+def vector_table_scan() -> str:
+    return """
+    SELECT vec_id, label, len(embedding)::INTEGER AS dim, round(list_sum(embedding::DOUBLE[]), 6) AS total
+    FROM embeddings"""
+
+
+def sweep_tables_scan() -> str:
+    return f"""
+    SELECT s.*, d.n_diffs FROM ({sweep_summary_stats()}) s
+    JOIN (SELECT k, count(*)::BIGINT AS n_diffs FROM ({sweep_wide()}) GROUP BY k) d USING (k)"""
+
+
+def ivf_reopened_search() -> str:
+    return ivf_search_nprobe10()
+
+
+def forest_reopened_leaf_sizes() -> str:
+    return forest_leaf_sizes()
+
+
 def all_sql() -> dict[str, str]:
     names = [
         "knn_exact_top20", "knn_sq_l2_top10", "knn_k_sweep_sums", "knn_with_text", "result_spread",
@@ -611,6 +684,8 @@ def all_sql() -> dict[str, str]:
         "dataset_change_marker", "parse_keyword_lines", "keep_last_text", "distinct_first_seen",
         "expand_entity_queries", "corpus_shape", "hash_split_85", "class_codes", "embed_texts",
         "text_query_search", "graph_knn_edges",
+        "keyword_file_scan", "entity_list_scan", "ranked_csv_scan", "comparison_csv_scan", "vector_table_scan",
+        "sweep_tables_scan", "ivf_reopened_search", "forest_reopened_leaf_sizes",
     ]
     g = globals()
     return {n: g[n]() for n in names if n in g}
