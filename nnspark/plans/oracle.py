@@ -206,12 +206,13 @@ def _depth(node: str) -> str:
     return f"(length(bin(({node}) + 1)) - 1)"
 
 
+FOREST_LEVELS = 40  # levels the SQL writes out; trees over these tables end well before
+
+
 def forest_chain(levels: int | None = None) -> str:
     """CTEs: fb (vectors), s0..s{L} (membership per level), p0..p{L-1} (splits),
     inner_nodes, node_sizes."""
-    from nnspark.operators.forest import DEFAULT_MAX_DEPTH
-
-    L = levels or DEFAULT_MAX_DEPTH
+    L = levels or FOREST_LEVELS
     T, ML = C.FOREST_TREES, C.FOREST_MAX_LEAF
     ctes = [f"""
     fb AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL),
@@ -219,10 +220,11 @@ def forest_chain(levels: int | None = None) -> str:
     for lv in range(L):
         h = md5_key("'forest:' || tree::VARCHAR || ':' || node::VARCHAR || ':' || id::VARCHAR")
         ctes.append(f"""
-    p{lv} AS (SELECT tree, node, arg_min(v, (h, id)) AS a, arg_max(v, (h, id)) AS b
-              FROM (SELECT *, {h} AS h FROM s{lv} WHERE {_depth('node')} = {lv})
+    p{lv} AS (SELECT tree, node, any_value(a0) AS a, arg_max(v, (h, id)) FILTER (v <> a0) AS b
+              FROM (SELECT *, first_value(v) OVER (PARTITION BY tree, node ORDER BY h, id) AS a0
+                    FROM (SELECT *, {h} AS h FROM s{lv} WHERE {_depth('node')} = {lv}))
               GROUP BY tree, node
-              HAVING count(*) > {ML} AND arg_min(v, (h, id)) <> arg_max(v, (h, id))),
+              HAVING count(*) > {ML} AND bool_or(v <> a0)),
     s{lv + 1} AS (SELECT s.id, s.v, s.tree,
                   CASE WHEN p.node IS NULL THEN s.node
                        ELSE 2 * s.node + 1 + (CASE WHEN {d2('s.v', 'p.a')} > {d2('s.v', 'p.b')} THEN 1 ELSE 0 END)
@@ -240,9 +242,7 @@ def forest_chain(levels: int | None = None) -> str:
 
 
 def forest_search_ctes(search_k: int, levels: int | None = None) -> str:
-    from nnspark.operators.forest import DEFAULT_MAX_DEPTH
-
-    L = levels or DEFAULT_MAX_DEPTH
+    L = levels or FOREST_LEVELS
     T = C.FOREST_TREES
     ctes = [f"""
     f0 AS (SELECT q.id AS query_id, q.v AS qv, t.tree::INTEGER AS tree, 0::BIGINT AS node, 'inf'::DOUBLE AS prio
