@@ -34,6 +34,7 @@ DEFAULT_EF = 50
 DEFAULT_ENTRIES = 8
 COST_ROW_BYTES = 32
 DEFAULT_BUCKETS = 0   # 0: as many buckets as spark.sql.shuffle.partitions
+META = "entries array<long>, m int, buckets int, n_edges long, n_vectors long, dim int, has_vectors boolean"
 
 
 @dataclass
@@ -47,34 +48,46 @@ class Graph:
     dim: int = 0
 
     def save(self, path: str) -> None:
-        """Edges (partitioned by a src bucket) and entry points as Parquet."""
+        """Edges and vectors as Parquet bucketed on their join keys, entry points and sizes beside them."""
         spark = self.edges.sparkSession
-        self.edges.write.mode("overwrite").parquet(f"{path}/edges")
-        spark.createDataFrame([(int(e), self.m) for e in self.entries], "id long, m int") \
-            .write.mode("overwrite").parquet(f"{path}/entries")
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+        _bucketed_table(self.edges, "src", buckets, "graph_edges", f"{path}/edges")
+        if self.vectors is not None:
+            _bucketed_table(self.vectors, "id", buckets, "graph_vectors", f"{path}/vectors")
+        meta = (self.entries, self.m, buckets, self.n_edges, self.n_vectors, self.dim, self.vectors is not None)
+        spark.createDataFrame([meta], META).write.mode("overwrite").parquet(f"{path}/meta")
 
     @classmethod
     def open(cls, spark, path: str, corpus: DataFrame | None = None, id_col: str = "vec_id",
-             vec_col: str = "embedding", buckets: int = DEFAULT_BUCKETS) -> "Graph":
-        rows = spark.read.parquet(f"{path}/entries").orderBy("id").collect()
-        if not buckets:
-            buckets = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-        edges = _bucketed_table(spark.read.parquet(f"{path}/edges"), "src", buckets, "graph_edges")
-        vectors = _bucketed_table(corpus_frame(corpus, id_col, vec_col), "id", buckets, "graph_vectors") \
-            if corpus is not None else None
-        return cls(edges, [int(r["id"]) for r in rows], int(rows[0]["m"]) if rows else DEFAULT_M, vectors)
-
-
-
-
-def _bucketed_table(df: DataFrame, key: str, buckets: int, prefix: str) -> DataFrame:
-    """Write ``df`` as a table bucketed and sorted by ``key`` in the checkpoint
-    folder, so later joins on ``key`` shuffle only the other side."""
+             vec_col: str = "embedding") -> "Graph":
+        """The saved graph; nothing is written but, where it was saved without vectors, those of ``corpus``."""
+        meta = spark.read.parquet(f"{path}/meta").first()
+        edges = _attach(spark, f"{path}/edges", "src", meta["buckets"], "graph_edges")
+        if meta["has_vectors"]:
+            vectors = _attach(spark, f"{path}/vectors", "id", meta["buckets"], "graph_vectors")
+        elif corpus is not None:
+            vectors = _bucketed_table(corpus_frame(corpus, id_col, vec_col), "id", meta["buckets"], "graph_vectors")
+        else:
+            vectors = None
+        return cls(edges, list(meta["entries"]), meta["m"], vectors, meta["n_edges"], meta["n_vectors"], meta["dim"])
+
+def _bucketed_table(df: DataFrame, key: str, buckets: int, prefix: str, path: str | None = None) -> DataFrame:
+    """Write ``df`` as a table bucketed and sorted by ``key`` (in the checkpoint folder
+    unless ``path`` is given), so later joins on ``key`` shuffle only the other side."""
     spark = df.sparkSession
     name = f"nn_{prefix}_{uuid.uuid4().hex[:12]}"
     # hash-partition on the key first (same hash as bucketing): one file per bucket
     df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key) \
-        .option("path", scratch_path(spark, prefix)).saveAsTable(name)
+        .option("path", path or scratch_path(spark, prefix)).saveAsTable(name)
+    return spark.table(name)
+
+
+def _attach(spark, path: str, key: str, buckets: int, prefix: str) -> DataFrame:
+    """A bucketed table over files that ``_bucketed_table`` wrote: a catalogue entry, no data is moved."""
+    name = f"nn_{prefix}_{uuid.uuid4().hex[:12]}"
+    columns = ", ".join(f"`{c}` {kind}" for c, kind in spark.read.parquet(path).dtypes)
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (`{key}`) SORTED BY (`{key}`) "
+              f"INTO {buckets} BUCKETS LOCATION '{path}'")
     return spark.table(name)
 
 

@@ -35,7 +35,13 @@ def test_graph_save_open(spark, emb):
     g = graph.build(emb, m=4, n_entries=2)
     path = scratch_path(spark, "graph")
     g.save(path)
-    g2 = graph.Graph.open(spark, path, corpus=emb)
+    g2 = graph.Graph.open(spark, path)
+    assert (g2.entries, g2.m, g2.n_edges, g2.n_vectors) == (g.entries, g.m, g.n_edges, g.n_vectors)
+    assert g2.edges.exceptAll(g.edges).isEmpty() and g2.vectors.exceptAll(g.vectors).isEmpty()
+    # the saved buckets are used as they lie: a join on the key shuffles the other side alone
+    small = spark.range(5).hint("merge")
+    plan = g2.vectors.join(small, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning") == 1
     qs = exact.self_queries(emb)
     assert_same_ranking(ranked_dict(graph.search(g2, qs, 5, ef=10, corpus=emb)),
                         ranked_dict(graph.search(g, qs, 5, ef=10, corpus=emb)), tol=0.0)
