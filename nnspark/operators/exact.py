@@ -2,13 +2,15 @@
 
 Plan shape::
 
-    corpus scan (id, vector; pruned)  --mapInArrow-->  per-partition top-k per query
-        --shuffle by query_id (partitions x queries x k rows)-->  row_number() <= k
-
-The query block is broadcast after its size is measured; a query set larger
-than the budget is split into hash blocks of query ids, each one pass over the
-corpus.  No cross join is planned: every (query, vector) distance is computed
-inside a task and only the per-partition top-k leaves it.
+    corpus scan (id, vector; pruned)  --mapInArrow-->  per-task top-k per query
+        --shuffle by query_id (tasks x queries x k rows)-->  row_number() <= k
+
+A query table whose measured size fits the budget is broadcast.  A larger one never
+reaches the driver: query blocks and corpus groups, both by hash, meet in one
+shuffle, a task per (block, group) that holds the block and streams the group.
+Where very many tasks find hits of one query, they are merged in two levels.  No
+cross join is planned: every (query, vector) distance is computed inside a task and
+only ids and distances of its top-k leave it; vectors of the final hits are joined after ranking.
 """
 
 from __future__ import annotations
@@ -18,23 +20,23 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nnspark.functions.distance import safe_sqrt
 from nnspark.operators.gather import DEFAULT_BROADCAST_BYTES, gather_vectors, measure
 from nnspark.operators.kernels import batch_topk, list_matrix
+from nnspark.session import scratch_path
 
-PARTIAL_SCHEMA = "query_id long, id long, d2 double, n_eval long"
+PARTIAL_SCHEMA = "query_id long, id long, d2 double, n_eval long, part long"
+MERGE_PARTS = 64
+GRID_BLOCK_BYTES = 64 << 20
+GRID_GROUP_BYTES = 512 << 20
+GRID_PARTITIONS = 1 << 16
 RANKED_COLUMNS = ["query_id", "rank", "id", "dist", "d2", "cost", "n_hits"]
 
 
-def _float_list_array(mat: np.ndarray) -> pa.Array:
-    n, d = mat.shape[0], (mat.shape[1] if mat.ndim == 2 else 0)
-    offsets = pa.array(np.arange(0, (n + 1) * d, d, dtype=np.int32) if n else np.zeros(1, dtype=np.int32))
-    return pa.ListArray.from_arrays(offsets, pa.array(mat.reshape(-1).astype(np.float32)))
-
-
 def corpus_frame(corpus: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """Project the corpus to (id, vec) and drop rows without a vector."""
     return corpus.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).where(
@@ -42,57 +44,106 @@ def corpus_frame(corpus: DataFrame, id_col: str = "vec_id", vec_col: str = "embe
     )
 
 
-def _partition_topk(corpus: DataFrame, qids: np.ndarray, Q: np.ndarray, k: int, with_vectors: bool) -> DataFrame:
-    """Per-partition exact top-k of each query; output <= queries x k rows per task."""
-    sc = corpus.sparkSession.sparkContext
-    bq = sc.broadcast((qids, Q))
-    schema = PARTIAL_SCHEMA + (", vec array<float>" if with_vectors else "")
-    names = ["query_id", "id", "d2", "n_eval"] + (["vec"] if with_vectors else [])
+class _RunningTopk:
+    """The k nearest vectors seen so far of every query of a block."""
+
+    def __init__(self, q_ids: np.ndarray, q_mat: np.ndarray, k: int):
+        self.q_ids, self.q_mat, self.k = q_ids, q_mat, k
+        self.d = self.i = None
+        self.seen = 0
+
+    def add(self, ids: np.ndarray, V: np.ndarray) -> None:
+        nq, kk = len(self.q_ids), min(self.k, len(ids))
+        _, rpos, d2 = batch_topk(self.q_mat, V, ids, self.k)
+        d, i = d2.reshape(nq, kk), ids[rpos].reshape(nq, kk)
+        self.seen += len(ids)
+        if self.d is not None:
+            d, i = np.hstack([self.d, d]), np.hstack([self.i, i])
+            order = np.lexsort((i, d), axis=-1)[:, :self.k]
+            d, i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
+        self.d, self.i = d, i
+
+    def batch(self, part: int):
+        """The result as one Arrow batch (PARTIAL_SCHEMA), if there is any."""
+        if self.d is None or not len(self.q_ids):
+            return
+        kk = self.d.shape[1]
+        n_eval = np.zeros(self.d.shape, dtype=np.int64)
+        n_eval[:, 0] = self.seen
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(self.q_ids, kk)), pa.array(self.i.reshape(-1)), pa.array(self.d.reshape(-1)),
+             pa.array(n_eval.reshape(-1)), pa.array(np.full(kk * len(self.q_ids), part, dtype=np.int64))],
+            names=["query_id", "id", "d2", "n_eval", "part"])
+
+
+def _partition_topk(corpus: DataFrame, qids: np.ndarray, Q: np.ndarray, k: int) -> DataFrame:
+    """Per-task exact top-k of each query of a broadcast block; output <= queries x k rows per task."""
+    bq = corpus.sparkSession.sparkContext.broadcast((qids, Q))
 
     def run(batches):
-        q_ids, q_mat = bq.value
-        nq, dim = q_mat.shape
-        best_d = best_i = best_v = None
-        seen = 0
+        best = _RunningTopk(*bq.value, k)
         for rb in batches:
-            B = rb.num_rows
-            if B == 0:
-                continue
+            if rb.num_rows:
+                best.add(rb.column("id").to_numpy(), list_matrix(rb.column("vec"), Q_dim))
+        yield from best.batch(TaskContext.get().partitionId())
+
+    Q_dim = Q.shape[1]
+    return corpus.mapInArrow(run, PARTIAL_SCHEMA)
+
+
+def _grid_topk(corpus: DataFrame, qf: DataFrame, k: int, n_blocks: int, n_groups: int, dim: int) -> DataFrame:
+    """The same per (query block, corpus group), where the query table is too large to broadcast."""
+    kind = dict(qf.dtypes)["qv"] if dict(qf.dtypes)["qv"] == dict(corpus.dtypes)["vec"] else "array<double>"
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    hashed = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    asked = qf.select(hashed("query_id", n_blocks).alias("block"), every(n_groups).alias("group"), F.lit(0).alias("role"),
+                      F.col("query_id").alias("id"), F.col("qv").cast(kind).alias("vec"))
+    held = corpus.select(every(n_blocks).alias("block"), hashed("id", n_groups).alias("group"), F.lit(1).alias("role"),
+                         "id", F.col("vec").cast(kind).alias("vec"))
+    dealt = (asked.unionByName(held).repartition(min(n_blocks * n_groups, GRID_PARTITIONS), "block", "group")
+             .sortWithinPartitions("block", "group", "role"))
+
+    def run(batches):
+        at, asked, best = None, [], None
+        for rb in batches:
+            keys = [rb.column(c).to_numpy() for c in ("block", "group", "role")]
             ids = rb.column("id").to_numpy()
-            V = list_matrix(rb.column("vec"), dim)
-            qpos, rpos, d2 = batch_topk(q_mat, V, ids, k)
-            kk = min(k, B)
-            new_d = d2.reshape(nq, kk)
-            new_i = ids[rpos].reshape(nq, kk)
-            new_v = V[rpos].reshape(nq, kk, dim) if with_vectors else None
-            seen += B
-            if best_d is None:
-                best_d, best_i, best_v = new_d, new_i, new_v
-            else:
-                cat_d = np.hstack([best_d, new_d])
-                cat_i = np.hstack([best_i, new_i])
-                order = np.lexsort((cat_i, cat_d), axis=-1)[:, :k]
-                best_d = np.take_along_axis(cat_d, order, 1)
-                best_i = np.take_along_axis(cat_i, order, 1)
-                if with_vectors:
-                    cat_v = np.concatenate([best_v, new_v], axis=1)
-                    best_v = np.take_along_axis(cat_v, order[:, :, None], 1)
-        if best_d is None or nq == 0:
-            return
-        kk = best_d.shape[1]
-        n_eval = np.zeros((nq, kk), dtype=np.int64)
-        n_eval[:, 0] = seen
-        cols = [
-            pa.array(np.repeat(q_ids, kk)),
-            pa.array(best_i.reshape(-1)),
-            pa.array(best_d.reshape(-1)),
-            pa.array(n_eval.reshape(-1)),
-        ]
-        if with_vectors:
-            cols.append(_float_list_array(best_v.reshape(nq * kk, dim)))
-        yield pa.RecordBatch.from_arrays(cols, names=names)
-
-    return corpus.mapInArrow(run, schema)
+            change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in keys], axis=0)) + 1 if rb.num_rows else []
+            edges = [0, *change, rb.num_rows] if rb.num_rows else [0]
+            for lo, hi in zip(edges[:-1], edges[1:]):
+                cell, V = (keys[0][lo], keys[1][lo]), list_matrix(rb.column("vec").slice(lo, hi - lo), dim)
+                if cell != at:
+                    if best is not None:
+                        yield from best.batch(int(at[1]))
+                    at, asked, best = cell, [], None
+                if keys[2][lo] == 0:
+                    asked.append((ids[lo:hi], V))
+                elif asked or best is not None:
+                    if best is None:
+                        best = _RunningTopk(*[np.concatenate(c) for c in zip(*asked)], k)
+                        asked = []
+                    best.add(ids[lo:hi], V)
+        if best is not None:
+            yield from best.batch(int(at[1]))
+
+    return dealt.mapInArrow(run, PARTIAL_SCHEMA)
+
+
+def _estimated_tasks(df: DataFrame) -> int:
+    """Scan tasks of a table by the optimizer's size estimate; it only steers how the work is cut, never results."""
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return min(max(1, math.ceil(size / split)), 1 << 20)
+
+
+def _merge_level(partial: DataFrame, k: int) -> DataFrame:
+    """Per query the top k of every ``MERGE_PARTS`` tasks, and the evaluations of all of them."""
+    group = Window.partitionBy("query_id", "part")
+    merged = partial.withColumn("part", F.floor(F.col("part") / MERGE_PARTS))
+    merged = merged.withColumn("n_eval", F.sum("n_eval").over(group)).withColumn(
+        "_r", F.row_number().over(group.orderBy("d2", "id"))).where(F.col("_r") <= k)
+    return merged.withColumn("n_eval", F.when(F.col("_r") == 1, F.col("n_eval")).otherwise(F.lit(0))).drop("_r")
 
 
 def finish_topk(partial: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
@@ -149,27 +200,6 @@ def finish_topk_with_cost(cand: DataFrame, k: int, cost: DataFrame, small_cost:
     )
 
 
-def query_blocks(qf: DataFrame, nq: int, dq: int, budget: int, salt: int = 0):
-    """Yield (ids, matrix) blocks of the query table, each within ``budget``.
-
-    Blocks are hash ranges of query_id sized with headroom; a block that still
-    comes out too large (uneven hashing) is split again with another salt.
-    Only block indices loop on the driver; each block is one bounded gather.
-    """
-    need = nq * max(dq, 1) * 8
-    if need <= budget:
-        yield gather_vectors(qf, "query_id", "qv", budget, (nq, dq))
-        return
-    nblocks = max(2, math.ceil(1.5 * need / budget))
-    bucket = F.pmod(F.xxhash64(F.col("query_id"), F.lit(salt)), F.lit(nblocks))
-    for b in range(nblocks):
-        block = qf.where(bucket == b)
-        bn, bd = measure(block, "qv")
-        if bn == 0:
-            continue
-        yield from query_blocks(block, bn, bd or dq, budget, salt + 1)
-
-
 def in_query_blocks(qf: DataFrame, budget: int, run_block, salt: int = 0) -> DataFrame:
     """Run ``run_block(block_df)`` on hash blocks of the query table small
     enough to broadcast, and union the results (one block when it all fits)."""
@@ -211,16 +241,21 @@ def exact_knn(
     ).where(F.col("qv").isNotNull())
     nq, dq = measure(qf, "qv")
     k_scan = k + 1 if exclude_self else k
+    need = nq * max(dq, 1) * 8
     if nq == 0:
-        schema = PARTIAL_SCHEMA + (", vec array<float>" if with_vectors else "")
-        return finish_topk(spark.createDataFrame([], schema), k, exclude_self)
-    parts = [
-        _partition_topk(cf, qids, Q, k_scan, with_vectors)
-        for qids, Q in query_blocks(qf, nq, dq, budget)
-        if len(qids)
-    ]
-    partial = reduce(DataFrame.unionByName, parts)
-    return finish_topk(partial, k, exclude_self)
+        n_tasks, partial = 0, spark.createDataFrame([], PARTIAL_SCHEMA)
+    elif need <= budget:
+        n_tasks = _estimated_tasks(cf)
+        partial = _partition_topk(cf, *gather_vectors(qf, "query_id", "qv", budget, (nq, dq)), k_scan)
+    else:
+        n, d = measure(cf, "vec")
+        n_tasks = max(2, math.ceil(n * d * 8 / GRID_GROUP_BYTES))
+        partial = _grid_topk(cf, qf, k_scan, math.ceil(need / min(budget, GRID_BLOCK_BYTES)), n_tasks, dq)
+    if n_tasks > MERGE_PARTS:
+        partial = _merge_level(partial, k_scan)
+    ranked = finish_topk(partial.drop("part"), k, exclude_self)
+    # only the final hits fetch their vectors
+    return ranked.join(cf, "id").select(*ranked.columns, "vec") if with_vectors else ranked
 
 
 def self_queries(corpus: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -246,8 +281,12 @@ def with_text(ranked: DataFrame, texts: DataFrame, id_col: str = "id", text_col:
     The text table can be as large as the corpus; the hits are at most
     queries x k.  When that bound (``hits_bound``) is known and small, the
     distinct hit ids are broadcast to semi-join the text table, so the text
-    table is never shuffled; otherwise Spark (AQE) picks the join.
+    table is never shuffled; otherwise Spark (AQE) picks the join.  The hits are
+    written once, so that the search behind them runs once.
     """
+    path = scratch_path(ranked.sparkSession, "ranked-hits")
+    ranked.write.parquet(path)
+    ranked = ranked.sparkSession.read.parquet(path)
     hit_ids = ranked.select(F.col("id").alias("_tid")).distinct()
     t = texts.select(F.col(id_col).cast("long").alias("_tid"), F.col(text_col).alias("_text"))
     if hits_bound is not None and hits_bound <= max_broadcast_ids:

@@ -446,32 +446,35 @@ def dataset_change_marker() -> str:
 
 # ------------------------------------------------------------------ text, queries, datasets
 
-def _kw_pattern() -> str:
-    from nnspark.functions.text import KEYWORD_LINE
+# Python's whitespace, written out: the definition, not the parser's own pattern.
+PY_SPACE = (r"\t\n\x{0B}\x{0C}\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}"
+            r"\x{205F}\x{3000}")
 
-    return KEYWORD_LINE.replace("'", "''")
 
-
-def parse_keyword_lines() -> str:
-    from nnspark.functions.text import INTEGER_TOKEN
-
-    pat = _kw_pattern()
-    return f"""
-    WITH lines AS (
+def _keyword_lines() -> str:
+    return """
         SELECT 'part' AS src, p_partkey AS key, 0 AS pos, concat_ws(' ', p_partkey::VARCHAR, p_name) AS line FROM part
         UNION ALL
         SELECT 'documents', doc_id, pos, line FROM (
             SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
-                   unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents)),
-    t AS (SELECT src, key, pos, regexp_extract(line, '{pat}', 1) AS tok, regexp_extract(line, '{pat}', 2) AS txt
-          FROM lines),
-    u AS (SELECT *, tok <> '' AND txt <> '' AS two,
-                 CASE WHEN regexp_matches(tok, '{INTEGER_TOKEN}') THEN TRY_CAST(tok AS BIGINT) END AS kid FROM t)
+                   unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents)"""
+
+
+def _split_lines(lines: str) -> str:
+    """``lines`` plus tok and txt: the stripped line split once at whitespace; is_id: tok is a 64-bit integer."""
+    return f"""
+        SELECT *, regexp_full_match(tok, '[+-]?[0-9]+') AND TRY_CAST(tok AS BIGINT) IS NOT NULL AS is_id FROM (
+            SELECT *, regexp_extract(s, '^[^{PY_SPACE}]+') AS tok,
+                   regexp_replace(s, '^[^{PY_SPACE}]+[{PY_SPACE}]*', '') AS txt
+            FROM (SELECT *, regexp_replace(line, '^[{PY_SPACE}]+|[{PY_SPACE}]+$', '', 'g') AS s FROM ({lines})))"""
+
+
+def parse_keyword_lines() -> str:
+    return f"""
     SELECT src, key, pos::INTEGER AS pos,
-           CASE WHEN two AND kid IS NOT NULL THEN 'ok' WHEN two THEN 'reject' ELSE 'skip' END AS status,
-           CASE WHEN two AND kid IS NOT NULL THEN kid END AS id,
-           CASE WHEN two AND kid IS NOT NULL THEN txt END AS text
-    FROM u"""
+           CASE WHEN coalesce(tok, '') = '' OR txt = '' THEN 'skip' WHEN is_id THEN 'ok' ELSE 'reject' END AS status,
+           CASE WHEN txt <> '' AND is_id THEN tok::BIGINT END AS id, CASE WHEN txt <> '' AND is_id THEN txt END AS text
+    FROM ({_split_lines(_keyword_lines())})"""
 
 
 def keep_last_text() -> str:
@@ -609,24 +612,12 @@ def _fixed(expr: str, places: int) -> str:
 
 
 def keyword_file_scan() -> str:
-    # Python's whitespace, written out: the definition, not the parser's own pattern.
-    ws = (r"\t\n\x{0B}\x{0C}\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}"
-          r"\x{205F}\x{3000}")
+    numbered = f"""SELECT row_number() OVER (ORDER BY src, key, pos) - 1 AS line_no, replace(line, chr(13), ' ') AS line
+                   FROM ({_keyword_lines()})"""
     return f"""
-    WITH lines AS (
-        SELECT 'part' AS src, p_partkey AS key, 0 AS pos, concat_ws(' ', p_partkey::VARCHAR, p_name) AS line FROM part
-        UNION ALL
-        SELECT 'documents', doc_id, pos, line FROM (
-            SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
-                   unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents)),
-    numbered AS (SELECT row_number() OVER (ORDER BY src, key, pos) - 1 AS line_no, replace(line, chr(13), ' ') AS line
-                 FROM lines),
-    stripped AS (SELECT *, regexp_replace(line, '^[{ws}]+|[{ws}]+$', '', 'g') AS s FROM numbered),
-    cutted AS (SELECT line_no, line, regexp_extract(s, '^[^{ws}]+') AS tok,
-                      regexp_replace(s, '^[^{ws}]+[{ws}]*', '') AS txt FROM stripped)
     SELECT line_no::BIGINT AS line_no, CASE WHEN is_id THEN 'ok' ELSE 'reject' END AS status,
            CASE WHEN is_id THEN tok::BIGINT END AS id, CASE WHEN is_id THEN txt ELSE line END AS text
-    FROM (SELECT *, regexp_full_match(tok, '[+-]?[0-9]+') AND TRY_CAST(tok AS BIGINT) IS NOT NULL AS is_id FROM cutted)
+    FROM ({_split_lines(numbered)})
     WHERE tok <> '' AND txt <> ''"""
 
 

@@ -90,3 +90,14 @@ def test_kernel_exact_under_near_ties():
     for qi in range(3):
         want = np.lexsort((ids, ltr_sq_dist(Q[qi][None, :], V)))[:5]
         assert list(rp[qp == qi]) == list(want)
+
+
+def test_large_query_tables_stay_off_the_driver_and_merge_in_levels(emb, monkeypatch):
+    qs = exact.self_queries(emb)
+    want = exact.exact_knn(emb, qs, 7, with_vectors=True)
+    monkeypatch.setattr(exact, "gather_vectors", None)
+    monkeypatch.setattr(exact, "GRID_GROUP_BYTES", 20_000)
+    monkeypatch.setattr(exact, "MERGE_PARTS", 3)
+    got = exact.exact_knn(emb, qs, 7, with_vectors=True, budget=40_000)
+    assert got.columns == want.columns
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()

@@ -7,7 +7,9 @@ import __spark_entry__ as E
 from conftest import SF001
 
 NAMES = ["knn_exact_top20", "knn_k_sweep_sums", "result_spread", "ivf_search_nprobe10", "forest_leaf_sizes",
-         "compare_baseline", "parse_keyword_lines", "expand_entity_queries", "hash_split_85", "embed_texts"]
+         "compare_baseline", "parse_keyword_lines", "expand_entity_queries", "hash_split_85", "embed_texts",
+         "keyword_file_scan", "entity_list_scan", "ranked_csv_scan", "comparison_csv_scan", "vector_table_scan",
+         "ivf_reopened_search"]
 TABLES = "nation part events documents embeddings".split()
 
 

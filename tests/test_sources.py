@@ -1,7 +1,7 @@
 import os
 import tempfile
 
-from nnspark.sources import results
+from nnspark.sources import keywords, results
 
 
 def test_ranked_csv_round_trip(spark):
@@ -30,3 +30,27 @@ def test_vectors_round_trip(spark, emb):
     results.write_vectors(emb, os.path.join(d, "v"))
     back = results.read_vectors(spark, os.path.join(d, "v"))
     assert back.exceptAll(emb).count() == 0 and back.count() == emb.count()
+
+
+def test_lines_are_numbered_across_splits_and_files(spark):
+    d = tempfile.mkdtemp(prefix="nn-lines-")
+    want = []
+    for name, n in (("a.txt", 3000), ("b.txt", 1), ("c.txt", 40)):
+        lines = [f"{name} line {i}" if i % 7 else "" for i in range(n)]
+        want += lines
+        with open(os.path.join(d, name), "w", encoding="utf-8") as f:
+            f.write("\n".join(lines) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = {r["line_no"]: r["line"] for r in keywords.read_lines(spark, d).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [got[i] for i in range(len(got))] == want
+
+
+def test_entity_list_keeps_blank_names_and_quoted_breaks(spark):
+    d = tempfile.mkdtemp(prefix="nn-entities-")
+    with open(os.path.join(d, "list.csv"), "w", encoding="utf-8") as f:
+        f.write('name,kind\n  b ,1\n\n,2\n"a\nc ""x""",3\nb,4\n')
+    got = [(r["entity"], r["ord"], r["n"]) for r in keywords.read_entity_list(spark, d).orderBy("ord").collect()]
+    assert got == [("b", 0, 2), ("", 1, 1), ('a\nc "x"', 2, 1)]
