@@ -4,7 +4,7 @@ Vectors of one label (and one length) are compared by cosine; on unit vectors co
 Euclidean distance of at most r = sqrt(2 - 2 * threshold).
 
 1. Equal vectors collapse into a class with a count.
-2. Pivots split a cell that holds more than ``CELL`` classes.  A class's home is the
+2. Pivots, the home classes of lowest hash, split a cell that holds more than ``CELL`` classes.  A class's home is the
    cell of its nearest pivot; the triangle inequality says which other cells can hold
    the home of a neighbour (their pivot is at most 2r further away, and the class is
    within r of the bisector), and it is replicated there.  Cells split again while
@@ -89,6 +89,8 @@ def _assign(radius: float):
                         pivots = np.vstack((pivots, x))
                     apart = None
                     continue
+                if (cell[lo], salt[lo]) != at:
+                    raise ValueError("a cell's points came without its pivots")
                 if apart is None:
                     apart = np.sqrt(np.maximum(2 - 2 * pivots @ pivots.T, 0))
                 d = np.sqrt(np.maximum(2 - 2 * x @ pivots.T, 0))
@@ -193,18 +195,18 @@ def cells(found: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     level = 0
     while True:
         level += 1
-        sizes = state.groupBy("cell").agg(F.count(F.lit(1)).alias("size"))
+        sizes = state.groupBy("cell").agg(F.count(F.lit(1)).alias("size"), F.count_if("home").alias("homes"))
         large, large_path = cut(sizes.filter(F.col("size") > CELL), "vectors-large")
         if large.isEmpty():
             drop_table(spark, large_path)
             done.append(state)
             break
         done.append(state.join(large.select("cell"), "cell", "left_anti").select(*columns))
-        points = state.join(large, "cell")
-        chance = F.pmod(F.xxhash64("k1", "k2", F.lit(level)), F.lit(1 << 40)) / float(1 << 40)
-        drawn = points.filter("home").withColumn("u", chance).filter(F.col("u") < 3.0 * PIVOTS / F.col("size"))
-        place = F.row_number().over(Window.partitionBy("cell").orderBy("u", "k1", "k2"))
-        pivots = drawn.withColumn("place", place).filter(F.col("place") <= PIVOTS)
+        # a cell that is all replicas but for one home has nothing to split and stays whole
+        points = state.join(large.filter("homes > 1").drop("homes"), "cell")
+        # the lowest hashes among a cell's homes; Spark takes the lowest of every task before it shuffles
+        place = F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("k1", "k2", F.lit(level)), "k1", "k2"))
+        pivots = points.filter("home").withColumn("place", place).filter(F.col("place") <= PIVOTS)
         salts = F.ceil(F.col("size") / SALT_ROWS).cast("int")
         dealt = points.select(*columns, "size", F.lit(1).alias("role"), F.pmod(F.xxhash64("k2"), salts).cast("int").alias("salt"))
         leads = pivots.select(*columns, "size", F.lit(0).alias("role"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))

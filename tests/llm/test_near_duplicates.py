@@ -181,6 +181,25 @@ def test_links_and_components_are_exact(spark, monkeypatch, cell, block, copies)
     assert _near(spark, table) == _cosine(table)
 
 
+def test_cells_of_replicas_are_split_or_stay_whole(spark, monkeypatch):
+    """Cells over the limit with none, one or a few homes among their rows: no row is lost, all links of homes are found."""
+    monkeypatch.setattr(embedding_dedup, "CELL", 100)
+    rng = np.random.default_rng(11)
+    table, want = [], {}
+    for cell, homes in enumerate((0, 1, 2, 3, 8)):
+        x = rng.normal(size=(6, 8))[rng.integers(6, size=1500)] + 0.1 * rng.normal(size=(1500, 8))
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        for i, v in enumerate(x):
+            table.append((cell, i < homes, cell, i, cell * 10_000 + i, 1, v.tolist()))
+        want |= {(cell, i): int((x @ x[i] >= 0.98).sum()) - 1 for i in range(homes)}
+    found = spark.createDataFrame(table, "cell bigint, home boolean, k1 bigint, k2 bigint, rep bigint, n bigint, vec array<double>").repartition(4)
+    dealt = embedding_dedup.cells(found).collect()
+    assert {(r["k1"], r["k2"]) for r in dealt} == {(r[2], r[3]) for r in table}
+    assert sorted((r["k1"], r["k2"]) for r in dealt if r["home"]) == sorted(want)
+    counts, _ = embedding_dedup.links(found)
+    assert {(r["k1"], r["k2"]): r["n_links"] for r in counts.collect()} == want
+
+
 def test_odd_vectors_link_with_nothing(spark):
     v = [1.0, 2.0, 3.0]
     table = [(1, v, 0), (2, v, 0), (3, v, None), (4, None, 0), (5, [], 0), (6, [0.0] * 3, 0), (7, [1.0, None, 3.0], 0),
