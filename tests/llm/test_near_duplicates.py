@@ -275,3 +275,44 @@ def test_sentences_of_odd_texts():
     assert substring_dedup.sentences(" \n ") == []
     assert substring_dedup.sentences("no end") == [(0, 6)]
     assert ["Éa b.", "c", "Dé"] == ["x Éa b. c\nDé"[a:b] for a, b in substring_dedup.sentences("x Éa b. c\nDé")][1:]
+
+
+def _lower_case(rng, n):
+    return ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 8))) for _ in range(n)]
+
+
+def test_every_passage_of_over_fifty_words_holds_an_equal_span():
+    """Lower-case passages between differing words, without sentence ends or with a few."""
+    rng = random.Random(6)
+    for k in range(300):
+        passage = _lower_case(rng, 51)
+        for at in rng.sample(range(51), k % 4):
+            passage[at] += "."
+        a, b = (set(substring_dedup.spans(" ".join([*_lower_case(rng, rng.randrange(1, 40)), *passage, *_lower_case(rng, rng.randrange(1, 40))]))[0].tolist())
+                for _ in range(2))
+        assert a & b, k
+
+
+def test_passages_without_several_sentences_are_removed(spark):
+    rng = random.Random(8)
+    han = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(400))
+    words = {"one": _lower_case(rng, 90), "two": [*_lower_case(rng, 29), "end.", *_lower_case(rng, 29), "end."]}
+    words["arabic"] = ["".join(chr(rng.randrange(0x627, 0x64A)) for _ in range(5)) + ("؟" if i % 12 == 11 else "") for i in range(72)]
+    words["hindi"] = ["".join(chr(rng.randrange(0x915, 0x939)) for _ in range(4)) + (" ।" if i % 12 == 11 else "") for i in range(72)]
+    passages = {k: " ".join(v) for k, v in words.items()} | {"han": han, "han ends": "。".join(han[i:i + 15] for i in range(0, 400, 15))}
+    texts = []
+    for passage in passages.values():
+        glue = "" if "一" <= passage[0] <= "鿿" else " "
+        texts += [glue.join([" ".join(_lower_case(rng, 20)), passage, " ".join(_lower_case(rng, 20))]) for _ in range(2)]
+    found = rows(substring_dedup.remove_repeats(docs(spark, texts)), "doc_id")
+    for (name, passage), first, later in zip(passages.items(), found[::2], found[1::2]):
+        assert first["n_removed"] == 0 and first["text"] == texts[first["doc_id"]], name
+        gone = sum(hi - lo for lo, hi in (map(int, x.split(":")) for x in later["removed"].split(",") if x))
+        # at most 13 words stay at either end
+        assert gone >= len(passage) * (0.9 if name.startswith("han") else 0.5), name
+
+
+def test_sentence_ends_of_other_scripts():
+    for text, want in (("你好。再见！？好", ["你好。", "再见！？", "好"]),
+                       ("कख । ग", ["कख ।", "ग"]), ("اب؟ ت", ["اب؟", "ت"])):
+        assert [text[a:b] for a, b in substring_dedup.sentences(text)] == want
