@@ -5,10 +5,10 @@ pattern over the whole corpus (at most 3 to the number of heuristics patterns, w
 input), and expectation-maximisation estimates from these counts how each heuristic
 votes on good and on bad documents, and so the posterior of every pattern.  The posteriors of a bounded
 sample of documents (``MAX_TRAIN_DOCS``, by hash, half from either side where there are enough) train a logistic scorer
-over hashed features: byte triples of the text and bins of its statistics.  No gold label is read.
+over hashed features: byte triples of the text and bins of its statistics, both of whole texts.  No gold label is read.
 
 Votes and scores come from ``mapInArrow`` over whole texts, without a shuffle; only pattern counts and the
-sample reach the driver, both of bounded size.
+sample's feature vectors reach the driver, both of bounded size.
 
 Defined cases: null and empty texts get votes as texts without words and a score like any other; repeated rows are scored alike; an
 empty table gives an empty result; if the votes do not tell two classes apart, the posteriors follow the vote majority.
@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 from nnspark.llm.common import TAG, cut, tag_rows
 
 MAX_TRAIN_DOCS = 2000
-MAX_TRAIN_CHARS = 20_000
 BUCKETS = 4096
 EM_ROUNDS = 200
 
@@ -144,6 +143,21 @@ def tag_votes(docs: DataFrame, text_col: str = "text", cols: list[str] | None =
     return tag_rows(docs, text_col, make, [("votes", "string")], cols)
 
 
+def _vectors(batches):
+    """Votes and features of whole texts."""
+    import pyarrow as pa
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            texts = [t.as_py() for t in part.column(2)]
+            stats = [statistics(t) for t in texts]
+            x = [features(t, s).astype(np.float32).tobytes() for t, s in zip(texts, stats)]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(1), pa.array([votes_of(s) for s in stats], pa.string()), pa.array(x, pa.binary())],
+                names=["a", "b", "votes", "x"])
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[dict[str, float], tuple[np.ndarray, float]]:
     """(posterior per vote pattern, scorer weights)."""
     voted, _ = cut(tag_votes(docs.select(id_col, text_col), text_col, [id_col]).select(F.col(id_col).alias("id"), f"{TAG}.votes"), "quality-votes")
@@ -158,13 +172,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
                 .orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(MAX_TRAIN_DOCS // 2))
         sample = part if sample is None else sample.union(part)
     sample = sample.select(F.col("id").alias("sample_id"), F.lit(True).alias("sampled")).distinct()
-    # at most MAX_TRAIN_DOCS ids; a sampled text gives its first MAX_TRAIN_CHARS to the fit, scoring reads all
-    rows = (docs.join(F.broadcast(sample), F.col(id_col) == F.col("sample_id"))
-            .select(F.substring(text_col, 1, MAX_TRAIN_CHARS).alias("text"), "sample_id")
-            .orderBy(F.xxhash64(F.col("sample_id").cast("string")), "text").limit(MAX_TRAIN_DOCS).collect())
-    stats = [statistics(r["text"]) for r in rows]
-    x = np.array([features(r["text"], s) for r, s in zip(rows, stats)]) if rows else np.zeros((0, BUCKETS))
-    y = np.array([posterior.get(votes_of(s), 0.5) for s in stats])
+    # at most MAX_TRAIN_DOCS ids; a sampled text gives a vector of fixed size, whatever its length
+    picked = (docs.join(F.broadcast(sample), F.col(id_col) == F.col("sample_id"))
+              .select(F.xxhash64(F.col("sample_id").cast("string")).alias("a"), F.xxhash64(F.col(text_col)).alias("b"), F.col(text_col).alias("text")))
+    rows = picked.mapInArrow(_vectors, "a bigint, b bigint, votes string, x binary").orderBy("a", "b").limit(MAX_TRAIN_DOCS).collect()
+    x = np.array([np.frombuffer(r["x"], np.float32) for r in rows], float) if rows else np.zeros((0, BUCKETS))
+    y = np.array([posterior[r["votes"]] for r in rows])
     return posterior, fit_scorer(x, y) if len(rows) else (np.zeros(BUCKETS), 0.0)
 
 

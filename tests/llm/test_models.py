@@ -168,6 +168,21 @@ def test_quality_against_gold_labels_it_never_reads(spark):
     assert np.mean([p == y for p, y in pairs]) >= 0.95 and np.mean(good) >= 0.97
 
 
+def test_the_fit_reads_whole_texts(spark, monkeypatch):
+    """Long texts whose fault comes after a clean head are trained by the votes and features of the whole."""
+    rng = random.Random(5)
+    clean = [" ".join(rng.choice(["the", "of", "and", "to", f"word{rng.randrange(9)}", f"thing{rng.randrange(900)}"]) for _ in range(300)) for _ in range(60)]
+    texts = clean + [" ".join(clean[i:i + 16])[:22_000] + " la" * 9000 for i in range(20)]
+    seen = {}
+    fit = quality.fit_scorer
+    monkeypatch.setattr(quality, "fit_scorer", lambda x, y: seen.update(x=x, y=y) or fit(x, y))
+    posterior, _ = quality.train(docs(spark, texts))
+    stats = [quality.statistics(t) for t in texts]
+    want = sorted((posterior[quality.votes_of(s)], *quality.features(t, s)) for t, s in zip(texts, stats))
+    assert len(seen["y"]) == len(texts)
+    assert np.array(sorted((y, *x) for x, y in zip(seen["x"], seen["y"]))) == pytest.approx(np.array(want), abs=1e-6)
+
+
 def test_quality_of_odd_texts(spark):
     texts = [None, "", " ", "!!!! ####", "the and of " * 50, "la " * 5000, "x" * 100_000, "Of the many words in this plain text some are common and others not."]
     table = docs(spark, texts).withColumn("votes", F.lit(1)).withColumn("id", F.lit("clash"))
