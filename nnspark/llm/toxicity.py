@@ -244,7 +244,9 @@ def training_sentences(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id
         sample = part if sample is None else sample.union(part)
     sample = sample.select(F.col(id_col).alias("sample_id"), "label")
     pieces = F.split(F.col(text_col), r"(?<=[.!?])\s+|\n")
-    short = F.transform(pieces, lambda s: F.substring(s, 1, MAX_SENTENCE_CHARS))
+    # long sentences come in consecutive pieces, cut at white space where there is some
+    part = F.lit(rf"(?s).{{1,{MAX_SENTENCE_CHARS - 1}}}(?:\s|$)|.{{1,{MAX_SENTENCE_CHARS}}}")
+    short = F.flatten(F.transform(pieces, lambda s: F.when(F.length(s) > MAX_SENTENCE_CHARS, F.regexp_extract_all(s, part, F.lit(0))).otherwise(F.array(s))))
     # MAX_SENTENCES of a text by hash, whatever their order
     chosen = F.slice(F.array_sort(F.transform(short, lambda s: F.struct(F.xxhash64(s).alias("h"), s.alias("s")))), 1, MAX_SENTENCES)
     # at most 2 * MAX_TRAIN_DOCS rows on the broadcast side

@@ -108,6 +108,18 @@ def test_training_learns_disguised_insults(spark):
     assert kept.columns == table.columns and {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in found if not r["predicted"]}
 
 
+def test_training_reads_long_sentences_to_their_end(spark):
+    texts = ["", "word " * 300 + "blorghead", "x" * 1234 + " y", "short one. " + "é" * 500 + ". last", "z" * 500]
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5][:len(texts)]
+    table = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in ids], "doc_id long, toxic int")
+    found = [s for _, s in toxicity.training_sentences(table, labels)]
+    assert all(len(x) <= toxicity.MAX_SENTENCE_CHARS for s in found for x in s)
+    count = lambda parts: sorted(c for x in parts for c in x if not c.isspace())
+    assert sorted(count(s) for s in found) == sorted(count([t]) for t in texts)
+    assert any("blorghead" in x.split() for s in found for x in s)
+
+
 def test_held_out_labels_change_nothing(spark):
     data = _labelled(random.Random(2), 300)
     table = docs(spark, [t for _, t, _ in data])
