@@ -101,4 +101,42 @@ SELECT doc_id, size, ss::BIGINT AS source_size, target,
 FROM p
 """
 
-SQL = {"op2_embedding_near_dedup": OP2, "op6_url_filter": OP6, "op8_decontamination": OP8, "op10_source_mix": OP10}
+#: One bit of a CRC-32 (the reflected polynomial of the standard), on the accumulator ``a``.
+_CRC_BIT = "CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END"
+_CRC_BYTE = f"list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda a, z: {_CRC_BIT})"
+_CRC = (f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), "
+        f"lambda a, b: {_CRC_BYTE}), 4294967295)")
+
+OP11 = f"""
+WITH t AS (
+  SELECT conv_id, turn, length(coalesce(text, '')) AS n,
+         sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))[:32] AS id
+  FROM conversations WHERE conv_id IS NOT NULL),
+s AS (
+  SELECT conv_id, list(id ORDER BY turn NULLS FIRST, id) AS k, list(n ORDER BY turn NULLS FIRST, id) AS n,
+         ({_CRC} % 6)::INT AS h
+  FROM t GROUP BY conv_id),
+r AS (
+  SELECT s.conv_id, list_concat(coalesce(b.k, [])[1:s.h], s.k[s.h + 1:]) AS k, list_concat(coalesce(b.n, [])[1:s.h], s.n[s.h + 1:]) AS n
+  FROM s LEFT JOIN s b ON b.conv_id = s.conv_id - s.conv_id % 100),
+pre AS (
+  SELECT conv_id, d, md5(array_to_string(k[1:d], '')) AS p, coalesce(n[d], 0) AS l, d = len(k) AS ends
+  FROM (SELECT conv_id, k, n, unnest(generate_series(0, len(k))) AS d FROM r)),
+node AS (
+  SELECT p, d, min(conv_id) AS c, count(*) AS n, max(l) AS l,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS e
+  FROM pre GROUP BY p, d),
+up AS (SELECT node.p, pre.p AS parent FROM node JOIN pre ON pre.conv_id = node.c AND pre.d = node.d - 1),
+kids AS (SELECT parent, count(*) AS n FROM up GROUP BY parent),
+below AS (
+  SELECT pre.p, count(*) FILTER (kids.n IS NULL) AS leaves, sum((node.n - 1) * node.l) AS saved
+  FROM node JOIN pre ON pre.conv_id = node.c AND pre.d <= node.d LEFT JOIN kids ON kids.parent = node.p
+  GROUP BY pre.p)
+SELECT node.c AS conv_id, node.d::BIGINT AS depth, above.c AS parent_conv_id, node.n AS n_convs,
+       coalesce(kids.n, 0)::BIGINT AS n_children, below.leaves::BIGINT AS n_leaves, below.saved::BIGINT AS saved_tokens,
+       node.e AS ends_sha256
+FROM node JOIN below USING (p) LEFT JOIN kids ON kids.parent = node.p
+LEFT JOIN up ON up.p = node.p LEFT JOIN node above ON above.p = up.parent
+"""
+
+SQL = {"op2_embedding_near_dedup": OP2, "op6_url_filter": OP6, "op8_decontamination": OP8, "op10_source_mix": OP10, "op11_prefix_trie": OP11}
