@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nnspark.llm import (decontamination, embedding_dedup, licenses, mixing, prefix_trie, quality, secrets, simhash, substring_dedup, suffix_dedup,
-                         toxicity, url_filters)
+                         toxicity, url_filters, whitening)
 from nnspark.llm.common import read_table
 
 
@@ -86,6 +86,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(read_table(spark, sf_dir, "conversations"))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
 def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
 
@@ -93,5 +97,5 @@ def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f for f in (op1_toxicity, op2_embedding_near_dedup, op3_license_scan, op4_quality, op5_simhash,
                             op6_url_filter, op7_substring_dedup, op8_decontamination, op9_secret_scan, op10_source_mix,
-                            op11_prefix_trie, op13_suffix_dedup)
+                            op11_prefix_trie, op12_embedding_whitening, op13_suffix_dedup)
 }
