@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF001
+from helpers import SF001
 
 NAMES = ["knn_exact_top20", "knn_k_sweep_sums", "result_spread", "ivf_search_nprobe10", "forest_leaf_sizes",
          "compare_baseline", "parse_keyword_lines", "expand_entity_queries", "hash_split_85", "embed_texts",
