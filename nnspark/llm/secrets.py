@@ -5,7 +5,7 @@ scan adds spans of kind ``entropy``: every run of at least 20 characters
 ``[A-Za-z0-9+/_-]`` is a candidate, its character class (hex or mixed) sets a
 threshold, and a window of 20 characters slides over it.  Each step of the slide
 updates the character counts and the sum of c*log2(c) for the one character that
-enters and the one that leaves.  Overlapping windows above the threshold make one
+enters and the one that leaves; long candidates are slid over in blocks.  Overlapping windows above the threshold make one
 span.  An allow-list drops candidates that are no secrets: UUIDs, runs without
 letters and digits both, plain words joined by separators, placeholders.
 
@@ -44,14 +44,16 @@ HEX_BITS, MIXED_BITS = 3.0, 3.5
 # Allow-list: candidates that match one of these are no secrets.
 ALLOW = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
-    r"|^[^0-9]*$|^[^A-Za-z]*$|^[A-Za-z]+([/_+-]+[A-Za-z]+)*[/_+-]*[0-9]{0,4}$"
+    r"|^[^0-9]*$|^[^A-Za-z]*$|^[A-Za-z]++(?:[/_+-]++[A-Za-z]++)*+[/_+-]*[0-9]{0,4}$"
     r"|(?i:example|placeholder|changeme|xxxxx|abcdefgh|12345678)"
 )
 KINDS = ("assign", "access", "hex", "entropy")
 BLOCK = 512
+SLIDE = 256      # characters that one slide of the window goes over
 FIRST_CODE, N_CODES = 32, 96
 MASK = "[SECRET]"
 
+FOUND = "array<struct<start:int,stop:int>>"
 SPAN = "array<struct<start:int,rank:int,stop:int>>"
 
 
@@ -95,40 +97,76 @@ def threshold(candidate: Column) -> Column:
         F.when(candidate.rlike("^[0-9a-fA-F]+$"), F.lit(HEX_BITS)).otherwise(F.lit(MIXED_BITS)))
 
 
-def hot_spans(candidate: Column) -> Column:
-    """Spans (start, stop within the candidate) of windows whose entropy reaches the class's threshold."""
-    codes = F.transform(F.sequence(F.lit(1), F.length(candidate)),
-                        lambda i: F.ascii(F.substring(candidate, i, F.lit(1))) - FIRST_CODE + 1)
+def _let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body``."""
+    return F.transform(F.array(value), body).getItem(0)
+
+
+def _block_spans(block: Column, need: Column) -> Column:
+    """Spans within one block of windows whose sum of c*log2(c) is at most ``need``."""
     # c * log2(c) of the counts a window can hold
     terms = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(WINDOW + 1)])
+    zero = F.struct(F.array_repeat(F.lit(0), N_CODES).alias("counts"), F.lit(0.0).alias("sum"), F.array().cast(FOUND).alias("spans"))
+    codes = F.transform(F.split(block, ""), lambda c: F.ascii(c) - FIRST_CODE + 1)
+
+    def scan(codes: Column) -> Column:
+        def step(s: Column, i: Column) -> Column:
+            enters = F.element_at(codes, i)
+            leaves = F.when(i > WINDOW, F.element_at(codes, i - WINDOW)).otherwise(F.lit(0))
+            had, left = F.element_at(s["counts"], enters), F.when(i > WINDOW, F.element_at(s["counts"], F.greatest(leaves, F.lit(1))))
+            term = lambda c: F.element_at(terms, c + 1)
+            total = F.when(enters == leaves, s["sum"]).otherwise(
+                s["sum"] + term(F.least(had + 1, F.lit(WINDOW))) - term(had)
+                + F.when(i > WINDOW, term(F.greatest(left - 1, F.lit(0))) - term(left)).otherwise(F.lit(0.0)))
+            counts = F.transform(s["counts"], lambda c, j: c + F.when(j + 1 == enters, 1).otherwise(0) - F.when(j + 1 == leaves, 1).otherwise(0))
+            return F.struct(counts.alias("counts"), total.alias("sum"), grow(s["spans"], i, total).alias("spans"))
+
+        def grow(spans: Column, i: Column, total: Column) -> Column:
+            begin = (i - WINDOW).cast("int")
+            new = F.struct(begin.alias("start"), i.cast("int").alias("stop"))
+            last = F.element_at(spans, -1)
+            grown = F.when((F.size(spans) > 0) & (begin <= F.coalesce(last["stop"], F.lit(-1))), F.concat(
+                F.slice(spans, 1, F.greatest(F.size(spans) - 1, F.lit(0))),
+                F.array(F.struct(last["start"].alias("start"), i.cast("int").alias("stop"))))).otherwise(
+                F.concat(spans, F.array(new)))
+            return F.when((i >= WINDOW) & (total <= need + 1e-9), grown).otherwise(spans)
+
+        return F.aggregate(F.sequence(F.lit(1), F.size(codes)), zero, step, lambda s: s["spans"])
+
+    return _let(codes, scan)
+
+
+def _merge(spans: Column) -> Column:
+    """Sorted spans with those that touch made one."""
+    def merge(x: Column) -> Column:
+        near = lambda i: F.get(x, i)
+        first = F.filter(x, lambda s, i: (i == 0) | (s["start"] > near(i - 1)["stop"]))
+        last = F.filter(x, lambda s, i: (i == F.size(x) - 1) | (near(i + 1)["start"] > s["stop"]))
+        return F.zip_with(first, last, lambda a, b: F.struct(a["start"].alias("start"), b["stop"].alias("stop")))
+
+    return _let(spans, merge)
+
+
+def hot_spans(candidate: Column) -> Column:
+    """Spans (start, stop within the candidate) of windows whose entropy reaches the class's threshold.
+
+    The windows slide within blocks of ``SLIDE`` characters, each with the ``WINDOW - 1`` characters before it, and
+    the spans of neighbouring blocks are merged, so the work follows the candidate's length.
+    """
+    lead = WINDOW - 1
     need = (math.log2(WINDOW) - threshold(candidate)) * WINDOW
-    zero = F.struct(
-        F.array_repeat(F.lit(0), N_CODES).alias("counts"), F.lit(0.0).alias("sum"),
-        F.array().cast("array<struct<start:int,stop:int>>").alias("spans"))
-
-    def step(s: Column, i: Column) -> Column:
-        enters = F.element_at(codes, i)
-        leaves = F.when(i > WINDOW, F.element_at(codes, i - WINDOW)).otherwise(F.lit(0))
-        had, left = F.element_at(s["counts"], enters), F.when(i > WINDOW, F.element_at(s["counts"], F.greatest(leaves, F.lit(1))))
-        term = lambda c: F.element_at(terms, c + 1)
-        total = F.when(enters == leaves, s["sum"]).otherwise(
-            s["sum"] + term(F.least(had + 1, F.lit(WINDOW))) - term(had)
-            + F.when(i > WINDOW, term(F.greatest(left - 1, F.lit(0))) - term(left)).otherwise(F.lit(0.0)))
-        counts = F.transform(s["counts"], lambda c, j: c + F.when(j + 1 == enters, 1).otherwise(0) - F.when(j + 1 == leaves, 1).otherwise(0))
-        return F.struct(counts.alias("counts"), total.alias("sum"), _grow(s["spans"], i, total).alias("spans"))
-
-    def _grow(spans: Column, i: Column, total: Column) -> Column:
-        begin = (i - WINDOW).cast("int")
-        new = F.struct(begin.alias("start"), i.cast("int").alias("stop"))
-        last = F.element_at(spans, -1)
-        grown = F.when((F.size(spans) > 0) & (begin <= F.coalesce(last["stop"], F.lit(-1))), F.concat(
-            F.slice(spans, 1, F.greatest(F.size(spans) - 1, F.lit(0))),
-            F.array(F.struct(last["start"].alias("start"), i.cast("int").alias("stop"))))).otherwise(
-            F.concat(spans, F.array(new)))
-        return F.when((i >= WINDOW) & (total <= need + 1e-9), grown).otherwise(spans)
-
-    scanned = F.aggregate(F.sequence(F.lit(1), F.length(candidate)), zero, step, lambda s: s["spans"])
-    return F.when(threshold(candidate).isNotNull(), scanned)
+
+    def scan(x: Column) -> Column:
+        def one(block: Column, i: Column) -> Column:
+            before = F.when(i > 0, F.right(F.get(x["blocks"], i - 1), F.lit(lead))).otherwise(F.lit(""))
+            at = F.greatest(i * SLIDE - lead, F.lit(0))
+            return F.transform(_block_spans(F.concat(before, block), x["need"]), lambda s: F.struct(
+                (at + s["start"]).cast("int").alias("start"), (at + s["stop"]).cast("int").alias("stop")))
+
+        return F.when(x["need"].isNotNull(), _merge(F.flatten(F.transform(x["blocks"], one))))
+
+    blocks = F.regexp_extract_all(candidate, F.lit("(?s).{1,%d}" % SLIDE), F.lit(0))
+    return _let(F.struct(blocks.alias("blocks"), need.alias("need")), scan)
 
 
 def _joined(spans: Column) -> Column:
@@ -147,7 +185,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         _spans(matches(text, HEX_LONG), 2).alias("hex"),
         matches(text, CANDIDATE).alias("candidates"))
     hot = F.flatten(F.transform(F.col("candidates"), lambda c: F.transform(
-        F.coalesce(hot_spans(c["part"]), F.array().cast("array<struct<start:int,stop:int>>")),
+        F.coalesce(hot_spans(c["part"]), F.array().cast(FOUND)),
         lambda s: F.struct((c["start"] + s["start"]).alias("start"), F.lit(3).alias("rank"), (c["start"] + s["stop"]).alias("stop")))))
     entropy = F.coalesce(hot.cast(SPAN), F.array().cast(SPAN))
     base = F.array_sort(F.concat("assign", "access", "hex"))
@@ -177,4 +215,4 @@ def redact(text: Column) -> Column:
     for pattern in (ACCESS_LONG, HEX_LONG):
         text = mask(text, pattern, lambda m: F.lit(MASK))
     return mask(text, CANDIDATE, lambda m: F.when(F.size(F.coalesce(
-        hot_spans(m), F.array().cast("array<struct<start:int,stop:int>>"))) > 0, F.lit(MASK)).otherwise(m))
+        hot_spans(m), F.array().cast(FOUND))) > 0, F.lit(MASK)).otherwise(m))

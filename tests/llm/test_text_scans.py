@@ -2,7 +2,9 @@
 
 import hashlib
 import math
+import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -116,6 +118,22 @@ def test_secrets_match_brute_force(spark):
         _check_secrets(r, text or "")
 
 
+def test_very_long_candidates_match_brute_force(spark):
+    rng = random.Random(5)
+    mixed = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=100_000))
+    patchy = "".join("ab1" * rng.randint(0, 20) + mixed[i:i + 25] for i in range(0, 3000, 25))
+    texts = [f"x {mixed} y", "".join(rng.choices("0123456789abcdef", k=100_000)), patchy, mixed[:256], f"{mixed[:257]} {mixed[:531]}",
+             "a1" * 60 + mixed[:300], "a-" * 50_000 + "9" * 5, "word/" * 20_000, "a1" * 10_000]
+    start = time.time()
+    found = rows(secrets.scan(docs(spark, texts)), "doc_id")
+    for r, text in zip(found, texts, strict=True):
+        _check_secrets(r, text)
+    assert len(found[2]["spans"].split(",")) > 5
+    safe = rows(docs(spark, texts).withColumn("safe", secrets.redact(F.col("text"))), "doc_id")
+    assert safe[0]["safe"] == f"x {secrets.MASK} y" and safe[1]["safe"] == secrets.MASK
+    assert time.time() - start < 60  # seconds; one step a character, whatever the length
+
+
 def test_secrets_on_a_whole_table(spark):
     table = spark.read.parquet(f"{SF001}/documents.parquet")
     found = {r["doc_id"]: r for r in rows(secrets.scan(table), "doc_id")}
