@@ -234,7 +234,17 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                 radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` whose id is its component's smallest; rows with a null id stay."""
-    found = components(docs, id_col, text_col, shingle, radius)
-    dropped, _ = cut(found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("dropped")).distinct(), "simhash-dropped")
-    return docs.join(dropped, docs[id_col] == dropped["dropped"], "left_anti")
+    """One row of ``docs`` per component: the one with the smallest id, unchanged.
+
+    Rows are told apart by their place in a written table, not by their ids, so ids may be null (they come after all
+    others), shared by different texts, or repeated with the same text.
+    """
+    names = list(docs.columns)
+    stored, _ = cut(docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)],
+                                F.monotonically_increasing_id().alias("row")), "simhash-rows")
+    ids = stored.select("row", F.col(f"c{names.index(id_col)}").alias("id"))
+    found = components(stored, "row", f"c{names.index(text_col)}", shingle, radius).join(ids, "row")
+    found, _ = cut(found.select("row", "component_id", F.struct(F.col("id").isNull().alias("last"), "id", "row").alias("place")), "simhash-found")
+    first = found.groupBy("component_id").agg(F.min("place").alias("first"))
+    dropped, _ = cut(found.join(first, "component_id").filter("row != first.row").select("row"), "simhash-dropped")
+    return stored.join(dropped, "row", "left_anti").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])

@@ -121,7 +121,24 @@ def test_null_ids_take_part_without_naming(spark):
     table = spark.createDataFrame([(None, "a b c d"), (4, "a b c d"), (None, "other text")], "doc_id long, text string")
     got = {(r["doc_id"], r["fingerprint"]): r["component_id"] for r in simhash.components(table).collect()}
     assert sorted(got.values(), key=str) == [4, 4, None]
-    assert simhash.deduplicate(table).count() == 3
+    kept = [(r["doc_id"], r["text"]) for r in simhash.deduplicate(table).collect()]
+    assert sorted(kept, key=str) == [(4, "a b c d"), (None, "other text")]
+
+
+def test_one_row_of_each_group_stays_whatever_its_id(spark):
+    """Shared and repeated ids, null ids and clashing columns: exactly one row per group of equal texts, the smallest id's."""
+    data = [(5, "text a one two"), (5, "text b one two"), (3, "text b one two"), (5, "text a one two"), (None, "text c x y"),
+            (None, "text c x y"), (None, "text a one two"), (7, None), (7, ""), (8, None)]
+    table = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    for name in ("row", "id", "c0", "place", "component_id", "first"):
+        table = table.withColumn(name, F.lit(name))
+    kept = simhash.deduplicate(table)
+    assert kept.columns == table.columns and {r["row"] for r in kept.collect()} == {"row"}
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    blank = [g for g in got if not g[1]]
+    assert [g for g in got if g[1]] == sorted([(5, "text a one two"), (3, "text b one two"), (None, "text c x y")], key=str)
+    assert len(blank) == 1 and blank[0][0] == 7
+    assert simhash.deduplicate(table.filter("false")).count() == 0
 
 
 # ------------------------------------------------------------------ vectors
