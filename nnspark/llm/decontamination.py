@@ -9,14 +9,15 @@ window's occurrence are hit.
 Items are the small side.  Their text is measured; up to ``MAX_ITEM_BYTES`` it is
 read in blocks of ``BLOCK_BYTES``, each broadcast as text, and each task builds a block's
 automaton once.  More than that raises instead of filling the driver.  Documents
-pass through once, in one ``mapInArrow`` per block, without a shuffle.
+pass through one ``mapInArrow`` without a shuffle.  With several blocks they are written once with a row number
+and pass through one block's automaton after the other, so that a task holds one; the hits meet by row number.
 
 Runs of words that no item holds are skipped with one dictionary look-up per word:
 a window lies within a run of item words, so only runs that are long enough are
 matched, and skipping the rest changes nothing.
 
 Defined cases: null and empty texts have no words and are not contaminated; items
-with a null id or no words are ignored; repeated items count once; repeated documents are judged
+without words are ignored; the words of an item with a null id are hit, but it names no item; repeated items count once; repeated documents are judged
 one by one; without items nothing is hit.
 """
 
@@ -28,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nnspark.llm.common import TAG, tag_rows
+from nnspark.llm.common import TAG, cut, tag_rows
 
 WINDOW = 13
 MAX_ITEM_BYTES = 256 << 20
@@ -173,8 +174,8 @@ class Automaton:
 def item_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text",
                 max_bytes: int = MAX_ITEM_BYTES, block_bytes: int = BLOCK_BYTES) -> list[list[tuple[str, str]]]:
     """The items' ids and texts on the driver, after their size was checked, in blocks of bounded size."""
-    rows = items.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).dropna().distinct()
-    need = rows.agg(F.sum(F.octet_length("text") + F.octet_length("id"))).first()[0] or 0
+    rows = items.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).dropna(subset="text").distinct()
+    need = rows.agg(F.sum(F.octet_length("text") + F.coalesce(F.octet_length("id"), F.lit(0)))).first()[0] or 0
     if need > max_bytes:
         raise ValueError(f"benchmark items hold {need} bytes, more than max_bytes={max_bytes}")
     blocks: list[list[tuple[str, str]]] = []
@@ -205,7 +206,7 @@ def _kernel(block, window):
                 hit, found = automaton.match(codes)
                 counts.append(len(codes))
                 spans.append([{"start": lo, "stop": hi} for lo, hi in hit])
-                items.append(sorted(found))
+                items.append(sorted(i for i in found if i is not None))
             return [pa.array(counts, pa.int64()), pa.array(spans, span), pa.array(items, pa.list_(pa.string()))]
 
         return kernel
@@ -219,19 +220,24 @@ def tag_contamination(docs: DataFrame, items: DataFrame, text_col: str = "text",
     sc = docs.sparkSession.sparkContext
     cols = list(docs.columns) if cols is None else list(cols)
     parts = item_blocks(items, **blocks) or [[]]
-    out, carried = docs, cols
-    for k, part in enumerate(parts):
-        # only the last pass may drop the text: the others hand it on
-        keep = carried if k == len(parts) - 1 else list(dict.fromkeys([*carried, text_col]))
-        out = tag_rows(out, text_col, _kernel(sc.broadcast(part), window), _FIELDS, keep)
-        out = out.withColumnRenamed(TAG, f"{TAG}{k}")
-        carried = [*carried, f"{TAG}{k}"]
-    tags = [f"{TAG}{k}" for k in range(len(parts))]
-    spans = F.array_sort(F.concat(*[F.col(f"{t}.spans") for t in tags]))
-    ids = F.array_sort(F.array_distinct(F.concat(*[F.col(f"{t}.items") for t in tags])))
-    return out.select(*cols, F.struct(F.col(f"{tags[0]}.n_words").alias("n_words"),
-                                      (_merge(spans) if len(tags) > 1 else F.col(f"{tags[0]}.spans")).alias("spans"),
-                                      ids.alias("items")).alias(TAG))
+    if len(parts) == 1:
+        return tag_rows(docs, text_col, _kernel(sc.broadcast(parts[0]), window), _FIELDS, cols)
+    # one block of items after the other, so that a task holds one automaton
+    names = list(docs.columns)
+    stored, _ = cut(docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)],
+                                F.monotonically_increasing_id().alias("row")), "items-documents")
+    found = None
+    for part in parts:
+        tagged = tag_rows(stored, f"c{names.index(text_col)}", _kernel(sc.broadcast(part), window), _FIELDS, ["row"])
+        if found is not None:
+            tagged = tagged.filter(F.size(f"{TAG}.spans") > 0)
+        hits, _ = cut(tagged.select("row", f"{TAG}.*"), "items-hits")
+        found = hits if found is None else found.unionByName(hits)
+    merged = found.groupBy("row").agg(
+        F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    tag = F.struct("n_words", _merge(F.col("spans")).alias("spans"), "items").alias(TAG)
+    return stored.join(merged, "row").select(*[F.col(f"c{names.index(c)}").alias(c) for c in cols], tag)
 
 
 def _merge(spans):
@@ -279,9 +285,9 @@ def remove_spans(docs: DataFrame, items: DataFrame, text_col: str = "text", min_
     """
     tagged = tag_contamination(docs, items, text_col, **options)
     long = F.filter(f"{TAG}.spans", lambda s: s["stop"] - s["start"] >= min_words)
-    cut = F.when((F.size(long) > 0) & (n_hit() >= min_coverage * F.col(f"{TAG}.n_words")), long)
+    wanted = F.when((F.size(long) > 0) & (n_hit() >= min_coverage * F.col(f"{TAG}.n_words")), long)
     names = list(docs.columns)
-    packed = tagged.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)], cut.alias("cut"))
+    packed = tagged.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)], wanted.alias("cut"))
     at = names.index(text_col)
 
     def run(batches):

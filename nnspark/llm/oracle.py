@@ -54,7 +54,7 @@ _WORDS = r"regexp_extract_all(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcd
 
 OP8 = f"""
 WITH items AS (
-  SELECT DISTINCT item_id, {_WORDS.format(t="text")} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+  SELECT DISTINCT item_id, {_WORDS.format(t="text")} AS w FROM benchmark WHERE text IS NOT NULL),
 wins AS (
   SELECT item_id, 13 AS n, array_to_string(w[i:i + 12], ' ') AS g
   FROM (SELECT item_id, w, unnest(generate_series(1, len(w) - 12)) AS i FROM items WHERE len(w) >= 13)
@@ -67,7 +67,7 @@ grams AS (
 found AS (SELECT grams.r, grams.i, grams.n, wins.item_id FROM grams JOIN wins ON wins.n = grams.n AND wins.g = grams.g),
 hits AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(generate_series(i, i + n - 1)) AS p FROM found) GROUP BY r),
 ids AS (SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
-        FROM (SELECT DISTINCT r, item_id::VARCHAR AS id FROM found) GROUP BY r)
+        FROM (SELECT DISTINCT r, item_id::VARCHAR AS id FROM found WHERE item_id IS NOT NULL) GROUP BY r)
 SELECT docs.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM docs LEFT JOIN hits USING (r) LEFT JOIN ids USING (r)

@@ -171,7 +171,7 @@ def _contamination(text, items):
     w = words(text)
     hit, ids = set(), set()
     for item, t in items:
-        if item is None or t is None:
+        if t is None:
             continue
         iw = words(t)
         n = min(len(iw), 13)
@@ -181,7 +181,7 @@ def _contamination(text, items):
         for i in range(len(w) - n + 1):
             if tuple(w[i:i + n]) in grams:
                 hit |= set(range(i, i + n))
-                ids.add(str(item))
+                ids |= {str(item)} - {"None"}
     return len(w), len(hit), sorted(ids)
 
 
