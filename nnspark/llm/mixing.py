@@ -5,8 +5,8 @@
    shared again by weight until no target is above its limit.
 2. Every source's documents are put in an order that depends only on
    their content (md5 of id), and their words are cut into blocks of
-   ``block_words``.  Prefix sums are taken in two levels (hash buckets, then
-   rows of a bucket), so no source is ever ordered in one task.
+   ``block_words``.  Prefix sums are taken in two levels (hash buckets, as
+   many as a source needs, then rows of a bucket), so no source is ever ordered in one task.
 3. Slot i of the schedule is the golden-ratio point frac(i * phi), mapped through
    the cumulative targets to a source.  Slots of a source are ranked (again in
    two levels), and rank r takes the source's block r, wrapping round for the
@@ -36,7 +36,7 @@ from nnspark.llm.common import cut
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_WORDS = 256
 KEY_BITS = 60
-ROWS_PER_BUCKET = 20_000
+ROWS_PER_BUCKET = 1_000   # of one source
 SLOTS_PER_CHUNK = 16_384
 SLOT_LOW_BITS = 20
 
@@ -94,11 +94,11 @@ def source_targets(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, max_r
 
 def place(docs: DataFrame, sources: DataFrame) -> DataFrame:
     """Each document's first word's position among its source's shuffled words (column ``at``)."""
+    # a source's buckets are prefixes of the shuffling key, twice as many with every doubling of its documents
+    bits = F.greatest(F.ceil(F.log2(F.col("n_docs") / ROWS_PER_BUCKET)), F.lit(0)).cast("int")
     joined = docs.join(sources, docs["source"].eqNullSafe(sources["source"])).select(
-        "id", "size", "key", "src", "source_size", "target")
-    n = sources.agg(F.sum("n_docs")).first()[0] or 0
-    bits = max(0, math.ceil(math.log2(max(1, n) / ROWS_PER_BUCKET))) if n > ROWS_PER_BUCKET else 0
-    rows, _ = cut(joined.withColumn("bucket", F.shiftright("key", KEY_BITS - bits)), "mix-rows")
+        "id", "size", "key", "src", "source_size", "target", bits.alias("bits"))
+    rows, _ = cut(joined.withColumn("bucket", F.expr(f"shiftright(key, {KEY_BITS} - bits)")).drop("bits"), "mix-rows")
     sums = rows.groupBy("src", "bucket").agg(F.sum("size").alias("words"))
     earlier = F.sum("words").over(Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     sums = sums.select("src", "bucket", F.coalesce(earlier, F.lit(0)).alias("earlier"))

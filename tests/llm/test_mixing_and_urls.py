@@ -5,6 +5,7 @@ import re
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from helpers_llm import TOKEN, docs, rows
 from pyspark.sql import functions as F
@@ -138,7 +139,7 @@ def test_as_of_join_matches_brute_force(spark):
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    for t in ("documents", "embeddings", "benchmark", "pages"):
+    for t in ("documents", "embeddings", "benchmark", "pages", "conversations"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF001}/{t}.parquet')")
     return c
 
@@ -147,7 +148,7 @@ def con():
 def test_queries_match_their_sql(spark, con, name):
     got, want = queries.QUERIES[name](spark, SF001).toPandas(), con.sql(oracle.SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
-    as_rows = lambda df: sorted(repr([None if v is None or v != v else float(v) if isinstance(v, (int, float, np.number)) and not isinstance(v, bool) else v
+    as_rows = lambda df: sorted(repr([None if v is None or v is pd.NA or v != v else float(v) if isinstance(v, (int, float, np.number)) and not isinstance(v, bool) else v
                                       for v in r]) for r in df[sorted(df.columns)].astype(object).itertuples(index=False, name=None))
     assert as_rows(got) == as_rows(want)
 
