@@ -18,8 +18,9 @@ place, in the same document or in another one, is removed.  Windows lie within o
 
 Defined results: a null text is empty; texts shorter than ``length`` stay whole; rows with equal ids, null ids or equal
 texts are different documents (their texts repeat each other); an empty table gives an empty result; all columns of the
-input but the text are carried, whatever their names, and the text comes back as the bytes that stay.  Text lengths are bounded only by what a row may hold.  Runs of one byte have
-an anchor at every place, so they cost about fifty bytes of intermediate table per byte, not more.
+input but the text are carried, whatever their names, and the text comes back as the bytes that stay.  Text lengths
+are bounded only by what a row may hold.  Runs of one byte have an anchor at every place, so they cost about fifty
+bytes of intermediate table per byte, not more.
 """
 
 from __future__ import annotations
@@ -417,7 +418,8 @@ def find_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH,
     base = bucketed(stored, "row", buckets, "suffix_documents")
 
     pieces, all_path = cut(base.select("row", "body").mapInArrow(_cut_pieces(length), PIECE), "suffix-pieces")
-    anchors = pieces.groupBy("anchor").count().filter("count > 1").select("anchor")
+    # written, so that the join below reads two shuffles and its hot anchors can be split
+    anchors, _ = cut(pieces.groupBy("anchor").count().filter("count > 1").select("anchor"), "suffix-anchors")
     shared, _ = cut(pieces.join(anchors, "anchor", "left_semi"), "suffix-shared")
     drop_table(spark, all_path)
     chosen = shared.groupBy("anchor", "digest").agg(
