@@ -271,7 +271,7 @@ def dataset_change_marker(spark, sf_dir):
 # ---------------------------------------------------------------- text, queries, datasets
 
 from nnspark.functions import text as T  # noqa: E402
-from nnspark.operators import dataset, embed, graph, querygen  # noqa: E402
+from nnspark.operators import dataset, descent, embed, graph, layered, querygen  # noqa: E402
 from nnspark.sources import keywords  # noqa: E402
 
 # Vocabulary of the events table, in code order (class encoding P7).
@@ -399,3 +399,75 @@ def graph_search_ef50(spark, sf_dir):
     emb = corpus(spark, sf_dir)
     r = graph.search(graph_index(spark, sf_dir), exact.self_queries(emb), K_MAIN, GRAPH_EF, corpus=emb)
     return r.select("query_id", "rank", "id", r6("dist").alias("dist"), "cost")
+
+
+_LAYERED_CACHE: dict = {}
+LAYERED_EF = 50
+
+
+def layered_index(spark, sf_dir) -> layered.LayeredGraph:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _LAYERED_CACHE:
+        _LAYERED_CACHE[key] = layered.build(corpus(spark, sf_dir), GRAPH_M)
+    return _LAYERED_CACHE[key]
+
+
+def layered_ranked(spark, sf_dir, k=K_MAIN, ef=LAYERED_EF, with_vectors=False):
+    return layered.search(layered_index(spark, sf_dir), exact.self_queries(corpus(spark, sf_dir)), k, ef, with_vectors=with_vectors)
+
+
+def graph_levels(spark, sf_dir):
+    return corpus(spark, sf_dir).select("vec_id", layered.level("vec_id", GRAPH_M).alias("level"))
+
+
+def graph_layer_edges(spark, sf_dir):
+    """Unoccluded edges of every layer, chosen from the exact nearest candidates: what the descent's edges approach."""
+    nodes, _ = layered.distinct_vectors(corpus(spark, sf_dir))
+    nodes = nodes.withColumn("level", layered.level("id", GRAPH_M))
+    out = None
+    for layer in range((nodes.agg(F.max("level")).first()[0] or 0) + 1):
+        part = nodes.where(F.col("level") >= layer).select("id", "vec")
+        near = exact.exact_knn(part, exact.self_queries(part, "id", "vec"), layered.CANDIDATES, id_col="id", vec_col="vec",
+                               exclude_self=True).select(F.col("query_id").alias("src"), F.col("id").alias("dst"), "d2")
+        edges, _ = layered.layer_edges(part, GRAPH_M, near)
+        edges = edges.select(F.lit(layer).alias("layer"), "src", "dst", r6("d2").alias("d2"))
+        out = edges if out is None else out.unionByName(edges)
+    return out
+
+
+def graph_descent_recall(spark, sf_dir):
+    """Share of all exact edges (16 nearest of every vector) that neighbour descent finds, and the distances it computed."""
+    emb = corpus(spark, sf_dir)
+    found = descent.neighbour_lists(exact.corpus_frame(emb), layered.CANDIDATES)
+    near = exact.exact_knn(emb, exact.self_queries(emb), GRAPH_M, exclude_self=True).select(
+        F.col("query_id").alias("src"), F.col("id").alias("dst"))
+    hit = near.join(found.lists.select("src", "dst", F.lit(1).alias("hit")), ["src", "dst"], "left")
+    return hit.agg(F.count(F.lit(1)).alias("n_edges"), r6(F.avg(F.coalesce("hit", F.lit(0)))).alias("recall"),
+                   F.lit(found.evaluations).cast("long").alias("n_evaluations"))
+
+
+def graph_layered_search(spark, sf_dir):
+    r = layered_ranked(spark, sf_dir)
+    return r.select("query_id", "rank", "id", r6("dist").alias("dist"), "cost")
+
+
+def graph_layered_recall(spark, sf_dir):
+    """Mean recall@20 of the layered search over every vector as a query, and the share of the vectors it scores."""
+    approx = layered_ranked(spark, sf_dir)
+    n = corpus(spark, sf_dir).where(F.col("embedding").isNotNull()).count()
+    rec = quality.recall(exact_ranked(spark, sf_dir), approx.select(F.lit(LAYERED_EF).alias("ef"), "query_id", "rank", "id"),
+                         params=[{"ef": LAYERED_EF}])
+    cost = approx.groupBy("query_id").agg(F.first("cost").alias("cost")).agg(F.avg("cost").alias("mean_cost"))
+    rows = quality.mean_recall(rec, ["ef"]).select("ef", r6("recall").alias("recall"), F.col("n_queries").cast("long").alias("n_queries"))
+    share = cost.select(F.lit(LAYERED_EF).alias("ef"), r6("mean_cost").alias("mean_cost"),
+                        r6(F.col("mean_cost") / F.lit(float(max(n, 1)))).alias("cost_share"))
+    return rows.join(share, "ef")
+
+
+def compare_layered(spark, sf_dir):
+    """J4 with the layered graph as the candidate method."""
+    base = compare.metrics(exact_ranked(spark, sf_dir), "exact")
+    c = compare.compare_pair(base, compare.metrics(layered_ranked(spark, sf_dir), "layered"))
+    return c.select("query_id", r6("base_sum").alias("base_sum"), r6("cand_sum").alias("cand_sum"), r6("pct_diff").alias("pct_diff"),
+                    F.col("base_cost").cast("long").alias("base_cost"), F.col("cand_cost").cast("long").alias("cand_cost"),
+                    r6("speedup").alias("speedup"), F.col("cand_n_hits").cast("int").alias("cand_n_hits"))

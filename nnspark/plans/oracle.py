@@ -604,6 +604,37 @@ def graph_knn_edges() -> str:
     QUALIFY rank <= {C.GRAPH_M}"""
 
 
+def _level(ident: str) -> str:
+    """Level of a vector: u is one less the hash over 2^32, and layers thin out by 16."""
+    return f"floor(-ln(1.0 - {md5_key(f"'layer:' || {ident}::VARCHAR")} / 4294967296.0) / ln(16))::INTEGER"
+
+
+def graph_levels() -> str:
+    return f"SELECT vec_id, {_level('vec_id')} AS level FROM embeddings"
+
+
+def graph_layer_edges() -> str:
+    return f"""
+    WITH RECURSIVE
+    node AS (SELECT min(vec_id) AS id, embedding AS v FROM embeddings
+             WHERE embedding IS NOT NULL AND vec_id IS NOT NULL GROUP BY embedding),
+    lay AS (SELECT id, v, unnest(generate_series(0, {_level('id')})) AS layer FROM node),
+    cand AS (
+      SELECT a.layer, a.id AS src, b.id AS dst, b.v, {d2('a.v', 'b.v')} AS d,
+             row_number() OVER (PARTITION BY a.layer, a.id ORDER BY {d2('a.v', 'b.v')}, b.id) AS r
+      FROM lay a JOIN lay b ON a.layer = b.layer AND a.id <> b.id QUALIFY r <= 24),
+    walk AS (
+      SELECT layer, src, r, [{{'dst': dst, 'v': v, 'd': d}}] AS kept FROM cand WHERE r = 1
+      UNION ALL
+      SELECT c.layer, c.src, c.r,
+             CASE WHEN len(kept) < 16 AND len(list_filter(kept, lambda k: {d2('k.v', 'c.v')} <= c.d)) = 0
+                  THEN list_append(kept, {{'dst': c.dst, 'v': c.v, 'd': c.d}}) ELSE kept END
+      FROM walk w JOIN cand c ON c.layer = w.layer AND c.src = w.src AND c.r = w.r + 1),
+    last AS (SELECT layer, src, kept FROM walk QUALIFY row_number() OVER (PARTITION BY layer, src ORDER BY r DESC) = 1)
+    SELECT layer::INTEGER AS layer, src, e.dst AS dst, round(e.d, 6) AS d2
+    FROM (SELECT layer, src, unnest(kept) AS e FROM last)"""
+
+
 # ------------------------------------------------------------------ file sources and sinks
 
 def _fixed(expr: str, places: int) -> str:
@@ -674,7 +705,7 @@ def all_sql() -> dict[str, str]:
         "compare_baseline", "compare_totals", "sweep_wide", "sweep_summary_stats", "cost_quartiles",
         "dataset_change_marker", "parse_keyword_lines", "keep_last_text", "distinct_first_seen",
         "expand_entity_queries", "corpus_shape", "hash_split_85", "class_codes", "embed_texts",
-        "text_query_search", "graph_knn_edges",
+        "text_query_search", "graph_knn_edges", "graph_levels", "graph_layer_edges",
         "keyword_file_scan", "entity_list_scan", "ranked_csv_scan", "comparison_csv_scan", "vector_table_scan",
         "sweep_tables_scan", "ivf_reopened_search", "forest_reopened_leaf_sizes",
     ]

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nnspark.operators import compare, exact, forest, graph, ivf, quality
+from nnspark.operators import compare, exact, forest, graph, ivf, layered, quality
 
 SearchFn = Callable[..., DataFrame]
 _METHODS: dict[str, SearchFn] = {}
@@ -63,13 +63,19 @@ def _graph(corpus, queries, k, index=None, ef=graph.DEFAULT_EF, m=graph.DEFAULT_
     return graph.search(index, queries, k, ef, corpus=corpus, **kw)
 
 
+@register("layered")
+def _layered(corpus, queries, k, index=None, ef=layered.DEFAULT_EF, m=layered.DEFAULT_M, **kw):
+    index = index or layered.build(corpus, m)
+    return layered.search(index, queries, k, ef, **kw)
+
+
 def _prefix_stable(name: str, params: dict, kmax: int) -> bool:
     """Whether the first k hits of a search for ``kmax`` are those of a search for k: the forest's
     default budget is k per tree, and the graph's beam is at least k wide."""
     if name == "forest":
         search_k = params.get("search_k", -1)
         return search_k is not None and search_k >= 0
-    return name != "graph" or params.get("ef", graph.DEFAULT_EF) >= kmax
+    return name not in ("graph", "layered") or params.get("ef", graph.DEFAULT_EF) >= kmax
 
 
 def _with_index(name: str, corpus: DataFrame, params: dict) -> dict:
@@ -80,7 +86,7 @@ def _with_index(name: str, corpus: DataFrame, params: dict) -> dict:
         index = forest.build(corpus, params.get("n_trees", forest.DEFAULT_TREES),
                              params.get("max_leaf", forest.DEFAULT_MAX_LEAF))
     else:
-        index = graph.build(corpus, params.get("m", graph.DEFAULT_M))
+        index = (layered if name == "layered" else graph).build(corpus, params.get("m", graph.DEFAULT_M))
     return {**params, "index": index}
 
 
