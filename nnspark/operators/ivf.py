@@ -349,9 +349,16 @@ def search(index: IvfIndex, queries: DataFrame, k: int, nprobe: int, *, query_id
     """
     qf = queries.select(F.col(query_id_col).cast("long").alias("query_id"),
                         F.col(query_vec_col).alias("qv")).where(F.col("qv").isNotNull())
-    nq, dq = measure(qf, "qv")
     nprobe = max(1, min(nprobe, index.nlist))
     probes = probe_lists(qf, index.centroids, nprobe, budget).cache()
+    return scan_probes(index, qf, probes, k, nprobe, with_vectors=with_vectors, exclude_self=exclude_self, budget=budget)
+
+
+def scan_probes(index, qf: DataFrame, probes: DataFrame, k: int, nprobe: int, *, with_vectors: bool = False,
+                exclude_self: bool = False, budget: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
+    """The ranked hits of ``qf`` (query_id, qv) in the probed lists (list_id, query_id) of an index
+    that has ``postings``, ``buckets``, ``nlist`` and ``list_sizes()``."""
+    nq, dq = measure(qf, "qv")
     small_probes = nq * nprobe * PROBE_ROW_BYTES <= budget
     small_queries = nq * max(dq, 1) * 8 <= budget
     pj = F.broadcast(probes) if small_probes else probes

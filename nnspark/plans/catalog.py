@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nnspark import ship
-from nnspark.operators import compare, exact, forest, ivf, quality
+from nnspark.operators import compare, exact, forest, ivf, quality, quantiser
 
 K_MAIN = 20
 K_SWEEP = [5, 20, 50, 100]
@@ -90,16 +90,14 @@ def ivf_train_sample(spark, sf_dir):
 
 
 def ivf_lloyd_round(spark, sf_dir):
+    """One round over centroids that are a table from the seeds to the result."""
     emb = corpus(spark, sf_dir)
-    n, _ = ivf.measure(emb, "embedding")
+    n = emb.where(F.col("embedding").isNotNull()).count()
     nlist = ivf.default_nlist(n)
     sample = ivf.sample_vectors(emb, ivf.train_rows(n, nlist))
-    C0 = ivf.seed_centroids(sample, nlist)
-    C1 = ivf.lloyd_round(sample, C0)
-    rows = [(int(i), int(j), float(C1[i, j])) for i in range(C1.shape[0]) for j in range(C1.shape[1])]
-    return spark.createDataFrame(rows, "list_id int, dim int, x double").select(
-        "list_id", "dim", r6("x").alias("x")
-    )
+    lists = quantiser.lloyd_round(sample.withColumn("cell", F.lit(0)), quantiser.seeds(sample, nlist))
+    return lists.select("list_id", F.posexplode("centroid").alias("dim", "x")).select(
+        "list_id", F.col("dim").cast("int"), r6("x").alias("x"))
 
 
 _IVF_CACHE: dict = {}
