@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nnspark import ship
-from nnspark.operators import compare, exact, forest, ivf, quality, quantiser
+from nnspark.operators import best_first, calibrate, compare, exact, forest, ivf, quality, quantiser
 
 K_MAIN = 20
 K_SWEEP = [5, 20, 50, 100]
@@ -181,6 +181,42 @@ def forest_search_budget(spark, sf_dir):
     return r.select("query_id", "rank", "id", r6("dist").alias("dist"), "cost")
 
 
+def best_first_ranked(spark, sf_dir, search_k, k=K_MAIN):
+    emb = corpus(spark, sf_dir)
+    return best_first.search(forest_index(spark, sf_dir), exact.self_queries(emb), k, search_k, corpus=emb)
+
+
+def forest_best_first(spark, sf_dir):
+    r = best_first_ranked(spark, sf_dir, FOREST_SEARCH_K)
+    return r.select("query_id", "rank", "id", r6("dist").alias("dist"), "cost")
+
+
+RECALL_TARGET = 0.9
+
+
+def _measured(spark, sf_dir, approx: DataFrame, budget: int) -> DataFrame:
+    """Recall over every vector as a query, and mean cost, of a search at a calibrated budget."""
+    rec = quality.recall(exact_ranked(spark, sf_dir), approx.select(F.lit(budget).alias("budget"), "query_id", "rank", "id"),
+                         params=[{"budget": budget}])
+    cost = approx.groupBy("query_id").agg(F.first("cost").alias("cost")).agg(
+        F.lit(budget).alias("budget"), r6(F.avg("cost")).alias("mean_cost"))
+    return quality.mean_recall(rec, ["budget"]).select(
+        F.lit(RECALL_TARGET).alias("target"), "budget", r6("recall").alias("recall"),
+        F.col("n_queries").cast("long").alias("n_queries")).join(cost, "budget")
+
+
+def ivf_recall90(spark, sf_dir):
+    idx = ivf_index(spark, sf_dir)
+    nprobe = calibrate.budget_for(calibrate.ivf_curve(idx, corpus(spark, sf_dir), K_MAIN), RECALL_TARGET)
+    return _measured(spark, sf_dir, ivf_ranked(spark, sf_dir, nprobe), nprobe)
+
+
+def forest_recall90(spark, sf_dir):
+    curve = calibrate.forest_curve(forest_index(spark, sf_dir), corpus(spark, sf_dir), K_MAIN, RECALL_TARGET)
+    search_k = calibrate.budget_for(curve, RECALL_TARGET)
+    return _measured(spark, sf_dir, best_first_ranked(spark, sf_dir, search_k), search_k)
+
+
 # ---------------------------------------------------------------- comparison (J4, A1-A6, PV1, PV2, A9, A11, W2)
 
 ALGOS = ["exact", "ivf", "forest"]

@@ -264,6 +264,33 @@ def forest_search_ctes(search_k: int, levels: int | None = None) -> str:
     return ",".join(ctes)
 
 
+def forest_best_first() -> str:
+    """Every leaf of every tree by falling priority, up to 400 members; no search order is involved."""
+    ctes = [f"""
+    f0 AS (SELECT q.id AS query_id, q.v AS qv, t.tree::INTEGER AS tree, 0::BIGINT AS node, 'inf'::DOUBLE AS prio
+           FROM fb q, range({C.FOREST_TREES}) t(tree))"""]
+    for lv in range(FOREST_LEVELS):
+        ctes.append(f"""
+    j{lv} AS (SELECT f.*, n.a, ({d2('f.qv', 'n.b')} - {d2('f.qv', 'n.a')}) / (2.0 * n.wnorm) AS m
+              FROM f{lv} f LEFT JOIN inner_nodes n ON f.tree = n.tree AND f.node = n.node),
+    f{lv + 1} AS (SELECT query_id, qv, tree, node, prio FROM j{lv} WHERE a IS NULL
+              UNION ALL SELECT query_id, qv, tree, 2 * node + 1, least(prio, m) FROM j{lv} WHERE a IS NOT NULL
+              UNION ALL SELECT query_id, qv, tree, 2 * node + 2, least(prio, -m) FROM j{lv} WHERE a IS NOT NULL)""")
+    return f"""
+    WITH {forest_chain()},{",".join(ctes)},
+         opened AS (SELECT x.query_id, x.tree, x.node FROM f{FOREST_LEVELS} x
+                    JOIN node_sizes z ON x.tree = z.tree AND x.node = z.node
+                    QUALIFY coalesce(sum(z.size) OVER (PARTITION BY x.query_id ORDER BY x.prio DESC, x.tree, x.node
+                                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 400),
+         cand AS (SELECT DISTINCT o.query_id, p.id FROM opened o JOIN fpost p ON p.tree = o.tree AND p.leaf = o.node),
+         fd AS (SELECT c.query_id, c.id, {d2('q.v', 'b.v')} AS d2
+                FROM cand c JOIN fb q ON q.id = c.query_id JOIN fb b ON b.id = c.id),
+         fc AS (SELECT query_id, count(*) AS cost FROM fd GROUP BY query_id)
+    SELECT fd.query_id, rank::INTEGER AS rank, fd.id, round({dist('fd.d2')}, 6) AS dist, fc.cost::BIGINT AS cost
+    FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d2, id) AS rank FROM fd QUALIFY rank <= 20) fd
+    JOIN fc USING (query_id)"""
+
+
 def forest_leaf_sizes() -> str:
     return f"""
     WITH {forest_chain()}
@@ -701,7 +728,7 @@ def all_sql() -> dict[str, str]:
         "knn_exact_top20", "knn_sq_l2_top10", "knn_k_sweep_sums", "knn_with_text", "result_spread",
         "result_proportionality", "ivf_train_sample", "ivf_lloyd_round", "ivf_assign_sizes",
         "ivf_search_nprobe10", "ivf_recall_sweep", "ivf_candidate_cost",
-        "forest_leaf_sizes", "forest_search_budget",
+        "forest_leaf_sizes", "forest_search_budget", "forest_best_first",
         "compare_baseline", "compare_totals", "sweep_wide", "sweep_summary_stats", "cost_quartiles",
         "dataset_change_marker", "parse_keyword_lines", "keep_last_text", "distinct_first_seen",
         "expand_entity_queries", "corpus_shape", "hash_split_85", "class_codes", "embed_texts",
