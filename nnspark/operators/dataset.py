@@ -58,13 +58,39 @@ def read_labelled_tree(spark: SparkSession, root: str, n_features: int | None =
     feats = F.transform(fields, lambda x: F.trim(x).try_cast("float"))
     out = df.select(feats.alias("features"), attack.alias("attack"), device.alias("device"), rel.alias("source"))
     out = out.where(F.exists("features", lambda x: x.isNotNull()))
-    out = out.withColumn("attack_code", class_code("attack", attack_names)) \
+    return _judged(out, n_features, attack_names, device_names)
+
+
+def _judged(df: DataFrame, n_features: int | None, attack_names: list[str], device_names: list[str]) -> DataFrame:
+    """Codes, field count and ``width_ok`` for rows of (features, attack, device, …)."""
+    out = df.withColumn("attack_code", class_code("attack", attack_names)) \
         .withColumn("device_code", class_code("device", device_names)) \
         .withColumn("n_values", F.size("features"))
     width_ok = F.lit(True) if n_features is None else (F.col("n_values") == n_features)
     return out.withColumn("width_ok", width_ok & ~F.exists("features", lambda x: x.isNull()))
 
 
+def write_labelled_partitions(rows: DataFrame, root: str, line: str = "line") -> None:
+    """Lines under ``device=…/attack=…``: the labels are in the paths alone, whatever characters they hold."""
+    rows.select(F.col(line).alias("value"), "device", "attack").write.partitionBy("device", "attack").text(root)
+
+
+def read_labelled_partitions(spark: SparkSession, root: str, n_features: int | None = N_FEATURES,
+                             attack_names: list[str] | None = None, device_names: list[str] | None = None) -> DataFrame:
+    """S4 + D5 + P7 + P8 over a tree that :func:`write_labelled_partitions` wrote, one scan for all labels.
+
+    A filter on device or attack prunes directories.  Columns and the treatment of each line are those of
+    :func:`read_labelled_tree`: mixed widths are kept, and a row that is too short, too long or holds a value that is no
+    number has ``width_ok`` false.
+    """
+    df = spark.read.schema("value string, device string, attack string").text(root)
+    fields = F.split(F.regexp_replace("value", r"[\r\"]", ""), ",", -1)
+    feats = F.transform(fields, lambda x: F.trim(x).try_cast("float"))
+    out = df.select(feats.alias("features"), "attack", "device", F.col("_metadata.file_path").alias("source"))
+    return _judged(out.where(F.exists("features", lambda x: x.isNotNull())), n_features,
+                   attack_names or ATTACK_NAMES, device_names or DEVICE_NAMES)
+
+
 def content_key(*cols) -> Column:
     """Hash input for the split: the row's own values joined."""
     return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) if isinstance(c, str) else c

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from nnspark.operators import exact, forest, ivf
+from nnspark.operators import dataset, exact, forest, ivf, store
 from nnspark.plans import catalog
 from nnspark.plans.catalog import r6, read
 from nnspark.session import scratch_path
@@ -92,6 +92,52 @@ def forest_reopened_leaf_sizes(spark, sf_dir):
     return sizes.select("tree", "leaf", F.col("size").cast("long").alias("size"))
 
 
+def ranked_csv_rejects(spark, sf_dir):
+    """Ranked CSV files of which every eleventh id has a damaged rank, every seventh a damaged distance and every
+    fifth no time; per query the good rows and what was rejected."""
+    path = scratch_path(spark, "ranked-csv-damaged")
+    r = catalog.exact_ranked(spark, sf_dir, 10)
+    r.select(
+        F.concat(F.lit("q"), F.col("query_id")).alias("Query"),
+        F.when(F.col("id") % 11 == 0, "first").otherwise(F.col("rank").cast("string")).alias("Rank"),
+        F.lit("t").alias("Matched Keyword"), F.col("id").cast("string").alias("Matched ID"),
+        F.when(F.col("id") % 7 == 0, F.when(F.col("id") % 2 == 0, "far").otherwise("NaN")).otherwise(
+            F.format_string("%.6f", F.col("dist"))).alias("Distance"),
+        F.when(F.col("id") % 5 != 0, "1.000").alias("Search Time (ms)")).write.option("header", True).csv(path)
+    good, bad = results.read_ranked_csv_checked(spark, path)
+    both = good.select("query", "dist", F.lit(None).cast("string").alias("reason")).unionByName(
+        bad.select("query", F.lit(None).cast("double").alias("dist"), "reason"))
+    return both.groupBy("query").agg(
+        F.count("dist").alias("n_good"), r6(F.coalesce(F.sum("dist"), F.lit(0.0))).alias("sum_dist"),
+        F.count_if(F.col("reason") == "rank").alias("n_rank"), F.count_if(F.col("reason") == "dist").alias("n_dist"))
+
+
+def labelled_partition_scan(spark, sf_dir):
+    """Events as lines of three to five values under ``device=…/attack=…``, read back with their labels."""
+    path = scratch_path(spark, "labelled-partitions")
+    name = lambda names, i: F.element_at(F.array(*[F.lit(n) for n in names]), (i + 1).cast("int"))
+    ev = read(spark, sf_dir, "events")
+    line = F.concat_ws(",", "event_id", "user_id", F.when(F.col("event_id") % 13 == 0, "none").otherwise(
+        (F.col("event_id") % 50).cast("string")), F.when(F.col("event_id") % 10 != 0, F.lit("1")), F.when(F.col("event_id") % 17 == 0, F.lit("2")))
+    dataset.write_labelled_partitions(ev.select(
+        name([*dataset.DEVICE_NAMES, "odd / name=1%"], F.col("user_id") % 10).alias("device"),
+        name(dataset.ATTACK_NAMES, F.col("event_id") % 11).alias("attack"), line.alias("line")), path)
+    found = dataset.read_labelled_partitions(spark, path, n_features=4)
+    first = lambda i: F.col("features")[i].cast("long")
+    return found.select(first(0).alias("event_id"), first(1).alias("user_id"), "device", "device_code", "attack", "attack_code",
+                        "n_values", "width_ok")
+
+
+def ivf_appended_assignment(spark, sf_dir):
+    """An index of the earlier half of the vectors, loaded again with all of them: the postings after the append."""
+    path = scratch_path(spark, "ivf-store")
+    emb = catalog.corpus(spark, sf_dir)
+    middle = emb.agg(F.expr("percentile_approx(vec_id, 0.5)")).first()[0]
+    store.load_or_build(emb.where(F.col("vec_id") <= F.lit(middle)), path, nlist=16, n_iter=2)
+    grown = store.load_or_build(emb, path, nlist=16, n_iter=2)
+    return grown.index.postings.select(F.col("id").alias("vec_id"), "list_id", F.lit(grown.how).alias("how"))
+
+
 QUERIES = {f.__name__: f for f in (
     keyword_file_scan, entity_list_scan, ranked_csv_scan, comparison_csv_scan, vector_table_scan, sweep_tables_scan,
-    ivf_reopened_search, forest_reopened_leaf_sizes)}
+    ivf_reopened_search, forest_reopened_leaf_sizes, ranked_csv_rejects, labelled_partition_scan, ivf_appended_assignment)}

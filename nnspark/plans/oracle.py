@@ -694,6 +694,51 @@ def ranked_csv_scan() -> str:
     FROM ({exact_topk(5)}), c GROUP BY query_id"""
 
 
+def ranked_csv_rejects() -> str:
+    good = "id % 11 <> 0 AND id % 7 <> 0"
+    return f"""
+    SELECT 'q' || query_id AS query, count(*) FILTER ({good})::BIGINT AS n_good,
+           round(coalesce(sum({_fixed(dist('d2'), 6)}) FILTER ({good}), 0), 6) AS sum_dist,
+           count(*) FILTER (id % 11 = 0)::BIGINT AS n_rank, count(*) FILTER (id % 11 <> 0 AND id % 7 = 0)::BIGINT AS n_dist
+    FROM ({exact_topk(10)}) GROUP BY query_id"""
+
+
+def labelled_partition_scan() -> str:
+    devices = """['Danmini_Doorbell', 'Ecobee_Thermostat', 'Ennio_Doorbell', 'Philips_B120N10_Baby_Monitor',
+        'Provision_PT_737E_Security_Camera', 'Provision_PT_838_Security_Camera', 'Samsung_SNH_1011_N_Webcam',
+        'SimpleHome_XCS7_1002_WHT_Security_Camera', 'SimpleHome_XCS7_1003_WHT_Security_Camera', 'odd / name=1%']"""
+    attacks = """['benign_traffic', 'combo', 'junk', 'mirai-ack', 'mirai-scan', 'mirai-syn', 'mirai-udp', 'mirai-udpplain',
+        'scan', 'tcp', 'udp']"""
+    return f"""
+    SELECT event_id::FLOAT::BIGINT AS event_id, user_id::FLOAT::BIGINT AS user_id, ({devices})[user_id % 10 + 1] AS device,
+           CASE WHEN user_id % 10 = 9 THEN -1 ELSE user_id % 10 END::INTEGER AS device_code,
+           ({attacks})[event_id % 11 + 1] AS attack, (event_id % 11)::INTEGER AS attack_code, n_values,
+           n_values = 4 AND event_id % 13 <> 0 AS width_ok
+    FROM (SELECT *, (3 + (event_id % 10 <> 0)::INTEGER + (event_id % 17 = 0)::INTEGER)::INTEGER AS n_values FROM events)"""
+
+
+def ivf_appended_assignment() -> str:
+    """Two rounds of 16 lists over the earlier half; then every vector in its nearest list."""
+    key = md5_key("'ivf:' || vec_id::VARCHAR")
+    near = lambda v, c: f"arg_min(c.list_id, ({d2(v, c)}, c.list_id))"
+    rounds = "".join(f"""
+    l{i} AS (SELECT s.id, s.v, {near('s.v', 'c.c')} AS list_id FROM s, c{i} c GROUP BY s.id, s.v),
+    x{i} AS (SELECT list_id, j, round(avg(v[j]), 9) AS x FROM (SELECT list_id, v, unnest(range(1, len(v) + 1)) AS j FROM l{i})
+             GROUP BY list_id, j),
+    c{i + 1} AS (SELECT c.list_id, coalesce(m.c, c.c) AS c
+                 FROM c{i} c LEFT JOIN (SELECT list_id, list(x ORDER BY j) AS c FROM x{i} GROUP BY list_id) m USING (list_id)),"""
+                     for i in range(2))
+    return f"""
+    WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, {key} AS h FROM embeddings WHERE embedding IS NOT NULL),
+    mid AS (SELECT max(id) AS m FROM (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) AS r, count(*) OVER () AS n
+            FROM embeddings) WHERE r <= ceil(n * 0.5)),
+    s AS (SELECT e.* FROM e, mid WHERE e.id <= mid.m),
+    c0 AS (SELECT row_number() OVER (ORDER BY h, id) - 1 AS list_id, list_transform(v, lambda x: round(x, 9)) AS c
+           FROM s QUALIFY list_id < 16),{rounds}
+    post AS (SELECT e.id, {near('e.v', 'c.c')} AS list_id FROM e, c2 c GROUP BY e.id)
+    SELECT id AS vec_id, list_id::INTEGER AS list_id, 'appended' AS how FROM post"""
+
+
 def comparison_csv_scan() -> str:
     return f"""
     WITH {compare_baseline_ctes()}
@@ -734,7 +779,8 @@ def all_sql() -> dict[str, str]:
         "expand_entity_queries", "corpus_shape", "hash_split_85", "class_codes", "embed_texts",
         "text_query_search", "graph_knn_edges", "graph_levels", "graph_layer_edges",
         "keyword_file_scan", "entity_list_scan", "ranked_csv_scan", "comparison_csv_scan", "vector_table_scan",
-        "sweep_tables_scan", "ivf_reopened_search", "forest_reopened_leaf_sizes",
+        "sweep_tables_scan", "ivf_reopened_search", "forest_reopened_leaf_sizes", "ranked_csv_rejects", "labelled_partition_scan",
+        "ivf_appended_assignment",
     ]
     g = globals()
     return {n: g[n]() for n in names if n in g}

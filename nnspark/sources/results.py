@@ -66,17 +66,34 @@ def write_ranked_csv(ranked: DataFrame, path: str, with_spread: bool = True) ->
     ranked.select(*cols).write.mode("overwrite").option("header", True).csv(path)
 
 
-def read_ranked_csv(spark: SparkSession, path: str, squared: bool = False) -> DataFrame:
-    """Positional reader of ranked-result CSVs (5, 6 or 7 columns).
+def read_ranked_csv_checked(spark: SparkSession, path: str, squared: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of ranked-result CSVs, by position (5, 6 or 7 columns).
 
-    Blank lines are skipped; a missing time is 0.0; ``squared`` converts
-    squared L2 values to L2 with the negative guard (P4).
+    Blank lines are skipped and a missing or empty time is 0.0; ``squared`` converts squared L2 values to L2 with the
+    negative guard (P4).  A row whose rank is no integer, whose distance is no finite number, or whose id, time or spread
+    is given but cannot be read, is a reject: its fields as read, the file, and ``reason``, the first field at fault.
     """
-    df = spark.read.option("header", True).option("mode", "PERMISSIVE").schema(RANKED_CSV_SCHEMA).csv(path)
-    df = df.where(F.col("query").isNotNull())
-    dist = safe_sqrt("dist") if squared else F.col("dist")
-    return df.select("query", "rank", "text", "id", dist.alias("dist"),
-                     F.coalesce(F.col("time_ms"), F.lit(0.0)).alias("time_ms"), "spread")
+    raw = T.StructType([T.StructField(f.name, T.StringType()) for f in RANKED_CSV_SCHEMA.fields])
+    df = spark.read.option("header", True).option("mode", "PERMISSIVE").schema(raw).csv(path).where(F.col("query").isNotNull())
+    given = lambda c: F.coalesce(F.trim(c), F.lit("")) != ""
+    typed = {f.name: F.trim(F.col(f.name)).try_cast(f.dataType) for f in RANKED_CSV_SCHEMA.fields if f.name not in ("query", "text")}
+    number = lambda c: typed[c].isNotNull() & ~F.isnan(typed[c]) & (F.abs(typed[c]) != float("inf"))
+    reason = (F.when(typed["rank"].isNull(), "rank").when(given("id") & typed["id"].isNull(), "id")
+              .when(~F.coalesce(number("dist"), F.lit(False)), "dist")
+              .when(given("time_ms") & ~F.coalesce(number("time_ms"), F.lit(False)), "time_ms")
+              .when(given("spread") & ~F.coalesce(number("spread"), F.lit(False)), "spread"))
+    judged = df.withColumn("reason", reason)
+    dist = safe_sqrt(typed["dist"]) if squared else typed["dist"]
+    rows = judged.where(F.col("reason").isNull()).select(
+        "query", typed["rank"].alias("rank"), "text", typed["id"].alias("id"), dist.alias("dist"),
+        F.coalesce(typed["time_ms"], F.lit(0.0)).alias("time_ms"), typed["spread"].alias("spread"))
+    rejects = judged.where(F.col("reason").isNotNull()).select(F.col("_metadata.file_path").alias("file"), *raw.fieldNames(), "reason")
+    return rows, rejects
+
+
+def read_ranked_csv(spark: SparkSession, path: str, squared: bool = False) -> DataFrame:
+    """The rows of :func:`read_ranked_csv_checked` alone."""
+    return read_ranked_csv_checked(spark, path, squared)[0]
 
 
 def result_metrics(ranked_csv: DataFrame) -> DataFrame:

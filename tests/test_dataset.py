@@ -55,3 +55,18 @@ def test_rows_are_checked_one_by_one(spark, tmp_path):
     got = {tuple(r["features"]): (r["n_values"], r["width_ok"])
            for r in dataset.read_labelled_tree(spark, str(tmp_path), n_features=3).collect()}
     assert got == {(1, 2, 3): (3, True), (4, 5): (2, False), (1, 2, 3, 4): (4, False), (5, 6, None, 8): (4, False), (7, 8, 9): (3, True)}
+
+
+def test_labelled_partitions_keep_labels_widths_and_rejects(spark):
+    root = os.path.join(tempfile.mkdtemp(prefix="nn-parts-"), "t")
+    rows = [("1,2,3", "Danmini_Doorbell", "scan"), ("4,5", "Danmini_Doorbell", "scan"), ("6,x,7", "odd / name=1%", "mirai-udp"),
+            ("a,b,c", "Ennio_Doorbell", "udp"), ("8,9,10,11", "Ennio_Doorbell", "12"), ('"13", 14 ,15', None, "tcp")]
+    dataset.write_labelled_partitions(spark.createDataFrame(rows, "line string, device string, attack string"), root)
+    got = dataset.read_labelled_partitions(spark, root, n_features=3)
+    found = sorted(((r["features"][0], r["device"], r["device_code"], r["attack"], r["attack_code"], r["n_values"], r["width_ok"])
+                    for r in got.collect()), key=str)
+    assert found == sorted([(1.0, "Danmini_Doorbell", 0, "scan", 8, 3, True), (4.0, "Danmini_Doorbell", 0, "scan", 8, 2, False),
+                            (6.0, "odd / name=1%", -1, "mirai-udp", 6, 3, False), (8.0, "Ennio_Doorbell", 2, "12", -1, 4, False),
+                            (13.0, None, None, "tcp", 9, 3, True)], key=str)  # a line without any number is a header
+    plan = got.where("device = 'Ennio_Doorbell'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(device" in plan

@@ -25,6 +25,23 @@ def test_old_csv_without_time_and_blank_lines(spark):
     assert m["sum_dist"] == 5.0 and m["cost"] == 0.0 and m["n_hits"] == 2
 
 
+def test_damaged_rows_are_rejected_and_counted(spark):
+    d = tempfile.mkdtemp(prefix="nn-csv-")
+    p = os.path.join(d, "r.csv")
+    with open(p, "w", encoding="utf-8") as f:
+        f.write("Query,Rank,Matched Keyword,Matched ID,Distance,Search Time (ms),Internal Similarity\n"
+                "q,1,a,5,4.0,1.5,0.2\nq,2,b,x,9.0,1.5,0.2\nq,,c,7,1.0\nq,4,d,8,far\n\nq,5,e,9\nq,6,f,,2.0,slow\n"
+                "q,7,g,11,NaN\nq,8,h,12,inf\nq,9,\"i, j\",13, 2.5 ,,much\nq,10,k,,3.0\nr,1,l,1,-0.5\n")
+    good, bad = results.read_ranked_csv_checked(spark, p)
+    assert [(r["rank"], r["id"], r["dist"], r["time_ms"]) for r in good.orderBy("query", "rank").collect()] == [
+        (1, 5, 4.0, 1.5), (10, None, 3.0, 0.0), (1, 1, -0.5, 0.0)]
+    got = sorted((r["rank"] or "", r["reason"]) for r in bad.collect())
+    assert got == [("", "rank"), ("2", "id"), ("4", "dist"), ("5", "dist"), ("6", "time_ms"), ("7", "dist"), ("8", "dist"), ("9", "spread")]
+    assert bad.where("file like '%r.csv'").count() == 8
+    m = results.result_metrics(results.read_ranked_csv(spark, p, squared=True)).orderBy("query").collect()
+    assert m[0]["n_hits"] == 2 and m[1]["sum_dist"] == 0.0
+
+
 def test_vectors_round_trip(spark, emb):
     d = tempfile.mkdtemp(prefix="nn-vec-")
     results.write_vectors(emb, os.path.join(d, "v"))
