@@ -4,12 +4,15 @@ Templates (the base phrases, and public licence notices) and documents are cut i
 rolling word 2-grams.  A gram's hash joins document positions with template
 positions; a match votes for its offset diagonal (document word - template word).
 A phrase stands at a place when its diagonal has a vote for every gram.  For
-notices, neighbouring diagonals (words inserted or left out) are merged and the
-span is verified: it must cover ``MIN_COVERAGE`` of the notice's grams, and
-the words themselves are compared, not only their hashes.
+notices, each diagonal is merged with those up to ``MAX_SHIFT`` words further (words inserted or left out), and the
+span is verified: read in the document's order, its votes must go forward in the notice, no further from one to the
+next than the document does by more than ``MAX_SHIFT`` words, and weigh ``MIN_COVERAGE`` of the notice's grams.  So a
+span is at most ``MAX_SHIFT`` words longer than the notice, and words that are scattered or out of order make none.  The
+words themselves are compared, not only their hashes.
 
-The template table has a fixed size and is broadcast; document grams are never
-shuffled, only matches are.  Grams of two very common words do not vote.
+All grams vote.  A gram weighs 1, half of that with one very common word and a tenth with two, so that common pairs
+alone carry no notice.  The template table has a fixed size and is broadcast; document grams are never
+shuffled, only matches are, and of those only where a notice's votes, wherever they stand, weigh enough for a span.
 
 Defined cases: null texts are empty (0 words, no labels, score 0); rows with the same id but
 different texts are separate; equal rows give equal results; null ids are kept.
@@ -50,26 +53,28 @@ NOTICES = {
     "cc-by-nc": "Licensed under CC BY-NC 4.0",
     "unlicense": "This is free and unencumbered software released into the public domain",
 }
-# Words too common for a pair of them to vote.
+# Very common words; grams that hold one or two of them weigh less.
 COMMON = frozenset("a above all an and any are as at be by copy either following for from if in is it may not of on or "
                    "or other p provided that the this to use was with without you your".split())
+WEIGHTS = (1.0, 0.5, 0.1)   # of a gram with none, one and two common words
 MIN_COVERAGE = 0.6
 MAX_SHIFT = 4
+EPSILON = 1e-9
 
 
 def _template_words(text: str) -> list[str]:
     return "".join(c if c.isalnum() else " " for c in text.lower()).split()
 
 
-def template_grams() -> list[tuple[int, str, bool, int, int, str, str]]:
-    """(template, label, is_phrase, n_grams, position, first word, second word)."""
+def template_grams() -> list[tuple[int, str, bool, float, float, int, str, str]]:
+    """(template, label, is_phrase, weight of all grams, weight, position, first word, second word)."""
     rows = []
     entries = [(text, label, True) for text, label in PHRASES.items()]
     entries += [(text, label, False) for label, text in NOTICES.items()]
     for t, (text, label, phrase) in enumerate(entries):
         words = _template_words(text)
-        grams = [(i, a, b) for i, (a, b) in enumerate(zip(words, words[1:])) if phrase or not (a in COMMON and b in COMMON)]
-        rows += [(t, label, phrase, len(grams), i, a, b) for i, a, b in grams]
+        grams = [(1.0 if phrase else WEIGHTS[(a in COMMON) + (b in COMMON)], i, a, b) for i, (a, b) in enumerate(zip(words, words[1:]))]
+        rows += [(t, label, phrase, sum(g[0] for g in grams), *g) for g in grams]
     return rows
 
 
@@ -84,10 +89,10 @@ def words_of(text: Column) -> Column:
 
 
 def gram_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text_hash, template, label, phrase, n_grams, at, t_at): document gram ``at`` equals template gram ``t_at``."""
+    """(id, text_hash, template, label, phrase, total, weight, at, t_at): document gram ``at`` equals template gram ``t_at``."""
     spark = docs.sparkSession
     grams = spark.createDataFrame(
-        template_grams(), "template int, label string, phrase boolean, n_grams int, t_at int, w0 string, w1 string")
+        template_grams(), "template int, label string, phrase boolean, total double, weight double, t_at int, w0 string, w1 string")
     grams = grams.withColumn("gram", F.xxhash64("w0", "w1"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), words_of(text).alias("words"))
@@ -97,7 +102,20 @@ def gram_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rolled = rows.select("id", "text_hash", "words", F.posexplode(hashes).alias("at", "gram"))
     return (rolled.join(F.broadcast(grams), "gram")
             .filter((F.element_at("words", F.col("at") + 1) == F.col("w0")) & (F.element_at("words", F.col("at") + 2) == F.col("w1")))
-            .select("id", "text_hash", "template", "label", "phrase", "n_grams", "at", "t_at"))
+            .select("id", "text_hash", "template", "label", "phrase", "total", "weight", "at", "t_at"))
+
+
+def in_order(votes: str) -> Column:
+    """Weight of the votes (at, t_at, weight; sorted) that go forward in document and template alike."""
+    start = F.struct(F.lit(-1).cast("int").alias("at"), F.lit(-1).cast("int").alias("t_at"), F.lit(0.0).alias("sum"))
+
+    def step(s: Column, v: Column) -> Column:
+        forward = (v["at"] > s["at"]) & (v["t_at"] > s["t_at"]) & (
+            (s["at"] < 0) | (F.abs((v["t_at"] - s["t_at"]) - (v["at"] - s["at"])) <= MAX_SHIFT))
+        taken = F.struct(v["at"].cast("int").alias("at"), v["t_at"].cast("int").alias("t_at"), (s["sum"] + v["weight"]).alias("sum"))
+        return F.when(forward, taken).otherwise(s)
+
+    return F.aggregate(votes, start, step, lambda s: s["sum"])
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -105,28 +123,30 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), F.size(words_of(text)).cast("long").alias("n_words"))
     doc = ["id", "text_hash"]
+    key = [*doc, "template", "label", "phrase", "total"]
     diagonal = (F.col("at") - F.col("t_at")).alias("diagonal")
-    votes = (gram_matches(docs, id_col, text_col)
-             .groupBy(*doc, "template", "label", "phrase", "n_grams", diagonal)
-             # equal rows vote for the same places, so distinct template positions count
-             .agg(F.collect_set("t_at").alias("seen")))
-    near = Window.partitionBy(*doc, "template").orderBy("diagonal")
-    starts = F.when(F.col("phrase") | (F.col("diagonal") - F.lag("diagonal").over(near) <= MAX_SHIFT).isNull()
-                    | (F.col("diagonal") - F.lag("diagonal").over(near) > MAX_SHIFT), 1).otherwise(0)
-    spans = (votes.withColumn("starts", starts)
-             .withColumn("span", F.sum("starts").over(near.rowsBetween(Window.unboundedPreceding, 0)))
-             .groupBy(*doc, "template", "label", "phrase", "n_grams", "span")
-             .agg(F.min("diagonal").alias("first"),
-                  F.size(F.array_distinct(F.flatten(F.collect_list("seen")))).alias("covered")))
-    coverage = F.col("covered") / F.col("n_grams")
-    place = F.col("phrase") & (F.col("covered") == F.col("n_grams"))
-    named = place | (~F.col("phrase") & (coverage >= MIN_COVERAGE))
+    # equal rows vote for the same places, so distinct votes count
+    votes = gram_matches(docs, id_col, text_col).groupBy(*key, "weight", "t_at", diagonal).agg(F.lit(1).alias("one")).drop("one")
+    weighed = votes.filter("not phrase").groupBy(*key, "t_at").agg(F.max("weight").alias("weight")).groupBy(*key).agg(
+        F.sum("weight").alias("all")).filter(F.col("all") >= MIN_COVERAGE * F.col("total") - EPSILON).select(*[F.col(c).alias(f"p_{c}") for c in key])
+    same = [F.col(c).eqNullSafe(F.col(f"p_{c}")) if c == "id" else F.col(c) == F.col(f"p_{c}") for c in key]
+    phrases = votes.filter("phrase").groupBy(*key, "diagonal").agg((F.sum("weight") / F.first("total")).alias("coverage")).select(
+        *key, F.col("diagonal").alias("first"), "coverage")
+    notes = votes.filter("not phrase").join(weighed, same, "left_semi").groupBy(*key, "diagonal").agg(F.collect_list(
+        F.struct((F.col("diagonal") + F.col("t_at")).alias("at"), "t_at", "weight")).alias("seen"))
+    near = Window.partitionBy(*key).orderBy("diagonal").rangeBetween(0, MAX_SHIFT)
+    notes = notes.withColumn("near", F.array_sort(F.flatten(F.collect_list("seen").over(near)))).select(
+        *key, F.col("diagonal").alias("first"), (in_order("near") / F.col("total")).alias("coverage"))
+    spans = phrases.unionByName(notes)
+    coverage = F.col("coverage")
+    place = F.col("phrase") & (coverage >= 1 - EPSILON)
+    named = place | (~F.col("phrase") & (coverage >= MIN_COVERAGE - EPSILON))
     joined = lambda when: F.array_join(F.array_sort(F.collect_set(F.when(when, F.col("label")))), ",")
     verdicts = spans.groupBy(*doc).agg(
         F.count_if(place).alias("n_base"), F.min(F.when(place, F.col("first"))).cast("long").alias("first_word"),
         F.max(F.when(place, F.col("first"))).cast("long").alias("last_word"),
         joined(place).alias("base_labels"), joined(named).alias("labels"),
-        F.max(F.when(~F.col("phrase") | place, coverage)).alias("score"))
+        F.max(F.when(named, F.least(coverage, F.lit(1.0)))).alias("score"))
     b, v = base.alias("b"), verdicts.alias("v")
     return b.join(v, F.col("b.id").eqNullSafe(F.col("v.id")) & (F.col("b.text_hash") == F.col("v.text_hash")), "left").select(
         F.col("b.id").alias(id_col), "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"),

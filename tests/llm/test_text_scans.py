@@ -48,6 +48,35 @@ def test_licences_match_brute_force(spark):
     assert found[5]["labels"] == "cc-by,cc-by-nc"
 
 
+def _spread(notice, filler, every):
+    """The notice with filler words after every so many words."""
+    out = []
+    for i, w in enumerate(notice.split()):
+        out.append(w)
+        if every and i % every == every - 1:
+            out += ["filler"] * filler
+    return " ".join(out)
+
+
+def test_notices_are_verified_by_length_and_order(spark):
+    """Every notice is found in running text; scattered, reversed or shuffled words of one are not."""
+    rng = random.Random(4)
+    texts, want = [], []
+    for label, notice in licenses.NOTICES.items():
+        w = licenses._template_words(notice)
+        texts += [f"word {'of the in ' * 50} {notice} {'is the to and ' * 50}", _spread(notice, 1, 9), " ".join(w[:len(w) // 4]),
+                  _spread(notice, 3, 2), " ".join(reversed(w)), " ".join(rng.sample(w, len(w)))]
+        want += [label, label, None, None, None, None]
+    found = rows(licenses.scan(docs(spark, texts)), "doc_id")
+    for r, label, text in zip(found, want, texts, strict=True):
+        labels = set(filter(None, r["labels"].split(",")))
+        if label:
+            assert label in labels and r["score"] > 0.6, text
+        else:
+            assert labels == set(filter(None, r["base_labels"].split(","))), text
+            assert r["score"] == (1.0 if r["n_base"] else 0.0)
+
+
 def test_licences_on_a_whole_table(spark):
     table = spark.read.parquet(f"{SF001}/documents.parquet")
     found = {r["doc_id"]: r for r in rows(licenses.scan(table), "doc_id")}
