@@ -12,7 +12,8 @@ triple that no landmark holds adds nothing, so one table look-up per character a
 few tokens that can reach ``MIN_KERNEL``.
 
 Training.  Sentences of a bounded sample of labelled documents (``MAX_TRAIN_DOCS`` per class,
-``MAX_SENTENCES`` per document, both by hash), mapped through K^(-1/2) of the landmarks.  A document's
+``MAX_SENTENCES`` per document, both by hash), mapped through K^(-1/2) of the landmarks; sentences and landmarks are
+compared with the same landmark points, each landmark's features over its own kernel value.  A document's
 label says that some sentence is toxic, so the SVM alternates: fit on the clean documents' sentences and the
 most toxic sentence of each toxic document, then choose that sentence again.  A logistic curve
 turns a document's largest margin into a probability.
@@ -42,6 +43,7 @@ MIN_KERNEL = 0.6
 MAX_LANDMARKS = 64
 MIN_GAIN = 0.01
 CLEAN_PENALTY = 2.0
+SVM_COST = 100_000
 MAX_TRAIN_DOCS = 2000
 MAX_SENTENCES = 64
 MAX_SENTENCE_CHARS = 500
@@ -357,7 +359,7 @@ def fit(sample: list[tuple[int, list[str]]], rounds: int = 4) -> Model:
         return model
     vectors = [features_of(x) for x in model.landmarks]
     own = np.array([kernel(v, v) for v in vectors])
-    gram = np.array([[kernel(a, b) for b in vectors] for a in vectors]) / np.sqrt(np.outer(own, own))
+    gram = np.array([[kernel(a, b) for b in vectors] for a in vectors]) / np.outer(own, own)
     values, vecs = np.linalg.eigh(gram)
     root = vecs @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vecs.T
     labels = np.array([label for label, _ in sample])
@@ -375,7 +377,7 @@ def fit(sample: list[tuple[int, list[str]]], rounds: int = 4) -> Model:
         x = np.vstack((best, clean)) @ root
         y = np.concatenate((np.ones(len(best)), -np.ones(len(clean))))
         cost = np.concatenate((np.full(len(best), 1.0 / len(best)), np.minimum(times, 50) / np.minimum(times, 50).sum()))
-        w, model.bias = _fit_svm(x, y, cost * 1000)
+        w, model.bias = _fit_svm(x, y, cost * SVM_COST)
         model.weights = root @ w
         scores = [model.margins(b) for b in toxic_bags]
     margin = np.array([model.margins(b).max() for b in bags])
