@@ -245,6 +245,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ids = stored.select("row", F.col(f"c{names.index(id_col)}").alias("id"))
     found = components(stored, "row", f"c{names.index(text_col)}", shingle, radius).join(ids, "row")
     found, _ = cut(found.select("row", "component_id", F.struct(F.col("id").isNull().alias("last"), "id", "row").alias("place")), "simhash-found")
-    first = found.groupBy("component_id").agg(F.min("place").alias("first"))
+    # written, so that the join reads two shuffles and a crowded component can be split
+    first, _ = cut(found.groupBy("component_id").agg(F.min("place").alias("first")), "simhash-first")
     dropped, _ = cut(found.join(first, "component_id").filter("row != first.row").select("row"), "simhash-dropped")
     return stored.join(dropped, "row", "left_anti").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
