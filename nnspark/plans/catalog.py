@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nnspark import ship
-from nnspark.operators import best_first, calibrate, compare, exact, forest, ivf, quality, quantiser
+from nnspark.operators import best_first, calibrate, compare, exact, forest, ivf, pruned, quality, quantiser
 
 K_MAIN = 20
 K_SWEEP = [5, 20, 50, 100]
@@ -50,6 +50,13 @@ def knn_exact_top20(spark, sf_dir):
     return r.select("query_id", "rank", "id", r6("dist").alias("dist"))
 
 
+def knn_exact_pruned(spark, sf_dir):
+    """Exact top-20 through groups and bounds, not by comparing all."""
+    emb = corpus(spark, sf_dir)
+    r = pruned.search(pruned.build(emb), exact.self_queries(emb), K_MAIN)
+    return r.select("query_id", "rank", "id", r6("dist").alias("dist"))
+
+
 def knn_sq_l2_top10(spark, sf_dir):
     r = exact_ranked(spark, sf_dir, 10)
     return r.select("query_id", "rank", "id", r6("d2").alias("d2"))

@@ -40,6 +40,10 @@ def knn_exact_top20() -> str:
     FROM ({exact_topk(C.K_MAIN)})"""
 
 
+def knn_exact_pruned() -> str:
+    return knn_exact_top20()
+
+
 def knn_sq_l2_top10() -> str:
     return f"""
     SELECT query_id, rank::INTEGER AS rank, id, round(d2, 6) AS d2
@@ -770,7 +774,7 @@ def forest_reopened_leaf_sizes() -> str:
 
 def all_sql() -> dict[str, str]:
     names = [
-        "knn_exact_top20", "knn_sq_l2_top10", "knn_k_sweep_sums", "knn_with_text", "result_spread",
+        "knn_exact_top20", "knn_exact_pruned", "knn_sq_l2_top10", "knn_k_sweep_sums", "knn_with_text", "result_spread",
         "result_proportionality", "ivf_train_sample", "ivf_lloyd_round", "ivf_assign_sizes",
         "ivf_search_nprobe10", "ivf_recall_sweep", "ivf_candidate_cost",
         "forest_leaf_sizes", "forest_search_budget", "forest_best_first",
