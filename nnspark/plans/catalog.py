@@ -312,7 +312,8 @@ def dataset_change_marker(spark, sf_dir):
 # ---------------------------------------------------------------- text, queries, datasets
 
 from nnspark.functions import text as T  # noqa: E402
-from nnspark.operators import dataset, descent, embed, graph, layered, querygen  # noqa: E402
+from nnspark.operators import dataset, descent, embed, encoder, graph, layered, querygen  # noqa: E402
+from nnspark.session import scratch_path  # noqa: E402
 from nnspark.sources import keywords  # noqa: E402
 
 # Vocabulary of the events table, in code order (class encoding P7).
@@ -320,6 +321,7 @@ EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 GRAPH_M = 16
 GRAPH_EF = 50
 TEXT_K = 5
+ENCODER_DIM = 32
 
 
 def keyword_lines(spark, sf_dir) -> DataFrame:
@@ -420,6 +422,15 @@ def text_query_search(spark, sf_dir):
     return out.select("query_id", "rank", "id", r6("dist").alias("dist"), "text")
 
 
+def embed_documents(spark, sf_dir):
+    """X1 with an encoder fitted on the documents, stored, opened and applied as a model over all of them."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    path = scratch_path(spark, "encoder")
+    encoder.fit(docs, dim=ENCODER_DIM).save(spark, path)
+    vectors = encoder.Encoder.open(spark, path).embed(docs)
+    return vectors.select("doc_id", F.posexplode("embedding").alias("dim", "x")).select("doc_id", "dim", r6("x").alias("x"))
+
+
 # ---------------------------------------------------------------- graph
 
 _GRAPH_CACHE: dict = {}
