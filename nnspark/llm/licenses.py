@@ -12,7 +12,8 @@ words themselves are compared, not only their hashes.
 
 All grams vote.  A gram weighs 1, half of that with one very common word and a tenth with two, so that common pairs
 alone carry no notice.  The template table has a fixed size and is broadcast; document grams are never
-shuffled, only matches are, and of those only where a notice's votes, wherever they stand, weigh enough for a span.
+shuffled, only matches are.  Common pairs, which match nearly everywhere, vote in a second pass over the documents where
+the other grams of a notice, wherever they stand, leave room for a span; elsewhere their votes can change nothing.
 
 Defined cases: null texts are empty (0 words, no labels, score 0); rows with the same id but
 different texts are separate; equal rows give equal results; null ids are kept.
@@ -23,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nnspark.llm.common import cut
+
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 K = 2
 
@@ -88,18 +91,23 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.replace(text, F.lit("K"), F.lit("å"))), F.lit(WORD), F.lit(0))
 
 
-def gram_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text_hash, template, label, phrase, total, weight, at, t_at): document gram ``at`` equals template gram ``t_at``."""
-    spark = docs.sparkSession
-    grams = spark.createDataFrame(
-        template_grams(), "template int, label string, phrase boolean, total double, weight double, t_at int, w0 string, w1 string")
-    grams = grams.withColumn("gram", F.xxhash64("w0", "w1"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), words_of(text).alias("words"))
+GRAMS = "template int, label string, phrase boolean, total double, weight double, t_at int, w0 string, w1 string"
+
+
+def _grams(docs: DataFrame) -> DataFrame:
+    return docs.sparkSession.createDataFrame(template_grams(), GRAMS).withColumn("gram", F.xxhash64("w0", "w1"))
+
+
+def gram_matches(rows: DataFrame, grams: DataFrame) -> DataFrame:
+    """(id, text_hash, template, label, phrase, total, weight, at, t_at): document gram ``at`` equals template gram ``t_at``.
+
+    ``rows`` are (id, text_hash, text); ``grams`` has a fixed size.
+    """
+    words = rows.select("id", "text_hash", words_of(F.col("text")).alias("words"))
     hashes = F.when(F.size("words") >= K, F.transform(
         F.sequence(F.lit(1), F.size("words") - 1),
         lambda i: F.xxhash64(F.element_at("words", i), F.element_at("words", i + 1))))
-    rolled = rows.select("id", "text_hash", "words", F.posexplode(hashes).alias("at", "gram"))
+    rolled = words.select("id", "text_hash", "words", F.posexplode(hashes).alias("at", "gram"))
     return (rolled.join(F.broadcast(grams), "gram")
             .filter((F.element_at("words", F.col("at") + 1) == F.col("w0")) & (F.element_at("words", F.col("at") + 2) == F.col("w1")))
             .select("id", "text_hash", "template", "label", "phrase", "total", "weight", "at", "t_at"))
@@ -120,19 +128,30 @@ def in_order(votes: str) -> Column:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: n_words, n_base, first_word, last_word, base_labels, labels, score."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), F.size(words_of(text)).cast("long").alias("n_words"))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    base = rows.select("id", "text_hash", F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
     doc = ["id", "text_hash"]
     key = [*doc, "template", "label", "phrase", "total"]
     diagonal = (F.col("at") - F.col("t_at")).alias("diagonal")
     # equal rows vote for the same places, so distinct votes count
-    votes = gram_matches(docs, id_col, text_col).groupBy(*key, "weight", "t_at", diagonal).agg(F.lit(1).alias("one")).drop("one")
-    weighed = votes.filter("not phrase").groupBy(*key, "t_at").agg(F.max("weight").alias("weight")).groupBy(*key).agg(
-        F.sum("weight").alias("all")).filter(F.col("all") >= MIN_COVERAGE * F.col("total") - EPSILON).select(*[F.col(c).alias(f"p_{c}") for c in key])
-    same = [F.col(c).eqNullSafe(F.col(f"p_{c}")) if c == "id" else F.col(c) == F.col(f"p_{c}") for c in key]
-    phrases = votes.filter("phrase").groupBy(*key, "diagonal").agg((F.sum("weight") / F.first("total")).alias("coverage")).select(
+    distinct = lambda m: m.groupBy(*key, "weight", "t_at", diagonal).agg(F.lit(1).alias("one")).drop("one")
+    grams = _grams(docs)
+    # first the grams that are not common pairs, with the weight that common pairs might add
+    pairs = grams.filter(~F.col("phrase")).groupBy("template").agg(
+        F.sum(F.when(F.col("weight") <= WEIGHTS[2], F.col("weight")).otherwise(0.0)).alias("spare"))
+    telling, _ = cut(distinct(gram_matches(rows, grams.filter(F.col("phrase") | (F.col("weight") > WEIGHTS[2])))), "license-votes")
+    wanted = telling.filter("not phrase").groupBy(*key, "t_at").agg(F.max("weight").alias("weight")).groupBy(*key).agg(
+        F.sum("weight").alias("all")).join(F.broadcast(pairs), "template")  # a row per template
+    wanted, _ = cut(wanted.filter(F.col("all") + F.col("spare") >= MIN_COVERAGE * F.col("total") - EPSILON).select(
+        F.col("id").alias("w_id"), F.col("text_hash").alias("w_hash"), F.col("template").alias("w_template")), "license-wanted")
+    mine = [F.col("id").eqNullSafe(F.col("w_id")), F.col("text_hash") == F.col("w_hash")]
+    # then all grams of a notice, in the documents that can hold it
+    again = rows.join(wanted.select("w_id", "w_hash").distinct(), mine, "left_semi")
+    full = distinct(gram_matches(again, grams.filter(~F.col("phrase"))).join(
+        wanted, [*mine, F.col("template") == F.col("w_template")], "left_semi"))
+    phrases = telling.filter("phrase").groupBy(*key, "diagonal").agg((F.sum("weight") / F.first("total")).alias("coverage")).select(
         *key, F.col("diagonal").alias("first"), "coverage")
-    notes = votes.filter("not phrase").join(weighed, same, "left_semi").groupBy(*key, "diagonal").agg(F.collect_list(
+    notes = full.groupBy(*key, "diagonal").agg(F.collect_list(
         F.struct((F.col("diagonal") + F.col("t_at")).alias("at"), "t_at", "weight")).alias("seen"))
     near = Window.partitionBy(*key).orderBy("diagonal").rangeBetween(0, MAX_SHIFT)
     notes = notes.withColumn("near", F.array_sort(F.flatten(F.collect_list("seen").over(near)))).select(
