@@ -523,3 +523,16 @@ def compare_layered(spark, sf_dir):
     return c.select("query_id", r6("base_sum").alias("base_sum"), r6("cand_sum").alias("cand_sum"), r6("pct_diff").alias("pct_diff"),
                     F.col("base_cost").cast("long").alias("base_cost"), F.col("cand_cost").cast("long").alias("cand_cost"),
                     r6("speedup").alias("speedup"), F.col("cand_n_hits").cast("int").alias("cand_n_hits"))
+
+
+# ---------------------------------------------------------------- registry
+
+def registry_sweep(spark, sf_dir):
+    """Methods by name through the registry's sweep, one search each for both k."""
+    from nnspark.plans import registry
+
+    emb = corpus(spark, sf_dir)
+    plan = {"exact": {}, "ivf": {"index": ivf_index(spark, sf_dir), "nprobe": IVF_NPROBE}}
+    r = registry.sweep(emb, exact.self_queries(emb), [5, K_MAIN], plan, with_spread=False)
+    return r.select("algo", F.col("k").cast("int").alias("k"), "query_id", F.col("n_hits").cast("int").alias("n_hits"),
+                    r6("sum_dist").alias("sum_dist"))

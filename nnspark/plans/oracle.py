@@ -743,6 +743,16 @@ def ivf_appended_assignment() -> str:
     SELECT id AS vec_id, list_id::INTEGER AS list_id, 'appended' AS how FROM post"""
 
 
+def registry_sweep() -> str:
+    return f"""
+    WITH {ivf_chain()},
+         hits AS (SELECT 'exact' AS algo, query_id, rank, d2 FROM ({exact_topk(C.K_MAIN)})
+                  UNION ALL SELECT 'ivf', query_id, rank, d2 FROM ({ivf_topk(10, C.K_MAIN)})),
+         ks AS (SELECT unnest([5, 20])::INTEGER AS k)
+    SELECT algo, k, query_id, count(*)::INTEGER AS n_hits, round(sum({dist('d2')}), 6) AS sum_dist
+    FROM hits JOIN ks ON rank <= k GROUP BY algo, k, query_id"""
+
+
 def comparison_csv_scan() -> str:
     return f"""
     WITH {compare_baseline_ctes()}
@@ -784,7 +794,7 @@ def all_sql() -> dict[str, str]:
         "text_query_search", "graph_knn_edges", "graph_levels", "graph_layer_edges",
         "keyword_file_scan", "entity_list_scan", "ranked_csv_scan", "comparison_csv_scan", "vector_table_scan",
         "sweep_tables_scan", "ivf_reopened_search", "forest_reopened_leaf_sizes", "ranked_csv_rejects", "labelled_partition_scan",
-        "ivf_appended_assignment",
+        "ivf_appended_assignment", "registry_sweep",
     ]
     g = globals()
     return {n: g[n]() for n in names if n in g}
