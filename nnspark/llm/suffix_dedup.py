@@ -298,7 +298,7 @@ def _sort_bucket(length: int):
 def _mark(pieces: DataFrame, length: int, bucket_bytes: int, total: int) -> DataFrame:
     """Repeated windows of pieces (``WEIGHTED``) that meet in buckets by anchor."""
     buckets = max(1, math.ceil(total / bucket_bytes))
-    tasks = min(MAX_TASKS, max(8, buckets // 8))
+    tasks = min(MAX_TASKS, max(8, buckets // 2))
     dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets))).repartition(tasks, "bucket")
     return dealt.groupBy("bucket").applyInArrow(_sort_bucket(length), MARKS)
 
@@ -427,7 +427,7 @@ def find_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH,
     chosen, _ = cut(chosen.select("anchor", "digest", "weight", "one.*"), "suffix-chosen")
 
     def fetch(some: DataFrame) -> DataFrame:
-        wanted = some.groupBy("row").agg(F.collect_list(
+        wanted = some.repartition(buckets, "row").groupBy("row").agg(F.collect_list(
             F.struct("lo", "windows", "anchor_at", "anchor", "digest", "weight")).alias("wanted"))
         return base.select("row", "body").join(wanted, "row").select("body", "wanted").mapInArrow(_fetch(length), WEIGHTED)
 
@@ -437,7 +437,8 @@ def find_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH,
         marks = marks.unionByName(_mark_hot(fetch(hot), length, bucket_bytes, hot_bytes))
     marks, _ = cut(marks, "suffix-marks")
 
-    hits = shared.join(marks, ["anchor", "digest"]).groupBy("row").agg(
+    # dealt like the stored documents, so that the join leaves their texts where they are
+    hits = shared.join(marks, ["anchor", "digest"]).repartition(buckets, "row").groupBy("row").agg(
         F.collect_list(F.struct("lo", "runs")).alias("hits"))
     inner = base.join(hits, "row", "left").drop("row")
     carried = inner.drop("body", "hits")
