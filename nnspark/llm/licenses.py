@@ -63,6 +63,7 @@ WEIGHTS = (1.0, 0.5, 0.1)   # of a gram with none, one and two common words
 MIN_COVERAGE = 0.6
 MAX_SHIFT = 4
 EPSILON = 1e-9
+SIZES = -1       # no template: marks the row that brings a document's word count
 
 
 def _template_words(text: str) -> list[str]:
@@ -81,14 +82,19 @@ def template_grams() -> list[tuple[int, str, bool, float, float, int, str, str]]
     return rows
 
 
-def words_of(text: Column) -> Column:
-    """Words of a text, A-Z lower-cased.
+def folded(text: Column) -> Column:
+    """The text with A-Z lower-cased.
 
     ``lower`` also changes letters beyond A-Z, which no template holds; none of them turns into a
     separator, so places and counts are those of the ASCII rule.  The Kelvin sign, the one
     other character with an ASCII lower case, is kept out first.
     """
-    return F.regexp_extract_all(F.lower(F.replace(text, F.lit("K"), F.lit("å"))), F.lit(WORD), F.lit(0))
+    return F.lower(F.replace(text, F.lit("\u212a"), F.lit("å")))
+
+
+def words_of(text: Column) -> Column:
+    """Words of a text, A-Z lower-cased."""
+    return F.regexp_extract_all(folded(text), F.lit(WORD), F.lit(0))
 
 
 GRAMS = "template int, label string, phrase boolean, total double, weight double, t_at int, w0 string, w1 string"
@@ -98,19 +104,27 @@ def _grams(docs: DataFrame) -> DataFrame:
     return docs.sparkSession.createDataFrame(template_grams(), GRAMS).withColumn("gram", F.xxhash64("w0", "w1"))
 
 
-def gram_matches(rows: DataFrame, grams: DataFrame) -> DataFrame:
-    """(id, text_hash, template, label, phrase, total, weight, at, t_at): document gram ``at`` equals template gram ``t_at``.
+def gram_matches(rows: DataFrame, grams: DataFrame, with_sizes: bool = False) -> DataFrame:
+    """(id, text_hash, template, label, phrase, total, weight, at, t_at, n_words): document gram ``at`` equals template gram ``t_at``.
 
-    ``rows`` are (id, text_hash, text); ``grams`` has a fixed size.
+    ``rows`` are (id, text_hash, text); ``grams`` has a fixed size.  ``with_sizes`` adds one row per document, of template
+    ``SIZES``, so that its words are counted in the same pass.
     """
     words = rows.select("id", "text_hash", words_of(F.col("text")).alias("words"))
     hashes = F.when(F.size("words") >= K, F.transform(
         F.sequence(F.lit(1), F.size("words") - 1),
         lambda i: F.xxhash64(F.element_at("words", i), F.element_at("words", i + 1))))
+    hashes = F.coalesce(hashes, F.array().cast("array<bigint>"))
+    if with_sizes:  # the gram of two empty words, which no text holds
+        hashes = F.concat(hashes, F.array(F.xxhash64(F.lit(""), F.lit(""))))
+        sizes = [(SIZES, "", False, 0.0, 0.0, 0, "", "")]
+        grams = grams.unionByName(grams.sparkSession.createDataFrame(sizes, GRAMS).withColumn("gram", F.xxhash64("w0", "w1")))
     rolled = words.select("id", "text_hash", "words", F.posexplode(hashes).alias("at", "gram"))
-    return (rolled.join(F.broadcast(grams), "gram")
-            .filter((F.element_at("words", F.col("at") + 1) == F.col("w0")) & (F.element_at("words", F.col("at") + 2) == F.col("w1")))
-            .select("id", "text_hash", "template", "label", "phrase", "total", "weight", "at", "t_at"))
+    same = (F.get("words", F.col("at")) == F.col("w0")) & (F.get("words", F.col("at") + 1) == F.col("w1"))
+    last = (F.col("template") == SIZES) & (F.col("at") == F.greatest(F.size("words") - 1, F.lit(0)))
+    return rolled.join(F.broadcast(grams), "gram").filter(same | last).select(
+        "id", "text_hash", "template", "label", "phrase", "total", "weight", "at", "t_at",
+        F.when(F.col("template") == SIZES, F.size("words").cast("long")).alias("n_words"))
 
 
 def in_order(votes: str) -> Column:
@@ -129,7 +143,6 @@ def in_order(votes: str) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: n_words, n_base, first_word, last_word, base_labels, labels, score."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    base = rows.select("id", "text_hash", F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
     doc = ["id", "text_hash"]
     key = [*doc, "template", "label", "phrase", "total"]
     diagonal = (F.col("at") - F.col("t_at")).alias("diagonal")
@@ -139,7 +152,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     # first the grams that are not common pairs, with the weight that common pairs might add
     pairs = grams.filter(~F.col("phrase")).groupBy("template").agg(
         F.sum(F.when(F.col("weight") <= WEIGHTS[2], F.col("weight")).otherwise(0.0)).alias("spare"))
-    telling, _ = cut(distinct(gram_matches(rows, grams.filter(F.col("phrase") | (F.col("weight") > WEIGHTS[2])))), "license-votes")
+    seen, _ = cut(gram_matches(rows, grams.filter(F.col("phrase") | (F.col("weight") > WEIGHTS[2])), with_sizes=True), "license-votes")
+    base = seen.filter(F.col("template") == SIZES).select("id", "text_hash", "n_words")
+    telling = distinct(seen.filter(F.col("template") != SIZES))
     wanted = telling.filter("not phrase").groupBy(*key, "t_at").agg(F.max("weight").alias("weight")).groupBy(*key).agg(
         F.sum("weight").alias("all")).join(F.broadcast(pairs), "template")  # a row per template
     wanted, _ = cut(wanted.filter(F.col("all") + F.col("spare") >= MIN_COVERAGE * F.col("total") - EPSILON).select(
