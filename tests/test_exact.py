@@ -101,3 +101,33 @@ def test_large_query_tables_stay_off_the_driver_and_merge_in_levels(emb, monkeyp
     got = exact.exact_knn(emb, qs, 7, with_vectors=True, budget=40_000)
     assert got.columns == want.columns
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+def test_memory_of_a_small_batch_does_not_follow_the_queries():
+    import tracemalloc
+
+    from nnspark.operators.kernels import batch_topk, nearest_rows
+
+    rng = np.random.default_rng(3)
+    Q, V = rng.normal(size=(40_000, 64)), rng.normal(size=(40, 64))
+    tracemalloc.start()
+    batch_topk(Q, V, np.arange(40), 20)
+    nearest_rows(Q, V, 20)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150 << 20
+
+
+def test_running_lists_equal_one_pass_over_all_rows():
+    rng = np.random.default_rng(4)
+    V = np.round(rng.normal(size=(400, 3)), 1)  # many ties
+    Q, ids = V[::3], np.arange(400) // 2        # repeated ids
+    best = exact._RunningTopk(np.arange(len(Q)), Q, 30)
+    for lo, hi in ((0, 5), (5, 5), (5, 40), (40, 400)):
+        best.add(ids[lo:hi], V[lo:hi])
+    rows = [r for b in best.batches(0) for r in b.to_pylist()]
+    assert sum(r["n_eval"] for r in rows) == 400 * len(Q)
+    for q in range(len(Q)):
+        d2 = ((V - Q[q]) ** 2).sum(axis=1)
+        want = [int(ids[j]) for j in np.lexsort((ids, d2))[:30]]
+        assert [r["id"] for r in rows if r["query_id"] == q] == want
