@@ -107,3 +107,24 @@ def test_postings_of_a_hot_list_are_split(spark, tmp_path):
     files = list((tmp_path / "p" / "list_bucket=0").glob("*.parquet"))
     assert len(files) > 2
     assert spark.read.parquet(str(tmp_path / "p")).agg(F.sum("id")).first()[0] == 60_000 * 59_999 // 2
+
+
+def test_hits_that_leave_the_scan_follow_k_not_the_lists(spark, index, emb):
+    from nnspark.operators import list_scan
+
+    qs = exact.self_queries(emb).where("qv is not null")
+    probes = qs.select("query_id", F.explode(F.sequence(F.lit(0), F.lit(index.nlist - 1))).alias("list_id"))
+    hits = list_scan.topk(index.postings.withColumn("tag", F.lit(0).cast("long")), qs, probes, 5, index.nlist)
+    assert hits.groupBy("query_id").count().agg(F.max("count")).first()[0] <= 2 * 5
+
+
+def test_repeated_ids_keep_their_own_vectors(spark):
+    rows = [(i // 2, [float(i % 7), float(i % 5)]) for i in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    qs = spark.createDataFrame([(1, [0.0, 0.0]), (2, [6.0, 4.0]), (2, [6.0, 4.0])], "query_id long, qv array<float>")
+    found = ivf.search(ivf.build(df, nlist=6, n_iter=2), qs, 9, 6, with_vectors=True).collect()
+    assert len(found) == 18
+    for r in found:
+        q = [0.0, 0.0] if r["query_id"] == 1 else [6.0, 4.0]
+        assert sum((a - b) ** 2 for a, b in zip(q, r["vec"])) == r["d2"]
+    assert len({(r["id"], r["d2"]) for r in found if r["query_id"] == 2}) == 5   # a query that comes twice has its hits twice
