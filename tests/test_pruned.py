@@ -34,3 +34,14 @@ def test_empty_sides(spark, emb):
     none = emb.where("false")
     assert pruned.search(pruned.build(none), exact.self_queries(emb), 5).count() == 0
     assert pruned.search(pruned.build(emb, nlist=4, n_iter=1), exact.self_queries(none), 5).count() == 0
+
+
+def test_groups_are_told_in_tasks_not_listed_for_every_query(spark, emb, monkeypatch):
+    written = []
+    keep = pruned._written
+    monkeypatch.setattr(pruned, "_written", lambda df, name: (written.append(keep(df, name)), written[-1])[1])
+    g = pruned.build(emb, nlist=60, n_iter=1)
+    written.clear()
+    qs = exact.self_queries(emb)
+    pruned.search(g, qs, 3).count()
+    assert max(t.count() for t in written) <= 2 * emb.count() * 4   # a few hits a query and group of postings, not 60 groups
