@@ -30,12 +30,26 @@ SCALE = 64
 DECIMALS = 7
 TERMS = "feature int, idf double, vector array<float>"
 _WORD = re.compile(r"\w+")
+# of ASCII bytes letters are lowered and what is no word character is a blank; the others stay
+_SPLIT = bytes(c if chr(c).isalnum() or c == 95 else 32 for c in bytes(range(128)).lower()) + bytes(range(128, 256))
+
+
+def _words(text: str) -> list[bytes]:
+    """``\\w+`` of the lower-cased text, as UTF-8.  Only what holds other letters than ASCII takes the regular expression."""
+    if "\u03a3" in text:   # a capital sigma is lowered by its neighbours, also across punctuation
+        return [w.encode("utf-8", "surrogatepass") for w in _WORD.findall(text.lower())]
+    found = text.encode("utf-8", "surrogatepass").translate(_SPLIT).split()
+    if text.isascii():
+        return found
+    plain = [w for w in found if w.isascii()]
+    other = b" ".join([w for w in found if not w.isascii()]).decode("utf-8", "surrogatepass")
+    return plain + [w.encode("utf-8", "surrogatepass") for w in _WORD.findall(other.lower())]
 
 
 def terms(text: str | None, features: int = FEATURES) -> tuple[np.ndarray, np.ndarray]:
     """(hashed terms, counts) of a text, terms ascending."""
-    found = [zlib.crc32(w.encode("utf-8", "surrogatepass")) % features for w in _WORD.findall((text or "").lower())]
-    return np.unique(np.array(found, np.int64), return_counts=True)
+    words = _words(text or "")
+    return np.unique(np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % features, return_counts=True)
 
 
 def weights(u: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> np.ndarray:

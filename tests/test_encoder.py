@@ -66,3 +66,16 @@ def test_no_texts(spark):
     empty = spark.createDataFrame([], "vec_id long, text string")
     model = encoder.fit(empty, dim=4)
     assert model.encode("some words").tolist() == [0.0] * 4 and model.embed(empty).count() == 0
+
+
+def test_terms_are_those_of_the_regular_expression_which_ascii_texts_do_not_take(monkeypatch):
+    import re
+    import zlib
+
+    odd = ["", "a_B9-c\x1cd\x85e", "\u00c9t\u00e9 x\u00a0y \u0130x \u00df", "a\u0307b\u2028c", "\u0391\u03a3.\u0392 \u0391\u03a3 x", "\ud800 a", "\u0663\u0664 ab \u6f22\u5b57"]
+    for text in [*odd, *(f"a{chr(c)}B" for c in range(0x300))]:
+        words = [zlib.crc32(w.encode("utf-8", "surrogatepass")) % 4096 for w in re.findall(r"\w+", text.lower())]
+        u, tf = encoder.terms(text)
+        assert dict(zip(u.tolist(), tf.tolist())) == {h: words.count(h) for h in words} and list(u) == sorted(u)
+    monkeypatch.setattr(encoder, "_WORD", None)
+    assert encoder.terms("Two words, two Words!")[1].tolist() == [2, 2]
