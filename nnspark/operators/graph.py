@@ -5,34 +5,33 @@ self-join), made symmetric.  Search: batched beam search as DataFrame rounds.
 Every query starts from a few md5-chosen entry vectors; each round the
 neighbours of the query's current best ``ef`` vectors that it has not yet
 visited are scored, visited grows, and the best ``ef`` are re-selected by
-(distance, id).  Rounds stop when a round scores nothing new, i.e. one round
-after no query's best set changed; there is no limit on rounds.  Edges and
-vectors are tables bucketed on the join keys (src, id), so each round
-shuffles only the small frontier side.  Each round's state is written to the
-checkpoint folder, so the lineage stays one round deep and a lost executor
-recomputes one round.
+(distance, id).  A query's rounds stop when its best set has no vector that was
+not expanded; there is no limit on rounds.  Edges are a table bucketed on src,
+and vectors are dealt into blocks (see ``beam``), so no vector is shuffled for a
+pair.  Each round's state is written to the checkpoint folder, so the lineage
+stays one round deep and a lost executor recomputes one round.
 """
 
 from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nnspark.operators import exact
-from nnspark.operators.exact import corpus_frame, finish_topk_with_cost, in_query_blocks
+from nnspark.functions.distance import safe_sqrt
+from nnspark.operators import beam, exact
+from nnspark.operators.exact import corpus_frame
 from nnspark.operators.ivf import sample_ids
-from nnspark.operators.gather import DEFAULT_BROADCAST_BYTES, gather_vectors, measure
-from nnspark.operators.kernels import pairs_sq_l2, with_query_sq_l2
+from nnspark.operators.gather import DEFAULT_BROADCAST_BYTES, measure
+from nnspark.operators.kernels import list_matrix
 from nnspark.session import scratch_path
 
 DEFAULT_M = 16
 DEFAULT_EF = 50
 DEFAULT_ENTRIES = 8
-COST_ROW_BYTES = 32
 DEFAULT_BUCKETS = 0   # 0: as many buckets as spark.sql.shuffle.partitions
 META = "entries array<long>, m int, buckets int, n_edges long, n_vectors long, dim int, has_vectors boolean"
 
@@ -130,64 +129,30 @@ def search(graph: Graph, queries: DataFrame, k: int, ef: int = DEFAULT_EF, *, co
     """Beam search with beam width ``ef``; returns the ranked-result contract
     with cost = number of distinct vectors scored for the query.
 
-    Per round two tables are written (the newly scored pairs and the new best
-    set); ``visited`` is the union of the scored tables.  The search stops
-    when a round scores nothing new, i.e. one round after the best sets stop
-    changing; as a pair is scored once, that comes for every graph.
-    ``with_vectors`` joins the vectors of the ranked hits alone.
+    Each round expands every vector of a beam that was not expanded before
+    (see ``beam``).  A query leaves the rounds when its beam has none; as a
+    pair is scored once, that comes for every graph.  ``budget`` bounds the
+    block of vectors that a task holds.  Of rows with one query id the least
+    vector is searched.  ``with_vectors`` joins the vectors of the ranked hits alone.
     """
-    spark = corpus.sparkSession
     ef = max(ef, k)
     vecs = graph.vectors if graph.vectors is not None else corpus_frame(corpus, id_col, vec_col)
-    qf = queries.select(F.col(query_id_col).cast("long").alias("query_id"), F.col(query_vec_col).alias("qv")) \
-        .where(F.col("qv").isNotNull())
-    best_w = Window.partitionBy("query_id").orderBy("d2", "id")
-
-    nq, dq = measure(qf, "qv")
-    if nq * max(dq, 1) * 8 > budget:
-        # too many queries for one broadcast: search hash blocks of queries and union
-        return in_query_blocks(qf, budget, lambda b: search(
-            graph, b, k, ef, corpus=corpus, id_col=id_col, vec_col=vec_col, with_vectors=with_vectors, budget=budget))
-    qids, Q = gather_vectors(qf, "query_id", "qv", budget, (nq, dq))
-
-    # small graphs (sizes measured at build) are broadcast: the frontier then keeps
-    # its query_id partitioning; large ones use the bucketed tables
-    edges = graph.edges
-    if 0 <= graph.n_edges and graph.n_edges * 16 <= budget:
-        edges = F.broadcast(edges)
-    small_corpus = 0 <= graph.n_vectors and graph.n_vectors * (graph.dim * 8 + 8) <= budget
-    if small_corpus:
-        vids, V = gather_vectors(vecs, "id", "vec", budget, (graph.n_vectors, graph.dim))
-
-    def score(pairs: DataFrame) -> DataFrame:
-        if small_corpus:
-            # both vectors from broadcast matrices: only (query_id, id) cross into Python
-            return pairs_sq_l2(pairs, qids, Q, vids, V)   # ids always come from the corpus
-        return with_query_sq_l2(pairs.join(vecs, "id"), qids, Q, [("vec", "d2")], ["query_id", "id"])
-
-    def persist(df: DataFrame, name: str) -> DataFrame:
-        p = scratch_path(spark, name)
-        df.write.parquet(p)
-        return spark.read.parquet(p)
-
-    def top_ef(df: DataFrame) -> DataFrame:
-        return df.withColumn("_r", F.row_number().over(best_w)).where(F.col("_r") <= ef).drop("_r")
-
-    start = qf.select("query_id", F.explode(F.array(*[F.lit(e).cast("long") for e in graph.entries])).alias("id"))
-    scored_parts = [persist(score(start.distinct()), "graph-scored")]
-    best = persist(top_ef(scored_parts[0]), "graph-best")
-    while True:
-        visited = reduce(DataFrame.unionByName, [p.select("query_id", "id") for p in scored_parts])
-        nbr = best.select("query_id", F.col("id").alias("src")).join(edges, "src") \
-            .select("query_id", F.col("dst").alias("id"))
-        # anti-join first, then distinct on the same keys: one shuffle serves both
-        new = nbr.join(visited, ["query_id", "id"], "left_anti").distinct()
-        scored = persist(score(new), "graph-scored")
-        if scored.isEmpty():
-            break
-        scored_parts.append(scored)
-        best = persist(top_ef(best.unionByName(scored)), "graph-best")
-    visited = reduce(DataFrame.unionByName, scored_parts)
-    cost = visited.groupBy("query_id").agg(F.count(F.lit(1)).alias("cost"))
-    ranked = finish_topk_with_cost(best, k, cost, small_cost=nq * COST_ROW_BYTES <= budget)
-    return ranked.join(vecs, "id") if with_vectors else ranked
+    qf = queries.select(F.col(query_id_col).cast("long").alias("query_id"), F.col(query_vec_col).cast("array<double>").alias("qv")) \
+        .where(F.col("qv").isNotNull() & F.col("query_id").isNotNull()).groupBy("query_id").agg(F.min("qv").alias("qv"))
+    entry = vecs.where(F.col("id").isin(graph.entries)).groupBy("id").agg(F.min("vec").alias("vec")).orderBy("id").toArrow()
+    if not entry.num_rows:
+        qf, E = qf.limit(0), np.zeros((0, 0))
+    else:
+        E = list_matrix(entry.column("vec"))
+    buckets = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    lists = _bucketed_table(graph.edges.groupBy("src").agg(F.collect_list("dst").alias("dsts")), "src", buckets, "graph_lists")
+    size = (graph.n_vectors, graph.dim) if graph.n_vectors >= 0 else measure(vecs, "vec")
+    state = beam.enter(qf, entry.column("id").to_numpy(), E, ef)
+    # the neighbours of a vector that was expanded are all scored, so only the open ones are looked at
+    best = beam.settle(state, lists, beam.deal(vecs, *size, min(budget, beam.BLOCK_BYTES)), ef, ef, ef)
+    near = F.slice(F.arrays_zip("ids", "d2"), 1, k)
+    ranked = best.select("query_id", F.posexplode(near).alias("pos", "h"), F.size("seen").cast("long").alias("cost"),
+                         F.size(near).alias("n_hits"))
+    ranked = ranked.select("query_id", (F.col("pos") + 1).alias("rank"), F.col("h.ids").alias("id"), safe_sqrt("h.d2").alias("dist"),
+                           F.col("h.d2").alias("d2"), "cost", "n_hits")
+    return ranked.join(vecs, "id").select(*ranked.columns, "vec") if with_vectors else ranked

@@ -7,10 +7,9 @@ by it.  Edges count in both directions, and a vector keeps at most 2 m of them,
 one node, whose smallest id stands for all; otherwise a crowded vector would fill every list with its copies.
 
 Search: queries descend from the top layer, where they expand the ``reach`` nearest vectors of a layer, and end with a
-beam of width ``ef`` in layer 0.  A round expands up to ``width`` vectors per query.  A query's state, its
-beam and the ids it has scored, is one row whose size is bounded by its cost; queries whose beam is settled leave the
-rounds.  Edges and vectors are bucketed tables, so a round shuffles the frontier, never the graph.  Nothing is broadcast
-but the top layer's few entry vectors.  Each round is a written table.
+beam of width ``ef`` in layer 0.  A round expands up to ``width`` vectors per query (see ``beam``).  Edges are bucketed
+tables and vectors are dealt into blocks, so a round shuffles the frontier, the queries and the blocks, never a vector per
+pair.  Nothing is broadcast but the top layer's few entry vectors.
 """
 
 from __future__ import annotations
@@ -25,9 +24,10 @@ from pyspark.sql import functions as F
 
 from nnspark.functions.distance import safe_sqrt
 from nnspark.functions.hashing import md5_uniform
-from nnspark.operators import descent
+from nnspark.operators import beam, descent
 from nnspark.operators.descent import _written
 from nnspark.operators.exact import corpus_frame
+from nnspark.operators.gather import measure
 from nnspark.operators.graph import _attach, _bucketed_table
 from nnspark.operators.kernels import list_matrix, ltr_sq_dist
 
@@ -169,90 +169,6 @@ def build(corpus: DataFrame, m: int = DEFAULT_M, id_col: str = "vec_id", vec_col
     return LayeredGraph(edges, vectors, _written(members, "layered-members"), entries, m, buckets, evaluations)
 
 
-STATE = "query_id long, qv array<double>, ids array<long>, d2 array<double>, open array<boolean>, seen array<long>"
-
-
-def _list_array(rows: list[np.ndarray], kind) -> pa.Array:
-    offsets = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
-    flat = np.concatenate(rows) if rows else np.zeros(0)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, kind))
-
-
-def _state_batch(query_ids, qv, ids, d2, opened, seen) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [query_ids, qv, _list_array(ids, pa.int64()), _list_array(d2, pa.float64()), _list_array(opened, pa.bool_()),
-         _list_array(seen, pa.int64())], names=["query_id", "qv", "ids", "d2", "open", "seen"])
-
-
-def _enter(entry_ids: np.ndarray, E: np.ndarray, ef: int):
-    """First state of every query: the entry vectors, scored."""
-    def run(batches):
-        for rb in batches:
-            if not rb.num_rows:
-                continue
-            Q = list_matrix(rb.column("qv"), E.shape[1])
-            ids, dist = [], []
-            for q in Q:
-                d = ltr_sq_dist(q, E)
-                order = np.lexsort((entry_ids, d))[:ef]
-                ids.append(entry_ids[order])
-                dist.append(d[order])
-            yield _state_batch(rb.column("query_id"), rb.column("qv"), ids, dist, [np.ones(len(i), bool) for i in ids],
-                               [entry_ids] * len(ids))
-    return run
-
-
-def _merge(ef: int, width: int, reach: int):
-    """A round's scores merged into the beams; what was expanded is closed."""
-    def run(batches):
-        for rb in batches:
-            if not rb.num_rows:
-                continue
-            old = {c: rb.column(c) for c in ("ids", "d2", "open", "seen")}
-            at = {c: a.offsets.to_numpy() for c, a in old.items()}
-            flat = {c: a.values.to_numpy(zero_copy_only=False) for c, a in old.items()}
-            Q = list_matrix(rb.column("qv"))
-            found = rb.column("found")
-            n_found = found.value_lengths().fill_null(0).to_numpy()
-            rows = found.flatten()
-            new_ids = rows.field("id").to_numpy()
-            X = list_matrix(rows.field("vec")) if len(rows) else None
-            end = np.cumsum(n_found)
-            out_ids, out_d, out_open, out_seen = [], [], [], []
-            for i in range(rb.num_rows):
-                part = {c: flat[c][at[c][i]:at[c][i + 1]] for c in old}
-                opened = part["open"].copy()
-                opened[np.flatnonzero(opened[:reach])[:width]] = False
-                new = slice(end[i] - n_found[i], end[i])
-                ids, d, seen = part["ids"], part["d2"], part["seen"]
-                if n_found[i]:
-                    ids = np.concatenate((ids, new_ids[new]))
-                    d = np.concatenate((d, ltr_sq_dist(Q[i], X[new])))
-                    opened = np.concatenate((opened, np.ones(n_found[i], bool)))
-                    seen = np.concatenate((seen, new_ids[new]))
-                    order = np.lexsort((ids, d))[:ef]
-                    ids, d, opened = ids[order], d[order], opened[order]
-                out_ids.append(ids)
-                out_d.append(d)
-                out_open.append(opened)
-                out_seen.append(seen)
-            yield _state_batch(rb.column("query_id"), rb.column("qv"), out_ids, out_d, out_open, out_seen)
-    return run
-
-
-def _round(state: DataFrame, edges: DataFrame, vectors: DataFrame, ef: int, width: int, reach: int) -> DataFrame:
-    """One round: expand, fetch what was not scored yet, score, merge."""
-    beam = F.slice(F.arrays_zip("ids", "open"), 1, reach)
-    front = F.slice(F.transform(F.filter(beam, lambda b: b["open"]), lambda b: b["ids"]), 1, width)
-    reached = state.select("query_id", F.explode(front).alias("src")).join(edges, "src").groupBy("query_id").agg(
-        F.array_distinct(F.flatten(F.collect_list("dsts"))).alias("near"))
-    fresh = state.select("query_id", "seen").join(reached, "query_id").select(
-        "query_id", F.explode(F.array_except("near", "seen")).alias("id"))
-    found = fresh.join(vectors, "id").groupBy("query_id").agg(F.collect_list(F.struct("id", "vec")).alias("found"))
-    return state.join(found, "query_id", "left").select("query_id", "qv", "ids", "d2", "open", "seen", "found").mapInArrow(
-        _merge(ef, width, reach), STATE)
-
-
 def search(graph: LayeredGraph, queries: DataFrame, k: int, ef: int = DEFAULT_EF, *, width: int = DEFAULT_WIDTH,
            query_id_col: str = "query_id", query_vec_col: str = "qv", with_vectors: bool = False) -> DataFrame:
     """The ranked-result contract; cost is the number of distinct vectors scored for the query.
@@ -266,26 +182,13 @@ def search(graph: LayeredGraph, queries: DataFrame, k: int, ef: int = DEFAULT_EF
     if not entry.num_rows:
         return _no_hits(qf, graph, with_vectors)
     entry_ids, E = entry.column("id").to_numpy(), list_matrix(entry.column("vec"))
-    state = _written(qf.mapInArrow(_enter(entry_ids, E, ef), STATE), "layered-state")
-    settled = []
+    blocks = beam.deal(graph.vectors, *measure(graph.vectors, "vec"))
+    state = beam.enter(qf, entry_ids, E, ef)
     for layer in range(len(graph.edges) - 1, -1, -1):
-        reach = REACH if layer else ef
-        unfinished = F.exists(F.slice("open", 1, reach), lambda o: o)
-        through = []
-        while True:
-            state = _written(_round(state, graph.edges[layer], graph.vectors, ef, width, reach), "layered-state")
-            through.append(state.where(~unfinished))
-            state = state.where(unfinished)
-            if state.isEmpty():
-                break
-        done = through[0]
-        for t in through[1:]:
-            done = done.unionByName(t)
+        state = beam.settle(state, graph.edges[layer], blocks, ef, width, REACH if layer else ef)
         if layer:  # in the layer below every vector of the beam may be expanded anew
-            state = done.withColumn("open", F.transform("ids", lambda i: F.lit(True)))
-        else:
-            settled = done
-    hits = settled.select("query_id", F.size("seen").cast("long").alias("cost"),
+            state = state.withColumn("open", F.transform("ids", lambda i: F.lit(True)))
+    hits = state.select("query_id", F.size("seen").cast("long").alias("cost"),
                           F.explode(F.slice(F.arrays_zip("ids", "d2"), 1, k)).alias("h")).select(
         "query_id", "cost", F.col("h.ids").alias("node"), F.col("h.d2").alias("d2"))
     copies = Window.partitionBy("node").orderBy("id")

@@ -54,3 +54,31 @@ def test_ivf_blocked_edges_with_full_probe_equal_exact(emb):
     a = {(r["src"], r["dst"], r["rank"]) for r in graph.knn_edges(emb, 4, ivf_index=idx, nprobe=8).collect()}
     b = {(r["src"], r["dst"], r["rank"]) for r in graph.knn_edges(emb, 4).collect()}
     assert a == b
+
+
+def test_a_query_goes_once_to_each_block_of_vectors(spark, emb):
+    import numpy as np
+
+    from nnspark.operators import beam
+    from nnspark.operators.kernels import ltr_sq_dist
+
+    vecs = exact.corpus_frame(emb)
+    held = {r["id"]: np.array(r["vec"], float) for r in vecs.collect()}
+    blocks = beam.deal(vecs, len(held), 64, block_bytes=len(held) * 64 * 8 // 4)
+    assert blocks.n_blocks >= 4
+    ids = sorted(held)
+    asked = spark.createDataFrame([(q, held[q].tolist(), ids[q % 7::3] + [10 ** 12]) for q in ids[:40]] + [(-1, [0.0] * 64, [])],
+                                  "query_id long, qv array<double>, ids array<long>")
+    rows = beam.score(asked, blocks).collect()
+    assert max(sum(r["query_id"] == q for r in rows) for q in ids[:40]) <= blocks.n_blocks
+    got = {(r["query_id"], i): d for r in rows for i, d in zip(r["ids"], r["d2"])}
+    assert got == {(q, i): float(ltr_sq_dist(held[q], held[i])) for q in ids[:40] for i in ids[q % 7::3]}
+
+
+def test_repeated_query_ids_and_entries_without_a_vector(spark, emb):
+    g = graph.build(emb, m=6, n_entries=3)
+    qs = exact.self_queries(emb)
+    once = graph.search(g, qs, 5, ef=20, corpus=emb)
+    g.entries = [*g.entries, g.entries[0], 10 ** 12]
+    twice = graph.search(g, qs.unionByName(qs.limit(9)), 5, ef=20, corpus=emb)
+    assert twice.exceptAll(once).isEmpty() and once.exceptAll(twice).isEmpty()
