@@ -147,11 +147,10 @@ def search(graph: Graph, queries: DataFrame, k: int, ef: int = DEFAULT_EF, *, co
     buckets = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     lists = _bucketed_table(graph.edges.groupBy("src").agg(F.collect_list("dst").alias("dsts")), "src", buckets, "graph_lists")
     size = (graph.n_vectors, graph.dim) if graph.n_vectors >= 0 else measure(vecs, "vec")
-    state = beam.enter(qf, entry.column("id").to_numpy(), E, ef)
     # the neighbours of a vector that was expanded are all scored, so only the open ones are looked at
-    best = beam.settle(state, lists, beam.deal(vecs, *size, min(budget, beam.BLOCK_BYTES)), ef, ef, ef)
+    best = beam.search(qf, entry.column("id").to_numpy(), E, [lists], vecs, *size, ef, ef, ef, budget)
     near = F.slice(F.arrays_zip("ids", "d2"), 1, k)
-    ranked = best.select("query_id", F.posexplode(near).alias("pos", "h"), F.size("seen").cast("long").alias("cost"),
+    ranked = best.select("query_id", F.posexplode(near).alias("pos", "h"), "cost",
                          F.size(near).alias("n_hits"))
     ranked = ranked.select("query_id", (F.col("pos") + 1).alias("rank"), F.col("h.ids").alias("id"), safe_sqrt("h.d2").alias("dist"),
                            F.col("h.d2").alias("d2"), "cost", "n_hits")

@@ -29,7 +29,7 @@ from nnspark.operators.descent import _written
 from nnspark.operators.exact import corpus_frame
 from nnspark.operators.gather import measure
 from nnspark.operators.graph import _attach, _bucketed_table
-from nnspark.operators.kernels import list_matrix, ltr_sq_dist
+from nnspark.operators.kernels import _MAX_BLOCK_CELLS, list_matrix, ltr_sq_dist
 
 DEFAULT_M = 16
 DEFAULT_EF = 50
@@ -69,20 +69,41 @@ def _keep_unoccluded(d2: np.ndarray, X: np.ndarray, m: int, fill: bool) -> list[
     return kept
 
 
+def _keep_in_rows(d2: np.ndarray, X: np.ndarray, m: int, fill: bool) -> np.ndarray:
+    """``_keep_unoccluded`` of many vectors at once: a row of candidates each, their distances NaN after the last."""
+    XT = np.ascontiguousarray(np.moveaxis(X, 2, 0))
+    D = np.zeros((*d2.shape, d2.shape[1]))
+    for x in XT:
+        diff = x[:, :, None] - x[:, None, :]
+        D += diff * diff
+    there, kept = ~np.isnan(d2), np.zeros(d2.shape, bool)
+    for i in range(d2.shape[1]):
+        occluded = (kept[:, :i] & ~(D[:, :i, i] > d2[:, i, None])).any(axis=1)
+        kept[:, i] = there[:, i] & ~occluded & (kept.sum(axis=1) < m)
+    if fill:
+        more = there & ~kept
+        kept |= more & (np.cumsum(more, axis=1) <= m - kept.sum(axis=1)[:, None])
+    return kept
+
+
 def _occlusion(m: int, fill: bool):
     def run(batches):
         for rb in batches:
             lists = rb.column("near")
-            offsets = lists.offsets.to_numpy()
-            rows = lists.flatten()
-            dst, d2 = rows.field("dst").to_numpy(), rows.field("d2").to_numpy()
-            X = list_matrix(rows.field("vec")) if len(rows) else None
-            src, out = rb.column("src").to_numpy(), []
-            for s, a, b in zip(src, offsets[:-1] - offsets[0], offsets[1:] - offsets[0]):
-                keep = np.array(_keep_unoccluded(d2[a:b], X[a:b], m, fill), np.int64) + a
-                out.append((np.full(len(keep), s), dst[keep], d2[keep]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["src", "dst", "d2"])
+            rows, n = lists.flatten(), lists.value_lengths().to_numpy()
+            if not len(rows):
+                continue
+            src, dst, d2 = rb.column("src").to_numpy(), rows.field("dst").to_numpy(), rows.field("d2").to_numpy()
+            X, starts = list_matrix(rows.field("vec")), np.cumsum(n) - n
+            step = max(1, _MAX_BLOCK_CELLS // int(n.max() * max(n.max(), X.shape[1])))
+            for lo in range(0, len(n), step):
+                size = n[lo:lo + step]
+                cell = np.arange(int(size.max()))[None, :]
+                at = np.minimum(starts[lo:lo + step, None] + cell, len(d2) - 1)
+                kept = _keep_in_rows(np.where(cell < size[:, None], d2[at], np.nan), X[at], m, fill)
+                row, c = np.nonzero(kept)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (src[lo:lo + step][row], dst[at[row, c]], d2[at[row, c]])],
+                                                 names=["src", "dst", "d2"])
     return run
 
 
@@ -182,14 +203,8 @@ def search(graph: LayeredGraph, queries: DataFrame, k: int, ef: int = DEFAULT_EF
     if not entry.num_rows:
         return _no_hits(qf, graph, with_vectors)
     entry_ids, E = entry.column("id").to_numpy(), list_matrix(entry.column("vec"))
-    blocks = beam.deal(graph.vectors, *measure(graph.vectors, "vec"))
-    state = beam.enter(qf, entry_ids, E, ef)
-    for layer in range(len(graph.edges) - 1, -1, -1):
-        state = beam.settle(state, graph.edges[layer], blocks, ef, width, REACH if layer else ef)
-        if layer:  # in the layer below every vector of the beam may be expanded anew
-            state = state.withColumn("open", F.transform("ids", lambda i: F.lit(True)))
-    hits = state.select("query_id", F.size("seen").cast("long").alias("cost"),
-                          F.explode(F.slice(F.arrays_zip("ids", "d2"), 1, k)).alias("h")).select(
+    found = beam.search(qf, entry_ids, E, graph.edges[::-1], graph.vectors, *measure(graph.vectors, "vec"), ef, width, REACH)
+    hits = found.select("query_id", "cost", F.explode(F.slice(F.arrays_zip("ids", "d2"), 1, k)).alias("h")).select(
         "query_id", "cost", F.col("h.ids").alias("node"), F.col("h.d2").alias("d2"))
     copies = Window.partitionBy("node").orderBy("id")
     members = graph.members.withColumn("c", F.row_number().over(copies)).where(F.col("c") <= k).select("node", "id")
