@@ -73,6 +73,8 @@ class _Block:
         self.lists, self.rows = lists[by_list], np.repeat(np.arange(len(self.ids), dtype=np.int32), counts)[by_list]
         self.k, self.exclude_self, self.rings, self.at = k, exclude_self, rings, None
         self.hits, self.evaluated = _Hits(len(self.ids), k), np.zeros(len(self.ids), np.int64)
+        if rings is not None:   # what lies beyond a query's bound is no hit
+            self.hits.worst = np.square(self.bound) * (1 + 1e-9)
 
     def _probing(self, list_id: int) -> np.ndarray:
         rows = self.rows[slice(*np.searchsorted(self.lists, [list_id, list_id + 1]))]

@@ -45,3 +45,18 @@ def test_groups_are_told_in_tasks_not_listed_for_every_query(spark, emb, monkeyp
     qs = exact.self_queries(emb)
     pruned.search(g, qs, 3).count()
     assert max(t.count() for t in written) <= 2 * emb.count() * 4   # a few hits a query and group of postings, not 60 groups
+
+
+def test_a_bound_rules_out_hits_from_the_first_list():
+    """Before, every list gave its k nearest until a million hits waited."""
+    from nnspark.operators import list_scan
+
+    rng = np.random.default_rng(8)
+    Q, V = rng.normal(size=(40, 4)), rng.normal(size=(300, 4))
+    d = np.sqrt(((Q[:, None] - V[None]) ** 2).sum(-1))
+    bound = np.sort(d, axis=1)[:, 4] * (1 + 1e-6)
+    rings = list_scan.Rings(np.array([0]), np.zeros((1, 4)), np.array([0.0]), np.array([9.0]))
+    asked = [(np.arange(40), Q, bound, np.zeros(0, np.int32), np.zeros(40, np.int64))]
+    block = list_scan._Block(asked, 5, False, rings)
+    block.scan(0, np.arange(300), np.zeros(300, np.int64), np.sqrt((V * V).sum(1)), V)
+    assert block.hits.n_waiting == 200
