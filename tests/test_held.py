@@ -48,6 +48,16 @@ def test_searches_held_by_tasks_give_the_same_rows(spark, monkeypatch):
     assert both() == apart
 
 
+def test_repeated_query_ids_keep_their_rows(spark, monkeypatch):
+    emb = table(spark, some_vectors(120, 5, 6))
+    deep = layered.build(emb, 4)
+    qs = exact.self_queries(emb).where("query_id < 100")
+    qs = qs.unionByName(qs.where("query_id < 0"))
+    whole = rows(layered.search(deep, qs, 4, 8))
+    monkeypatch.setattr(held, "HELD_BYTES", 0)
+    assert whole == rows(layered.search(deep, qs, 4, 8))
+
+
 def test_hash_of_a_pair_is_that_of_spark(spark):
     pairs = [(-5, 3), (0, 0), (2**61, -1), (17, 2**40)]
     df = spark.createDataFrame(pairs, "src long, dst long").select("src", "dst", F.xxhash64("src", "dst", F.lit(9)).alias("h"))
